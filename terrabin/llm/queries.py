@@ -6,9 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op02_decision_list, op06_decontaminate
-
-_MODULES = ((op02_decision_list, "op2_decision_list"), (op06_decontaminate, "op6_decontaminate"))
+from . import op02_decision_list, op04_anchor_pii, op06_decontaminate, op09_arrow_tokens, op10_flow_mix
+
+_MODULES = (
+    (op02_decision_list, "op2_decision_list"),
+    (op04_anchor_pii, "op4_anchor_pii"),
+    (op06_decontaminate, "op6_decontaminate"),
+    (op09_arrow_tokens, "op9_arrow_tokens"),
+    (op10_flow_mix, "op10_flow_mix"),
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
