@@ -3,7 +3,8 @@
 Documents are aggregated by membership pattern (the set of sources that hold them).  A pattern offers its words
 once at cost 0 and each further time at a higher cost (convex), at most MAX_REPEATS times in all; sources ask for
 their quotas.  Successive shortest paths route the words on the driver over patterns only.  What a pattern owes is
-then met by whole copies of all its documents, and by documents in the order of a seeded hash up to the rest.
+then met by whole copies of all its documents, and by documents in the order of a seeded hash up to the rest; of
+the document at which the rest is reached, the mix takes the first words, so that quotas are met to the word.
 
 The order is never materialised: words by (pattern, first 12 hash bits), then by the next 12 bits within the
 bucket where the rest is reached, leave a few documents for a window; a source with a third of all rows is
@@ -137,7 +138,7 @@ def plan(rows: DataFrame) -> tuple[dict, dict, dict]:
 
 
 def take(rows: DataFrame, patterns: dict[tuple, int], given: dict[tuple, int]) -> DataFrame:
-    """Adds taken: whole repeats of the pattern, and once more for the first documents by place up to the rest."""
+    """Adds taken: whole repeats of the pattern, and more words of the first documents by place up to the rest."""
     spark = rows.sparkSession
     owed = spark.createDataFrame([(list(p), given.get(p, 0) // n if n else 0, given.get(p, 0) % n if n else 0) for p, n in patterns.items()], "sources array<string>, repeats long, rest long")
     owed = F.broadcast(owed)
@@ -163,12 +164,12 @@ def take(rows: DataFrame, patterns: dict[tuple, int], given: dict[tuple, int]) -
     last = (F.col("b1") == F.col("edge_b1")) & (F.col("b2") == F.col("edge_b2"))
     at_edge = out.where(last)
     upto = F.sum("size").over(by.orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    at_edge = at_edge.withColumn("once", upto - F.col("size") / 2 <= F.col("rest_b2"))
+    at_edge = at_edge.withColumn("once", F.least("size", F.greatest(F.lit(0), F.col("rest_b2") - upto + F.col("size"))))
     others = out.where(~F.coalesce(last, F.lit(False)))
     before = (F.col("b1") < F.col("edge_b1")) | ((F.col("b1") == F.col("edge_b1")) & (F.col("b2") < F.col("edge_b2")))
-    others = others.withColumn("once", F.coalesce(before, F.lit(False)))
+    others = others.withColumn("once", F.when(before, F.col("size")).otherwise(F.lit(0)))
     out = others.unionByName(at_edge)
-    return out.withColumn("taken", F.col("size") * (F.col("repeats") + F.col("once").cast("long"))).drop("b1", "b2", "edge_b1", "rest_b1", "edge_b2", "rest_b2", "repeats", "rest", "once")
+    return out.withColumn("taken", F.col("size") * F.col("repeats") + F.col("once")).drop("b1", "b2", "edge_b1", "rest_b1", "edge_b2", "rest_b2", "repeats", "rest", "once")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
