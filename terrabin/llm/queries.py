@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_suffix_array, op02_decision_list, op04_anchor_pii, op05_fm_index, op06_decontaminate, op07_simhash_cover, op08_deleted_interpolation, op09_arrow_tokens, op10_flow_mix
+from . import op01_suffix_array, op02_decision_list, op03_line_deletions, op04_anchor_pii, op05_fm_index, op06_decontaminate, op07_simhash_cover, op08_deleted_interpolation, op09_arrow_tokens, op10_flow_mix
 
 _MODULES = (
     (op01_suffix_array, "op1_suffix_array"),
     (op02_decision_list, "op2_decision_list"),
+    (op03_line_deletions, "op3_line_deletions"),
     (op04_anchor_pii, "op4_anchor_pii"),
     (op05_fm_index, "op5_fm_index"),
     (op06_decontaminate, "op6_decontaminate"),
