@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
 from .session import prepare, table
@@ -31,7 +32,6 @@ MIN_PRECISION, MIN_COVER, MAX_RULES, MAX_TERMS = 0.9, 10, 24, 4
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_lines", "n_upper", "n_digits", "n_chars", "n_punct_end", "n_distinct", "top_words", "n_cues")
-SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in BASE + MORE)
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -102,18 +102,21 @@ def cue_hashes(cues: frozenset[bytes]) -> np.ndarray:
     return K.Poly(K.byte_values(joined)).of(ends - np.array([len(c) for c in cues]), ends)
 
 
-def stats(docs: DataFrame, cues: frozenset[str] = frozenset()) -> DataFrame:
-    """One row of statistics a document; no shuffle."""
+def stats(docs: DataFrame, cues: frozenset[str] = frozenset(), columns: list[str] | None = None) -> DataFrame:
+    """The statistics of every document beside its row (a struct of its columns, all by default); no shuffle."""
     cues = frozenset(c.encode() for c in cues)
+    kept = docs.columns if columns is None else columns
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, buf, offsets in K.text_slices(b.column(1)):
                 s = slice_stats(buf, offsets, cues)
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], *(pa.array(s[c].astype(np.int64)) for c in BASE + MORE)], ["doc_id", *BASE, *MORE])
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], *(pa.array(s[c].astype(np.int64)) for c in BASE + MORE)], ["row", *BASE, *MORE])
 
     prepare(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    schema = T.StructType([named.schema["row"], *(T.StructField(c, T.LongType()) for c in BASE + MORE)])
+    return named.mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)
@@ -206,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DecisionLis
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(marked), "doc_id")
     # of two thirds, words seen nearly only in bad documents; per partition first, so that no text goes to the driver
     cues = _cues(picked)
-    sample = stats(picked, cues).join(F.broadcast(marked), "doc_id").toPandas().sort_values(["doc_id", "n_chars"])
+    sample = stats(picked, cues, ["doc_id", "bad"]).select("row.doc_id", "row.bad", *BASE, *MORE).toPandas().sort_values(["doc_id", "n_chars"])
     if sample.empty:
         return DecisionList()
     return DecisionList(tuple(_train(sample)), cues)
@@ -234,15 +237,20 @@ def _cues(picked: DataFrame) -> frozenset[str]:
     return frozenset(r.w for r in n.orderBy(F.desc("contexts"), "w").limit(CUE_WORDS).collect())
 
 
-def apply(docs: DataFrame, model: DecisionList) -> DataFrame:
-    """Statistics and verdict of every document."""
-    s = stats(docs, model.cues)
+def judged(docs: DataFrame, model: DecisionList, columns: list[str] | None = None) -> DataFrame:
+    """Row, statistics and verdict of every document."""
+    s = stats(docs, model.cues, columns)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     s = s.withColumn("base_failed", failed).withColumn("rule", model.rejected())
     return s.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
+def filtered(docs: DataFrame, model: DecisionList) -> DataFrame:
+    """The rows of docs that are kept."""
+    return judged(docs, model).where("kept").select("row.*")
+
+
 def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return apply(docs, model).select("doc_id", *BASE, "base_failed", "kept", "rule")
+    return judged(docs, model, ["doc_id"]).select(F.col("row.doc_id").cast("long").alias("doc_id"), *BASE, "base_failed", "kept", "rule")

@@ -123,7 +123,8 @@ u as (select line, min(struct_pack(doc_id := doc_id, pos := pos)) as place, leng
 x as (select *, unnest([n, n - 1]) as c from u),
 k as (select *, unnest(['p' || left(line, greatest(0, cast(floor((c - 1) / 2.0) as int))), 's' || case when c < 3 then '' else right(line, cast(floor((c - 1) / 2.0) as int)) end]) as h from x where c > 0),
 near as (select distinct a.line from k a join k b on a.c = b.c and a.h = b.h and a.line <> b.line and b.place < a.place and least(a.n, b.n) = a.c
-  where levenshtein(a.line, b.line) <= 1),
+  where len(list_filter(generate_series(0, greatest(a.n, b.n) - 1), lambda e: left(a.line, e) = left(b.line, e)
+    and substr(a.line, e + case when a.n >= b.n then 2 else 1 end) = substr(b.line, e + case when b.n >= a.n then 2 else 1 end))) > 0),
 g as (select w.doc_id, w.pos, near.line is not null and struct_pack(doc_id := w.doc_id, pos := w.pos) = u.place as near
   from w join u using (line) left join near using (line) where near.line is not null or struct_pack(doc_id := w.doc_id, pos := w.pos) <> u.place),
 t as (select l.doc_id, string_agg(l.line, chr(10) order by l.pos) as kept from l left join g on g.doc_id = l.doc_id and g.pos = l.pos where g.pos is null group by l.doc_id)

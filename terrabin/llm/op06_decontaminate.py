@@ -11,7 +11,6 @@ words but is not named; repeated rows stay repeated rows; other columns are igno
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -19,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
 from .session import prepare, table
@@ -72,21 +72,20 @@ def window_hashes(joined: bytes, n: int) -> np.ndarray:
     return K.Poly(word).of(at, at + n)
 
 
-def scan(docs: DataFrame, items: list, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, spans (word offsets, merged), item names; one row a document and no shuffle."""
-    shared = prepare(docs.sparkSession).sparkContext.broadcast(WindowSet(items, window))
+def scan(found: DataFrame, items: list, window: int = WINDOW) -> DataFrame:
+    """Adds the hits of some items to rows of (row, text, n_words, spans, items); no shuffle."""
+    shared = prepare(found.sparkSession).sparkContext.broadcast(WindowSet(items, window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = shared.value
+        known = shared.value
         for b in batches:
             for i, j, raw, offsets in K.text_slices(b.column(1)):
                 buf = LOWER[raw]
                 starts, ends, at = K.runs(WORD[buf], offsets)
                 counts = np.diff(at)
                 grams = K.Poly(K.Poly(K.byte_values(buf)).of(starts, ends))
-                spans: list[list] = [[] for _ in counts]
-                names: list[set] = [set() for _ in counts]
-                for n, (hashes, bitmap) in found.by_length.items():
+                spans, names = b.column(3)[i:j].to_pylist(), [set(x) for x in b.column(4)[i:j].to_pylist()]
+                for n, (hashes, bitmap) in known.by_length.items():
                     w, doc = K.windows(counts, n)
                     h = grams.of(w, w + n)
                     hit = np.flatnonzero(bitmap[h >> K.U64(64 - _BITS)])
@@ -94,16 +93,15 @@ def scan(docs: DataFrame, items: list, window: int = WINDOW) -> DataFrame:
                     for x in hit:
                         s = w[x]
                         key = b" ".join(buf[starts[k] : ends[k]].tobytes() for k in range(s, s + n))
-                        if (who := found.items.get(key)) is not None:
+                        if (who := known.items.get(key)) is not None:
                             names[doc[x]].update(who)
                             spans[doc[x]].append((int(s - at[doc[x]]), int(s - at[doc[x]] + n)))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[i:j], pa.array(counts.astype(np.int64)), pa.array([merged(s) for s in spans], pa.list_(pa.list_(pa.int32()))), pa.array([sorted(x) for x in names], pa.list_(pa.string()))],
-                    ["doc_id", "n_words", "spans", "items"],
+                    [b.column(0)[i:j], b.column(1)[i:j], pa.array(counts.astype(np.int64)), pa.array([merged(s) for s in spans], pa.list_(pa.list_(pa.int32()))), pa.array([sorted(x) for x in names], pa.list_(pa.string()))],
+                    ["row", "text", "n_words", "spans", "items"],
                 )
 
-    columns = [c for c in ("doc_id", "text") if c in docs.columns]
-    return docs.select(*(F.col(c) for c in columns)).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}).mapInArrow(run, "doc_id long, n_words long, spans array<array<int>>, items array<string>")
+    return found.mapInArrow(run, found.schema)
 
 
 def merged(spans: list) -> list[list[int]]:
@@ -116,41 +114,58 @@ def merged(spans: list) -> list[list[int]]:
     return out
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """scan() over the whole benchmark, in parts where its text is beyond limit."""
+def hits(docs: DataFrame, benchmark: DataFrame, columns: list[str] | None = None, window: int = WINDOW, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """(row, text, n_words, spans of word offsets, item names) of every document; row has its columns, all by default."""
+    kept = docs.columns if columns is None else columns
+    found = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<array<int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = -(-size // limit) or 1
-    if parts == 1:
-        return scan(docs, [tuple(r) for r in items.collect()], window)
+    parts = -(-int(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // limit) or 1
     numbered = items.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(parts)))
-    out = None
     for k in range(parts):
-        part = scan(docs, [tuple(r)[:2] for r in numbered.where(F.col("part") == k).collect()], window)
-        out = part if out is None else out.unionByName(part)
-    united = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))
-    return out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), united.alias("items"))
+        found = scan(found, [tuple(r)[:2] for r in numbered.where(F.col("part") == k).collect()], window)
+    return found
+
+
+def _contaminated():
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (F.get(s, 1) - F.get(s, 0)))
+    return n_hit, (n_hit > 0) & (SHARE * n_hit >= F.col("n_words"))
 
 
 def digest(found: DataFrame) -> DataFrame:
+    n_hit, bad = _contaminated()
+    names = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
+    return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), names.alias("items_sha256"), bad.alias("contaminated"))
+
+
+def filtered(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs that are not contaminated, unchanged."""
+    return hits(docs, benchmark).where(~_contaminated()[1]).select("row.*")
+
+
+def without_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs with the words of all hits cut out of their texts (words by the operator's own rule; the rest unchanged)."""
+    found = hits(docs, benchmark)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d = b.to_pydict()
-            n_hit = [sum(e - s for s, e in merged(x)) for x in d["spans"]]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0), b.column(1), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in d["items"]], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in d["items"]], pa.string()),
-                    pa.array([h > 0 and SHARE * h >= n for h, n in zip(n_hit, d["n_words"], strict=True)], pa.bool_()),
-                ],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
-
-    return found.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+            texts = []
+            for text, spans in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if spans:
+                    raw = (text or "").encode()
+                    starts, ends, _ = K.runs(WORD[LOWER[np.frombuffer(raw, np.uint8)]], np.array([0, len(raw)]))
+                    keep = np.ones(len(raw), bool)
+                    for s, e in spans:
+                        keep[starts[s] : ends[e - 1]] = False
+                    text = np.frombuffer(raw, np.uint8)[keep].tobytes().decode()
+                texts.append(text)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["row", "cut"])
+
+    cut = found.mapInArrow(run, T.StructType([found.schema["row"], T.StructField("cut", T.StringType())]))
+    return cut.select(*(F.col("cut").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return digest(hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"]))
 
 
 SQL = r"""

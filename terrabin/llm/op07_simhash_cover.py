@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -38,17 +38,18 @@ LOWER[65:91] += 32
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+    """doc_id, th (the text's hash), fp (the fingerprint as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for _, _, raw, offsets in K.text_slices(b.column(1)):
                 out.append(slice_fingerprints(LOWER[raw], offsets, shingle))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out) if out else np.zeros(0, K.U64)).view(pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.concatenate(out) if out else np.zeros(0, K.U64)).view(pa.int64())], ["doc_id", "th", "fp"])
 
     prepare(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text)).mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def slice_fingerprints(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
@@ -202,19 +203,30 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def components(prints: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id of (doc_id, fp)."""
+    """Adds root (the component's least fingerprint) and component_id to rows of doc_id and fp."""
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = connected(links(distinct))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = stored(named, "roots")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named.join(least, "root").select("fp", "root", "component_id"), "fp")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     return components(stored(fingerprints(docs), "prints"))
 
 
+def filtered(docs: DataFrame) -> DataFrame:
+    """One row of each component: that of the smallest doc_id, of repeated ids the smallest text's hash."""
+    found = near_duplicates(docs)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("x"))
+    keep = first.select(F.coalesce("x.doc_id", F.lit(int(K.NULL_ID))).alias("_id"), F.col("x.th").alias("_th"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(K.NULL_ID))).alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_th"))
+    met = rows.join(keep, ["_id", "_th"], "left_semi")
+    one = met.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_th").orderBy("_id")))
+    return one.where("_n = 1").select("row.*")
+
+
 def op7_simhash_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -6,12 +6,12 @@ their quotas.  Successive shortest paths route the words on the driver over patt
 then met by whole copies of all its documents, and by documents in the order of a seeded hash up to the rest; of
 the document at which the rest is reached, the mix takes the first words, so that quotas are met to the word.
 
-The order is never materialised: words by (pattern, first 12 hash bits), then by the next 12 bits within the
-bucket where the rest is reached, leave a few documents for a window; a source with a third of all rows is
-therefore summed by partial aggregation, not sorted in one task.
+The order is never materialised: words by (pattern, first 12 hash bits), then by the next 12 bits within the bucket
+where the rest is reached, then by the whole hash in that bucket, find the hash at which the rest is reached; a source
+with a third of all rows is therefore summed by partial aggregation, not sorted in one task.
 
 Edge cases: a null text has size 0; a null source is a source of its own, sorted last; documents of size 0 take 0;
-an empty table gives an empty result; null ids share one place in the seeded order; other columns are ignored.
+an empty table gives an empty result; rows of equal id and text share a place and take alike; other columns are ignored.
 The driver holds one row a pattern; more than MAX_PATTERNS is an error.
 """
 
@@ -114,17 +114,18 @@ def _solve(patterns: dict[tuple, int], quotas: dict, most: int) -> dict[tuple, i
     return dict(given)
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, place in the seeded order; stored, so that texts are read once."""
+def placed(docs: DataFrame) -> DataFrame:
+    """(row, source, sources, size, place in the seeded order) of every document; row has all its columns."""
     prepare(docs.sparkSession)
-    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    place = F.xxhash64(F.lit(SEED), F.col("doc_id").cast("long")).bitwiseAND(F.lit((1 << 62) - 1))
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    return stored(kept.select("doc_id", "source", size.alias("size"), place.alias("place"))).withColumn("sources", F.array("source"))
+    text, source = F.col("text").cast("string"), F.col("source").cast("string")
+    size = F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    place = F.xxhash64(F.lit(SEED), F.col("doc_id").cast("long"), text).bitwiseAND(F.lit((1 << 62) - 1))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.select(row.alias("row"), source.alias("source"), F.array(source).alias("sources"), size.alias("size"), place.alias("place"))
 
 
-def plan(rows: DataFrame) -> tuple[dict, dict, dict]:
-    """Sizes and targets by source, and what each pattern gives."""
+def plan(rows: DataFrame) -> tuple[dict, dict, dict, dict]:
+    """Sizes and targets by source, sizes of patterns, and what each pattern gives."""
     found = rows.groupBy("sources").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
@@ -134,52 +135,63 @@ def plan(rows: DataFrame) -> tuple[dict, dict, dict]:
         for s in p:
             sizes[s] += n
     goal = targets(dict(sizes))
-    return dict(sizes), goal, flow(patterns, {s: round(t) for s, t in goal.items()})
+    return dict(sizes), goal, patterns, flow(patterns, {s: round(t) for s, t in goal.items()})
 
 
-def take(rows: DataFrame, patterns: dict[tuple, int], given: dict[tuple, int]) -> DataFrame:
-    """Adds taken: whole repeats of the pattern, and more words of the first documents by place up to the rest."""
-    spark = rows.sparkSession
-    owed = spark.createDataFrame([(list(p), given.get(p, 0) // n if n else 0, given.get(p, 0) % n if n else 0) for p, n in patterns.items()], "sources array<string>, repeats long, rest long")
-    owed = F.broadcast(owed)
-    same = lambda a, b: a["sources"].eqNullSafe(b["sources"])
-    rows = rows.withColumn("b1", F.shiftright("place", 50)).withColumn("b2", F.shiftright("place", 38).bitwiseAND(F.lit(4095)))
-    by = Window.partitionBy("sources")
+def cuts(rows: DataFrame, patterns: dict[tuple, int], given: dict[tuple, int]) -> DataFrame:
+    """(of, repeats, cut, rest): how often the pattern's documents are taken whole, and the place up to which they
+    are once more; the document at the cut gives its first rest words."""
+    owed = [(list(p), given.get(p, 0) // n if n else 0, given.get(p, 0) % n if n else 0) for p, n in patterns.items()]
+    owed = F.broadcast(rows.sparkSession.createDataFrame(owed, "of array<string>, repeats long, rest long"))
+    same = F.col("sources").eqNullSafe(F.col("of"))
 
-    def edge(sums: DataFrame, b: str) -> DataFrame:
-        """The bucket in which the rest is reached, and the words before it."""
-        s = sums.withColumn("upto", F.sum("words").over(by.orderBy(b)))
+    def reached(sums: DataFrame, at: str) -> DataFrame:
+        """Of (sources, at, words, rest): where the running words reach the rest, and what is left of it there."""
+        s = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("sources").orderBy(at)))
         s = s.where((F.col("upto") - F.col("words") < F.col("rest")) & (F.col("upto") >= F.col("rest")))
-        return s.select("sources", F.col(b).alias(f"edge_{b}"), (F.col("rest") - F.col("upto") + F.col("words")).alias(f"rest_{b}"))
-
-    one = rows.groupBy("sources", "b1").agg(F.sum("size").alias("words"))
-    one = edge(one.join(owed, same(one, owed)).drop(owed["sources"]), "b1")
-    first = F.broadcast(one)
-    inner = rows.join(first, same(rows, first) & (rows["b1"] == first["edge_b1"])).drop(first["sources"])
-    two = inner.groupBy("sources", "b2").agg(F.sum("size").alias("words"), F.max("rest_b1").alias("rest"))
-    second = F.broadcast(edge(two, "b2"))
-    out = rows.join(owed, same(rows, owed)).drop(owed["sources"])
-    out = out.join(first, same(out, first), "left").drop(first["sources"])
-    out = out.join(second, same(out, second), "left").drop(second["sources"])
-    last = (F.col("b1") == F.col("edge_b1")) & (F.col("b2") == F.col("edge_b2"))
-    at_edge = out.where(last)
-    upto = F.sum("size").over(by.orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    at_edge = at_edge.withColumn("once", F.least("size", F.greatest(F.lit(0), F.col("rest_b2") - upto + F.col("size"))))
-    others = out.where(~F.coalesce(last, F.lit(False)))
-    before = (F.col("b1") < F.col("edge_b1")) | ((F.col("b1") == F.col("edge_b1")) & (F.col("b2") < F.col("edge_b2")))
-    others = others.withColumn("once", F.when(before, F.col("size")).otherwise(F.lit(0)))
-    out = others.unionByName(at_edge)
-    return out.withColumn("taken", F.col("size") * F.col("repeats") + F.col("once")).drop("b1", "b2", "edge_b1", "rest_b1", "edge_b2", "rest_b2", "repeats", "rest", "once")
+        return F.broadcast(s.select(F.col("sources").alias("of"), F.col(at).alias("edge"), (F.col("rest") - F.col("upto") + F.col("words")).alias("rest")))
+
+    one = rows.withColumn("b", F.shiftright("place", 50)).groupBy("sources", "b").agg(F.sum("size").alias("words"))
+    edge = reached(one.join(owed, same).drop("of"), "b")
+    for shift in (38, 0):  # 12 bits more of the place, then the whole place: each within the bucket found before
+        wide = 50 if shift else 38
+        inner = rows.join(edge, same & (F.shiftright("place", wide) == F.col("edge")))
+        inner = inner.withColumn("b", F.shiftright("place", shift)).groupBy("sources", "b").agg(F.sum("size").alias("words"), F.max("rest").alias("rest"))
+        edge = reached(inner, "b")
+    left = owed.select(F.col("of").alias("sources"), "repeats").join(edge, same, "left")
+    return left.select(F.col("sources").alias("of"), "repeats", F.coalesce("edge", F.lit(-1)).alias("cut"), F.coalesce("rest", F.lit(0)).alias("rest"))
+
+
+def taken(rows: DataFrame, slim: DataFrame) -> tuple[DataFrame, dict, dict]:
+    """rows with taken; sizes and targets by source.  slim: the same rows without texts."""
+    sizes, goal, patterns, given = plan(slim)
+    table_ = F.broadcast(stored(cuts(slim, patterns, given), "cuts"))
+    more = F.when(F.col("place") < F.col("cut"), F.col("size")).when(F.col("place") == F.col("cut"), F.least("size", "rest")).otherwise(F.lit(0))
+    out = rows.join(table_, F.col("sources").eqNullSafe(F.col("of"))).drop("of")
+    return out.withColumn("taken", F.col("size") * F.col("repeats") + more).drop("repeats", "cut", "rest"), sizes, goal
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every document."""
-    rows = sized(docs)
-    sizes, goal, given = plan(rows)
-    spark = docs.sparkSession
-    info = F.broadcast(spark.createDataFrame([(s, sizes[s], float(goal[s])) for s in sizes], "of string, source_size long, target double"))
-    out = take(rows, {(s,): n for s, n in sizes.items()}, given)
-    return out.join(info, out["source"].eqNullSafe(info["of"])).select("doc_id", "source", "size", "source_size", "target", "taken")
+    """doc_id, source, size, source_size, target and taken of every document; texts are read once."""
+    rows = placed(docs.select("doc_id", "source", "text"))
+    slim = stored(rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), "source", "sources", "size", "place"), "sizes")
+    out, sizes, goal = taken(slim, slim)
+    info = F.broadcast(docs.sparkSession.createDataFrame([(s, sizes[s], float(goal[s])) for s in sizes], "of string, source_size long, target double"))
+    return out.join(info, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """The mix itself: rows of docs as often as they are taken; a part taken is the text's first words, joined by spaces."""
+    rows = placed(docs)
+    slim = stored(rows.select("sources", "size", "place"), "sizes")
+    out = taken(rows, slim)[0].where("taken > 0")
+    whole, part = F.expr("cast(taken div size as int)"), F.expr("cast(taken % size as int)")
+    times = F.concat(F.array_repeat(F.lit(0), whole), F.when(part > 0, F.array(part)).otherwise(F.expr("cast(array() as array<int>)")))
+    out = out.withColumn("first", F.explode(times))
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col("row.text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+"), 0), F.lit(1), F.col("first")), " ")
+    text = F.when(F.col("first") > 0, cut).otherwise(F.col("row.text").cast("string"))
+    new = {"text": text, "n_chars": F.when(F.col("first") > 0, F.char_length(cut).cast("long")).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {"text": text}
+    return out.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op10_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
