@@ -29,10 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .session import prepare, shared_dir, stored, table, text_bytes
 
-SEQUENCE, BATCH, END, PART_BYTES, CACHE = 2048, 256, 0, 24 << 20, 400_000
-_PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s")
+SEQUENCE, BATCH, END, PART_BYTES, CACHE = 2048, 256, 0, 24 << 20, 800_000
+#: Text that is cut and encoded at a time.
+TEXT_BYTES = 1 << 20
+#: Pieces end where the byte-level pre-tokenizer ends one too: after letters before anything but a letter, and at white space.
+_PIECE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^\W\d_])| ?\S+|\s+(?!\S)|\s")
+_WORD = re.compile(r" [A-Za-zÀ-ÖØ-öø-ÿ]+")
 _ODD = re.compile(r"[\x1c-\x1f]")
 
 
@@ -56,20 +61,31 @@ class Encoder:
         self.by_piece = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.cache: dict[str, bytes] = {}
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of pieces that are a space and letters: one text, cut by the pre-tokenizer's own words."""
+        e = self.tokenizer.encode("".join(words), add_special_tokens=False)
+        of = np.array(e.word_ids, np.int64)
+        sizes = np.bincount(of, minlength=len(words)) * self.kind.itemsize
+        if len(sizes) != len(words):
+            return self._ids(words)
+        data, ends = np.array(e.ids, self.kind).tobytes(), np.cumsum(sizes).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        if not self.by_piece or _ODD.search(text):
-            return self._ids([text])[0]
-        pieces = _PIECE.findall(text)
-        if new := set(pieces) - self.cache.keys():
-            if len(self.cache) + len(new) > CACHE:
-                self.cache.clear()
-                new = set(pieces)
-            new = list(new)
-            self.cache.update(zip(new, self._ids(new), strict=True))
-        return b"".join(map(self.cache.__getitem__, pieces))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [_PIECE.findall(t) if self.by_piece and not _ODD.search(t) else None for t in texts]
+        pieces = set().union(*(p for p in split if p))
+        new = [p for p in pieces if p not in self.cache]
+        if len(self.cache) + len(new) > CACHE:
+            self.cache.clear()
+            new = list(pieces)
+        words = [p for p in new if _WORD.fullmatch(p)]
+        others = [p for p in new if not _WORD.fullmatch(p)]
+        self.cache.update(zip(words, self._words(words) if words else [], strict=True))
+        self.cache.update(zip(others, self._ids(others), strict=True))
+        return [self._ids([t])[0] if p is None else b"".join(map(self.cache.__getitem__, p)) for t, p in zip(texts, split, strict=True)]
 
 
 class Writer:
@@ -133,10 +149,10 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, folder: str | No
             writer = Writer(sink, encoder.kind)
             for b in batches:
                 ids.extend(b.column(0).to_pylist())
-                for t in b.column(1):
-                    data = encoder.encode(t.as_py() or "") + end
-                    counts.append(len(data) // encoder.kind.itemsize)
-                    writer.add(data)
+                for i, j, _, _ in K.text_slices(b.column(1), TEXT_BYTES):
+                    for data in encoder.encode([t or "" for t in b.column(1)[i:j].to_pylist()]):
+                        counts.append(len(data) // encoder.kind.itemsize + 1)
+                        writer.add(data + end)
             writer.close()
 
         placed(fs, f"{path}.arrow", fill)
