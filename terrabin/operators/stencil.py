@@ -41,7 +41,7 @@ def distance_bins(pixels: DataFrame, target: Column, dy: float = 100.0, dx: floa
     reach_y, reach_x = math.floor(500 / dy), math.floor(500 / dx)
     p = pixels.select("x", "y", F.coalesce(target, F.lit(False)).alias("t"))
     ty = (F.floor(F.col("y") / tile)).cast("bigint")
-    halo = F.array_distinct(F.array((F.floor((F.col("y") - reach_y) / tile)).cast("bigint"), ty, (F.floor((F.col("y") + reach_y) / tile)).cast("bigint")))
+    halo = F.sequence(F.floor((F.col("y") - reach_y) / tile).cast("bigint"), F.floor((F.col("y") + reach_y) / tile).cast("bigint"))
     marked = p.where("t").select("x", F.col("y").alias("y"), F.explode(halo).alias("ty"), F.col("y").alias("at"), F.lit(False).alias("own"))
     rows = p.select("x", "y", ty.alias("ty"), F.when(F.col("t"), F.col("y")).alias("at"), F.lit(True).alias("own")).unionByName(marked)
     w = Window.partitionBy("x", "ty").orderBy("y")
