@@ -11,8 +11,8 @@ from .scope import normal_records
 def resolve_names(labels: DataFrame, catalog: DataFrame, crosswalk: DataFrame) -> DataFrame:
     """Adds resolved to labels (key): the crosswalk's name if it maps the key, null if it lists it unmapped, else the
     catalog's own name if it has one."""
-    x = F.broadcast(crosswalk.select(F.col("source").alias("key"), F.col("status"), F.col("target"), F.lit(True).alias("listed")))
-    c = F.broadcast(catalog.select(F.col("name").alias("key"), F.lit(True).alias("named")).distinct())
+    x = crosswalk.select(F.col("source").alias("key"), F.col("status"), F.col("target"), F.lit(True).alias("listed"))
+    c = catalog.select(F.col("name").alias("key"), F.lit(True).alias("named")).distinct()
     out = labels.join(x, "key", "left").join(c, "key", "left")
     by_crosswalk = F.when(F.col("status") == "mapped", F.col("target"))
     return out.withColumn("resolved", F.when(F.col("listed"), by_crosswalk).when(F.col("named"), F.col("key"))).drop("status", "target", "listed", "named")
@@ -26,7 +26,7 @@ def ignored_records(records: DataFrame, species: DataFrame) -> DataFrame:
     """How many records are left out, by reason."""
     named = species.select("species_id", F.lit(True).alias("known"))
     why = F.when(F.col("record_accuracy") != "normal", "accuracy").when(F.col("known").isNull(), "name")
-    return records.join(F.broadcast(named), "species_id", "left").withColumn("reason", why).where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return records.join(named, "species_id", "left").withColumn("reason", why).where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def profiles(species: DataFrame, rules: DataFrame, records: DataFrame) -> DataFrame:

@@ -57,12 +57,12 @@ def query_cells(cells: DataFrame, signatures: DataFrame, fine: bool = False) ->
 def allowed(rules: DataFrame, settings: QuerySettings, spark: SparkSession) -> DataFrame:
     """(species_id, elevation_bin, bits): habitats that a species selects and that an elevation bin allows."""
     bit = habitats(rules).select("rule_id", "bit")
-    r = selected(rules.where("supported"), settings).join(F.broadcast(bit), "rule_id")
+    r = selected(rules.where("supported"), settings).join(F.broadcast(bit), "rule_id")  # at most 30 habitats
     bins = spark.range(32).withColumnRenamed("id", "elevation_bin")
     band = band_of_bin(F.col("elevation_bin"), settings.low, settings.mountain) if settings.fine else F.col("elevation_bin")
     strict = F.lit(settings.model == "elevation" or (settings.fine and settings.model != "cover")) | F.col("elev_required")
     ok = ~strict | ((band < 4) & has("elev_mask", F.least(band, F.lit(4)).cast("int")))
-    return bins.crossJoin(F.broadcast(r)).where(ok).groupBy("species_id", "elevation_bin").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("bit"))).cast("bigint").alias("bits"))
+    return r.crossJoin(F.broadcast(bins)).where(ok).groupBy("species_id", "elevation_bin").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("bit"))).cast("bigint").alias("bits"))
 
 
 def compiled_matches(cells: DataFrame, rules: DataFrame, settings: QuerySettings) -> DataFrame:
@@ -70,9 +70,8 @@ def compiled_matches(cells: DataFrame, rules: DataFrame, settings: QuerySettings
     spark = cells.sparkSession
     flag = "cover_bits" if settings.model == "cover" else FLAGS[settings.limit]
     q = query_cells(cells, compile_signatures(spark, rules), settings.fine).where(~has(F.lit(excluded_mask(settings)), "cover") & (F.col("cover") > 0))
-    a = F.broadcast(allowed(rules, settings, spark))
     at = F.col("alt") if settings.fine else F.col("h")
-    return q.join(a, (at == F.col("elevation_bin")) & (F.col(flag).bitwiseAND(F.col("bits")) != 0)).drop("elevation_bin", "bits", "qk", "signature", *FLAGS)
+    return q.join(allowed(rules, settings, spark), (at == F.col("elevation_bin")) & (F.col(flag).bitwiseAND(F.col("bits")) != 0)).drop("elevation_bin", "bits", "qk", "signature", *FLAGS)
 
 
 def rule_groups(rules: DataFrame) -> DataFrame:

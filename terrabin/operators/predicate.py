@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from terrabin.functions.grid import band_of_bin
 from terrabin.settings import QuerySettings
 
-#: Rules that the predicate join broadcasts at most; beyond it, compiled signatures join on an equality.
-RULE_LIMIT = 10_000
 NEAR = (("water", "wb"), ("built", "bb"), ("edge", "eb"), ("rice", "rb"), ("coast", "cb"), ("river", "vb"))
 DIMS = ("cover", "h", "veg", "wb", "bb", "eb", "rb", "cb", "vb")
 
@@ -51,16 +49,23 @@ def accepts(settings: QuerySettings, height: Column | str = "h") -> Column:
     return F.col("supported") & known & has("class_mask", "cover") & near & ((F.col("veg_rule") == 0) | (F.col("veg_rule") == F.col("veg"))) & (~required | level)
 
 
+def by_cover(rules: DataFrame, settings: QuerySettings) -> DataFrame:
+    """Each selected rule once for every cover class it accepts: what makes the predicate's join an equality."""
+    mask = F.col("base_mask" if settings.model == "cover" else "class_mask").bitwiseAND(F.lit(~excluded_mask(settings)))
+    classes = F.filter(F.sequence(F.lit(1), F.lit(15)), lambda c: F.call_function("shiftright", mask, c).bitwiseAND(F.lit(1)) == 1)
+    return selected(rules, settings).withColumn("cover", F.explode(classes.cast("array<bigint>"))).withColumnRenamed("veg", "veg_rule")
+
+
 def accepted_strata(strata: DataFrame, rules: DataFrame, settings: QuerySettings) -> DataFrame:
     """(species_id, dims): distinct strata that some selected rule of a species accepts.
 
-    The theta join runs over distinct strata (a few thousand at any number of cells) and broadcast rules; what
-    follows is an equality join, so cells never meet rules directly.
+    Rules meet distinct strata (a few thousand at any number of cells) by cover class, with the other conditions as a
+    filter on the joined rows; what follows is an equality join on the dimensions, so cells never meet rules directly
+    and nothing needs a broadcast, though Spark may choose one by the tables' sizes.
     """
     dims = [*DIMS, *(["alt"] if settings.fine else [])]
     distinct = strata.select(*dims).distinct().withColumn("height", height_column(settings))
-    r = F.broadcast(selected(rules, settings).withColumnRenamed("veg", "veg_rule"))
-    return distinct.join(r, accepts(settings, "height")).select("species_id", *dims).distinct()
+    return distinct.join(by_cover(rules, settings), "cover").where(accepts(settings, "height")).select("species_id", *dims).distinct()
 
 
 def matched(strata: DataFrame, rules: DataFrame, settings: QuerySettings) -> DataFrame:

@@ -32,7 +32,7 @@ def prefectures(prefs: DataFrame, areas: DataFrame, species: DataFrame, settings
         p = p.where(F.col("pref") == settings.pref)
     if settings.scope == "recorded":
         return areas.select("species_id", "pref").join(p.select("pref"), "pref", "left_semi").join(species.select("species_id"), "species_id", "left_semi")
-    return species.select("species_id").crossJoin(F.broadcast(p.select("pref")))
+    return species.select("species_id").crossJoin(F.broadcast(p.select("pref")))  # 47 prefectures at most
 
 
 def resolved(scope: DataFrame, areas: DataFrame, aliases: DataFrame, regions: DataFrame, settings: QuerySettings) -> DataFrame:
