@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .session import prepare, text_bytes
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 MESSAGE = "bucket int, block int, payload binary"
 ANSWER = "block int, bucket int, payload binary"
 
