@@ -67,3 +67,12 @@ def split_by(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """A stable order by bucket and where each bucket starts (n + 1 bounds)."""
     at = np.argsort(bucket, kind="stable")
     return at, np.searchsorted(bucket[at], np.arange(n + 1))
+
+
+def squeezed(keys: np.ndarray) -> np.ndarray:
+    """Sorted 64-bit keys as their differences, byte planes apart: what pack() then compresses well."""
+    return np.diff(keys, prepend=K.U64(0)).view(np.uint8).reshape(-1, 8).T
+
+
+def unsqueezed(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(planes.T).view(K.U64).reshape(-1), dtype=K.U64)
