@@ -33,6 +33,8 @@ from .session import prepare, stored, table
 THRESHOLD, SHINGLE, SEED = 4, 4, 42
 BLOCKS = ((0, 21), (21, 21), (42, 22))
 LINK_ROWS = 500_000
+#: Members of an anchor beyond which it is split.
+HOT = 100_000
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -176,7 +178,7 @@ def links(distinct: DataFrame) -> DataFrame:
             row, anchor, home = replicas(fp)
             for k in range(0, len(row), 100_000):
                 s = slice(k, k + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[s].astype(np.int32)), pa.array(fp[row[s]].view(np.int64)), pa.array(home[s])], ["anchor", "fp", "home"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[s].astype(np.int64)), pa.array(fp[row[s]].view(np.int64)), pa.array(home[s])], ["anchor", "fp", "home"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -198,8 +200,20 @@ def links(distinct: DataFrame) -> DataFrame:
         if held:
             yield emit()
 
-    replicated = distinct.select("fp").mapInArrow(spread, "anchor int, fp long, home boolean")
-    return replicated.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
+    replicated = distinct.select("fp").mapInArrow(spread, "anchor long, fp long, home boolean")
+    return split(replicated).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
+
+
+def split(replicated: DataFrame) -> DataFrame:
+    """Rows of anchors with more than HOT members dealt to a grid of s by s parts: homes by rows, members by columns, so
+    that each home still meets each member in one part, and no part holds much more than twice HOT."""
+    many = replicated.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT)
+    rows = replicated.join(many.select("anchor", F.ceil(F.col("n") / HOT).alias("s")), "anchor", "left")
+    own = F.pmod(F.xxhash64("fp"), F.col("s"))
+    side = lambda home: F.transform(F.sequence(F.lit(0).cast("long"), F.col("s") - 1), lambda k: F.struct((F.xxhash64("anchor", own, k) if home else F.xxhash64("anchor", k, own)).alias("anchor"), F.lit(home).alias("home")))
+    none = F.slice(side(False), 1, 0)
+    parts = F.when(F.col("s").isNull(), F.array(F.struct("anchor", "home"))).otherwise(F.concat(F.when(F.col("home"), side(True)).otherwise(none), side(False)))
+    return rows.select("fp", F.explode(parts).alias("x")).select("x.anchor", "fp", "x.home")
 
 
 def components(prints: DataFrame) -> DataFrame:

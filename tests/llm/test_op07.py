@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 from conftest import words_of
 
@@ -41,7 +42,9 @@ def test_documents(docs, rows):
     assert Counter((r.doc_id, r.fp % 2**64, r.component_id) for r in got) == Counter((d, f, c) for (d, f), c in zip(want, brute(want), strict=True))
 
 
-def test_links_lose_nothing(spark):
+@pytest.mark.parametrize("hot", [op.HOT, 3])
+def test_links_lose_nothing(spark, monkeypatch, hot):
+    monkeypatch.setattr(op, "HOT", hot)
     r = random.Random(3)
     fps = []
     for _ in range(12):
