@@ -622,6 +622,94 @@ def _(labels_ja):
     return labels.spatial_rules(labels_ja).select("n", "label", join("classes"), join("candidate_classes"), "water", "coast", "built", "edge", "rice", "river", "vegetation", join("elevation"), "supported", join("pending"), "proxy")
 
 
+# ---- scope, layers and materialised views in single steps ------------------------------------------------------
+
+_NORMAL = "(select * from records where record_accuracy = 'normal')"
+
+
+@query("F2_quality_filter", "select species_id, pref, island from records where record_accuracy = 'normal' and species_id in (select species_id from species) and pref in (select pref from cell)", "records", "species", "cell")
+def _(records, species, cell):
+    known = scope.normal_records(records).join(species.select("species_id"), "species_id", "left_semi")
+    return known.join(cell.select("pref").distinct(), "pref", "left_semi").select("species_id", "pref", "island")
+
+
+@query("F3_prefectures", f"select distinct r.species_id, r.pref from {_NORMAL} r join (select distinct pref from cell where region = 3) p using (pref) join species s on s.species_id = r.species_id", "cell", "records", "species")
+def _(cell, records, species):
+    prefs = cell.select("pref", "region").distinct()
+    return scope.prefectures(prefs, scope.record_areas(records), species, QuerySettings(region="3"))
+
+
+_SCOPE = f"""with ra as (select species_id, pref, bool_or(island = '') as unspecified from {_NORMAL} r group by species_id, pref),
+ch as (select ra.* from ra join (select distinct pref from cell) using (pref) join species using (species_id)),
+ri as (select distinct pref, rid from cell_region),
+res as (select species_id, pref, cast(null as bigint) as rid, cast(null as varchar) as label from ch where unspecified
+  union all select distinct ch.species_id, ch.pref, case when r.island = 'mainland' then m.rid else v.rid end, r.island from ch join {_NORMAL} r using (species_id, pref)
+    left join (select pref, rid from ri where rid = pref*10+1) m on m.pref = ch.pref
+    left join (select a.island, a.pref, a.rid from island_alias a join ri on ri.pref = a.pref and ri.rid = a.rid) v on v.island = r.island and v.pref = ch.pref
+    where not unspecified and r.island <> '')"""
+
+
+def _scoped(cell, cell_region, records, island_alias, species):
+    settings, areas = QuerySettings(), scope.record_areas(records)
+    chosen = scope.prefectures(cell.select("pref", "region").distinct(), areas, species, settings)
+    return scope.resolved(chosen, areas, island_alias, cell_region, settings)
+
+
+@query("J14_record_scope", f"{_SCOPE} select species_id, pref, rid, label from res", "cell", "cell_region", "records", "island_alias", "species")
+def _(cell, cell_region, records, island_alias, species):
+    return _scoped(cell, cell_region, records, island_alias, species)
+
+
+@query("J15_scoped_rows", f"""{_SCOPE}, t as (select pref, rid, sum(n) as total from cell join cell_region using (gx, gy, pref) group by pref, rid)
+select species_id, pref, rid, cast(total as bigint) as total from (select species_id, pref from res where label is null) f join t using (pref) union all select species_id, pref, rid, cast(total as bigint) from (select distinct species_id, pref, rid from res where rid is not null) g join t using (pref, rid)""", "cell", "cell_region", "records", "island_alias", "species")
+def _(cell, cell_region, records, island_alias, species):
+    totals = strata.totals(cell.join(cell_region, ["gx", "gy", "pref"]), "pref", "rid").select("pref", "rid", _b("total"))
+    return scope.in_scope(totals, _scoped(cell, cell_region, records, island_alias, species)).select("species_id", "pref", "rid", "total")
+
+
+@query("J7_parent_mesh", "select p.pref, cast(count(*) as bigint) as n from px p join (select gx, gy, min(pref) as pref from cell group by gx, gy) m on m.gx = 12000 + cast(floor(p.x/5.0) as bigint) and m.gy = 15000 + cast(floor(p.y/5.0) as bigint) and m.pref = p.pref group by p.pref", "px", "cell")
+def _(px, cell):
+    parent = cell.groupBy("gx", "gy").agg(F.min("pref").alias("pref"))
+    at = px.withColumns({"gx": F.floor(F.col("x") / 5) + 12000, "gy": F.floor(F.col("y") / 5) + 15000})
+    return at.join(parent, ["gx", "gy", "pref"]).groupBy("pref").agg(_b(F.count(F.lit(1)), "n"))
+
+
+@query("J8_layers", "select a.cover, b.veg, cast(count(*) as bigint) as n from px a join px b on a.x = b.x and a.y = b.y where b.height is not null group by 1, 2", "px")
+def _(px):
+    other = px.where("height is not null").select("x", "y", "veg")
+    return px.select("x", "y", "cover").join(other, ["x", "y"]).groupBy("cover", "veg").agg(_b(F.count(F.lit(1)), "n"))
+
+
+@query("J17_region_tiles", "select distinct cast(floor(gx/4.0) as bigint) as tx, cast(floor(gy/4.0) as bigint) as ty from cell_region where rid in (11, 32, 73)", "cell_region")
+def _(cell_region):
+    tile = cell_region.select(F.floor(F.col("gx") / 4).cast(BIG).alias("tx"), F.floor(F.col("gy") / 4).cast(BIG).alias("ty"), "rid").distinct()
+    wanted = cell_region.sparkSession.createDataFrame([(11,), (32,), (73,)], "rid long")
+    return tile.join(wanted, "rid", "left_semi").select("tx", "ty").distinct()
+
+
+@query("A16_effective_species", "select species_id, cast(bit_or(case when supported then class_mask else 0 end) as bigint) as available, cast(bit_or(case when supported then class_mask & ~(1 << 6) else 0 end) as bigint) as classes, cast(count(*) as bigint) as selected, cast(count(*) filter (where supported and (class_mask & ~(1 << 6)) <> 0) as bigint) as mapped from rules group by species_id", "rules")
+def _(rules):
+    return summary.effective(rules, QuerySettings(excluded=(6,)))
+
+
+@query("A27_legend_sizes", "select veg, cast(count(*) as bigint) as n from px group by veg", "px")
+def _(px):
+    return px.groupBy("veg").agg(_b(F.count(F.lit(1)), "n"))
+
+
+@query("C3_group_views", f"""with b as (select cast(i as bigint) as base, i & 3 as bb, (i >> 2) & 3 as wb, (i >> 4) & 15 as cover, (i >> 8) & 3 as eb, (i >> 10) & 3 as rb, (i >> 12) & 7 as veg from (select unnest(generate_series(0, 24575)) as i) g),
+f as (select base, {', '.join(f'cast({_flag(d)} as bigint) as {n}' for d, n in zip((0, 1, 2, None), compiler.FLAGS, strict=True))} from b cross join {_BITS} r group by base)
+select pref, m100, m250, m500, cover_bits, h, cover, cast(sum(n) as bigint) as n from (select *, cast((k&15)|(((k>>6)&15)<<4)|(((k>>12)&3)<<8)|(((k>>14)&3)<<10)|(((k>>18)&7)<<12) as bigint) as base from cell) c join f using (base) where m100 + m250 + m500 + cover_bits > 0 group by all""", "cell", "rules")
+def _(cell, rules):
+    return summary.views(cell, compiler.compile_signatures(rules.sparkSession, rules)).withColumn("n", _b("n"))
+
+
+@query("P20_units", "select pref, printf('%.3f', sum(n)*0.01*100) as hectares, round(sum(n)*0.01, 1) as shown from cell group by pref", "cell")
+def _(cell):
+    n = F.sum("n") * F.lit(0.01).cast("double")
+    return cell.groupBy("pref").agg(F.format_string("%.3f", n * 100).alias("hectares"), F.round(n, 1).alias("shown"))
+
+
 # ---- sets, exports, sources ----------------------------------------------------------------------------------
 
 
@@ -717,7 +805,11 @@ for _name, _views, _check in (
     ("V10_compiled_cover", ("cell", "rules"), lambda c, r: checks.compiled_equals_native(c, r, QuerySettings(model="cover"))),
     ("F9_compiled_equals_native", ("cell", "rules"), lambda c, r: checks.compiled_equals_native(c, r, QuerySettings(model="elevation", distance=100))),
     ("V11_packed_map", ("cell",), lambda c: checks.parity(strata.coarse(c, 8, "pref").groupBy("pref").agg(F.sum("n").alias("n")), c.groupBy("pref").agg(F.sum("n").alias("n")))),
+    ("V12_delivery_split", ("cell",), lambda c: checks.parity(c.where("pref <= 12").unionByName(c.where("pref > 12")), c)),
     ("V13_reband", ("cell",), checks.reband),
+    ("V14_valid_runs", ("cell_region",), lambda r: runs.invalid(runs.encode(r, ["pref"], ["gy", "gx"], "rid"), ["pref"]).agg(F.count(F.lit(1)).alias("broken"))),
+    ("W4_increasing_keys", ("cell",), checks.increasing),
+    ("J22_zip_parity", ("cell", "cell_region"), lambda c, r: checks.parity(c.select("gx", "gy", "pref").distinct(), r.select("gx", "gy", "pref"))),
     ("V15_candidates_within", ("cell", "rules"), lambda c, r: checks.candidates_within(c, r, QuerySettings())),
 ):
     query(_name, _NONE, *_views)(_check)

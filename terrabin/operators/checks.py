@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrabin.functions import strata as K
@@ -75,3 +75,10 @@ def region_parity(cells: DataFrame, regions: DataFrame) -> DataFrame:
     """Every cell has exactly one land component of its own prefecture, and none is lost."""
     joined = cells.select("gx", "gy", "pref").distinct().join(regions, ["gx", "gy", "pref"], "left").groupBy("gx", "gy", "pref").agg(F.count("rid").alias("c"), F.max((F.col("rid") != 0) & (F.floor(F.col("rid") / 10) != F.col("pref"))).alias("foreign"))
     return broken(joined, (F.col("c") != 1) | F.col("foreign"))
+
+
+def increasing(cells: DataFrame) -> DataFrame:
+    """Keys of a cell and prefecture that do not rise strictly in the order of their packed rows."""
+    one = cells.groupBy("gx", "gy", "pref", "k").agg(F.sum("n").alias("n"))
+    last = F.lag("k").over(Window.partitionBy("gx", "gy", "pref").orderBy("k"))
+    return broken(one.withColumn("last", last), F.coalesce(F.col("last") >= F.col("k"), F.lit(False)))

@@ -65,3 +65,19 @@ def basic(areas: DataFrame, classes: DataFrame, chosen: DataFrame, excluded: tup
     out = species.join(has, "species_id", "left").join(left, "species_id", "left").join(total, "species_id", "left").join(hit, "species_id", "left")
     state = F.when(F.col("some").isNull(), F.when(F.col("any"), F.lit("no_landcover")).otherwise(F.lit("unmapped"))).otherwise(F.lit("evaluated"))
     return out.select("species_id", state.alias("status"), F.when(F.col("some"), F.coalesce("pixels", F.lit(0))).cast("bigint").alias("pixels"), F.coalesce("total", F.lit(0)).cast("bigint").alias("total"))
+
+
+def effective(rules: DataFrame, settings: QuerySettings) -> DataFrame:
+    """(species_id, available, classes, selected, mapped): class masks of selected rules before and after exclusion, and counts."""
+    mask = F.col("base_mask" if settings.model == "cover" else "class_mask")
+    left = F.lit(~predicate.excluded_mask(settings))
+    own = F.when(F.col("supported"), mask).otherwise(0)
+    r = predicate.selected(rules, settings).groupBy("species_id")
+    return r.agg(F.bit_or(own).cast("bigint").alias("available"), F.bit_or(own.bitwiseAND(left)).cast("bigint").alias("classes"), F.count(F.lit(1)).alias("selected"), F.count_if(own.bitwiseAND(left) != 0).alias("mapped"))
+
+
+def views(cells: DataFrame, signatures: DataFrame, keys: tuple[str, ...] = ("pref",)) -> DataFrame:
+    """Materialised sums by keys, compiled flags, height and class: what area questions read instead of cells."""
+    from .compiler import FLAGS, query_cells
+
+    return query_cells(cells, signatures).where("signature > 0").groupBy(*keys, *FLAGS, "h", "cover").agg(F.sum("n").alias("n"))
