@@ -27,6 +27,9 @@ from pyspark.sql import DataFrame
 from . import exchange as X
 from . import kernels as K
 
+#: Units that one index of a shard holds, unless one anchor's pieces alone hold more.
+SHARD_UNITS = 1 << 18
+
 
 @dataclass(frozen=True)
 class Task:
@@ -153,7 +156,7 @@ def settle(task: Task):
         out = []
         for part, a, b in zip(parts, np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True):
             s, q = settled[a:b], asked[a:b]
-            out.append(X.pack(start[a:b][s].astype(np.uint32), windows[a:b][s], start[a:b][q].astype(np.uint32), windows[a:b][q], query[a:b][q], part[7]))
+            out.append(X.pack(start[a:b][s].astype(np.uint32), windows[a:b][s], start[a:b][q].astype(np.uint32), windows[a:b][q], query[a:b][q], (key[a:b][q] & 0xFFFF).astype(np.uint16), part[7]))
         return X.rows(X.ANSWER, block=t["block"].to_pylist(), bucket=t["bucket"].to_pylist(), payload=out)
 
     return run
@@ -184,7 +187,7 @@ def tell(task: Task):
         units, offsets, _ = task.units(t)
         covered, out = [], []
         for bucket, data in zip(right["bucket"].to_pylist(), right["payload"].to_pylist(), strict=True):
-            start, windows, ask, ask_windows, query, local = X.unpack(data)
+            start, windows, ask, ask_windows, query, tag, local = X.unpack(data)
             covered.append((start, windows))
             if len(local):
                 covered.append(X.unpack(local.tobytes()))
@@ -192,22 +195,37 @@ def tell(task: Task):
                 ask, n = ask.astype(np.int64), ask_windows.astype(np.int64)
                 doc = np.searchsorted(offsets, ask, "right") - 1
                 before = np.where(ask > offsets[doc], units[np.maximum(ask - 1, 0)].astype(np.int64) if not task.words else 0, -1)
-                out.append((bucket, (ask.astype(np.uint32), ask_windows, query, ids[doc], before.astype(np.int16), gather(units, ask, n + task.window - 1))))
+                out.append((bucket, (ask.astype(np.uint32), ask_windows, query, ids[doc], before.astype(np.int16), tag, gather(units, ask, n + task.window - 1))))
         start, end = runs_of(*(np.concatenate(x) for x in zip(*((s, w.astype(np.int64) + task.window - 1) for s, w in covered), strict=True)))
         home = [X.pack(start, end)]
-        rows = [(b, X.pack(*m)) for b, m in out] + [(right["bucket"][0].as_py(), X.pack(*(np.zeros(0, k) for k in ("u4", "u1", "?", "i8", "i2")), units[:0], *map(np.asarray, X.unpack(home[0]))))]
+        rows = [(b, X.pack(*m)) for b, m in out] + [(right["bucket"][0].as_py(), X.pack(*(np.zeros(0, k) for k in ("u4", "u1", "?", "i8", "i2", "u2")), units[:0], *map(np.asarray, X.unpack(home[0]))))]
         return X.rows(X.MESSAGE, bucket=[r[0] for r in rows], block=[block] * len(rows), payload=[r[1] for r in rows])
 
     return run
 
 
+def indexed(task: Task, pieces_: list[np.ndarray], units: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, ...]:
+    """task.decide over parts of a shard of about SHARD_UNITS: pieces of one anchor share a tag and stay together."""
+    windows = pieces_[0].astype(np.int64)
+    length = windows + task.window - 1
+    begin = np.cumsum(length) - length
+    n = int(length.sum()) // SHARD_UNITS + 1
+    by, cut = X.split_by((tag.astype(np.int64) * n) >> 16, n)
+    out = [(np.zeros(0, np.int64),) * 3]
+    for k in range(n):
+        s = by[cut[k] : cut[k + 1]]
+        if len(s):
+            piece, first, run = task.decide(gather(units, begin[s], length[s]), np.cumsum(length[s]), windows[s], *(x[s] for x in pieces_[1:]))
+            out.append((s[piece], first, run))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def decide(task: Task):
     def run(t: pa.Table) -> pa.Table:
         parts = [X.unpack(p) for p in t["payload"].to_pylist()]
         sizes = np.array([len(p[0]) for p in parts])
-        start, windows, query, ids, before, units = (np.concatenate([p[k] for p in parts]) for k in range(6))
-        length = windows.astype(np.int64) + task.window - 1
-        piece, first, run_length = task.decide(units, np.cumsum(length), windows.astype(np.int64), ids, before, query) if len(start) else (np.zeros(0, np.int64),) * 3
+        start, windows, query, ids, before, tag, units = (np.concatenate([p[k] for p in parts]) for k in range(7))
+        piece, first, run_length = indexed(task, [windows, ids, before, query], units, tag)
         at = start.astype(np.int64)[piece] + first
         owner = np.repeat(np.arange(len(parts)), sizes)[piece]
         by, cut = X.split_by(owner, len(parts))
@@ -215,8 +233,8 @@ def decide(task: Task):
         for k, part in enumerate(parts):
             s = by[cut[k] : cut[k + 1]]
             a, b = runs_of(at[s], run_length[s])
-            if len(part) > 6:
-                a, b = np.concatenate([a, part[6]]), np.concatenate([b, part[7]])
+            if len(part) > 7:
+                a, b = np.concatenate([a, part[7]]), np.concatenate([b, part[8]])
             out.append(X.pack(a, b))
         return X.rows(X.ANSWER, block=t["block"].to_pylist(), bucket=t["bucket"].to_pylist(), payload=out)
 

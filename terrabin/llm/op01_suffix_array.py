@@ -46,10 +46,9 @@ def repeats(units, ends, windows, ids, before, query, window: int = WINDOW):
     joined = lcp >= window
     first = np.flatnonzero(~joined)
     size = np.diff(np.append(first, len(at)))
-    first, size = first[size > 1], size[size > 1]
-    low, high = (np.array([f(own[a : a + n]) for a, n in zip(first, size, strict=True)], np.int64) for f in (np.min, np.max))
+    several = np.maximum.reduceat(own, first) > np.minimum.reduceat(own, first)
     intervals = []
-    for a, n in zip(first[high > low].tolist(), size[high > low].tolist(), strict=True):
+    for a, n in zip(first[several].tolist(), size[several].tolist(), strict=True):
         for i, j, length, least in suffix.maximal_repeats(lcp[a : a + n].tolist(), left[a : a + n].tolist(), own[a : a + n].tolist()):
             intervals.append((a + i, j - i + 1, length, least))
     if not intervals:
