@@ -43,20 +43,27 @@ class Task:
     anywhere: bool
     decide: Callable
 
-    def units(self, t: pa.Table) -> tuple[np.ndarray, np.ndarray, list]:
-        """Of a whole block: units, offsets of its documents in units, and the slices' hashes."""
-        units, counts, polys = [], [], []
+    def slices(self, t: pa.Table):
+        """(units' hash sums, offsets in units) of a block's slices, one at a time."""
         for _, _, buf, offsets in K.text_slices(t["text"]):
             poly = K.Poly(K.byte_values(buf))
             if self.words:
                 starts, ends, offsets = K.runs(~K.SPACE[buf], offsets)
-                buf = poly.of(starts, ends)
-                poly = K.Poly(buf)
+                poly = K.Poly(poly.of(starts, ends))
+            yield poly, offsets
+
+    def units(self, t: pa.Table, values: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Units (words as hashes) of a whole block, if asked for, and offsets of its documents in units."""
+        units, counts = [], []
+        for _, _, buf, offsets in K.text_slices(t["text"]):
+            if self.words:
+                starts, ends, own = K.runs(~K.SPACE[buf], offsets)
+                buf = K.Poly(K.byte_values(buf)).of(starts, ends) if values else buf[:0]
+                offsets = own
             units.append(buf)
             counts.append(np.diff(offsets))
-            polys.append((poly, offsets))
         n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-        return np.concatenate(units) if units else np.zeros(0, np.uint8), np.concatenate([[0], np.cumsum(n)]), polys
+        return np.concatenate(units) if units else np.zeros(0, np.uint8), np.concatenate([[0], np.cumsum(n)])
 
 
 def pieces(poly: K.Poly, offsets: np.ndarray, task: Task) -> tuple[np.ndarray, ...]:
@@ -79,12 +86,12 @@ def send(task: Task, n: int):
         block = t["block"][0].as_py()
         t = X.ordered(t)
         ids = X.ids_of(t)
-        _, offsets, polys = task.units(t)
-        found, docs_before = [], 0
-        for poly, own in polys:
+        found, docs_before, units_before = [], 0, 0
+        for poly, own in task.slices(t):
             key, content, doc, start, windows = pieces(poly, own, task)
-            found.append((key, content, doc + docs_before, start + offsets[docs_before], windows))
+            found.append((key, content, doc + docs_before, start + units_before, windows))
             docs_before += len(own) - 1
+            units_before += int(own[-1])
         key, content, doc, start, windows = (np.concatenate(x) for x in zip(*found, strict=True))
         with np.errstate(over="ignore"):
             order, first = K.groups(K.mix(key * K.U64(3) + content))
@@ -184,7 +191,7 @@ def tell(task: Task):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         t = X.ordered(left)
         block, ids = t["block"][0].as_py(), X.ids_of(t)
-        units, offsets, _ = task.units(t)
+        units, offsets = task.units(t)
         covered, out = [], []
         for bucket, data in zip(right["bucket"].to_pylist(), right["payload"].to_pylist(), strict=True):
             start, windows, ask, ask_windows, query, tag, local = X.unpack(data)
@@ -244,12 +251,12 @@ def decide(task: Task):
 def finish(task: Task, report: Callable, schema: str):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         t = X.ordered(left)
-        units, offsets, _ = task.units(t)
+        _, offsets = task.units(t, values=False)
         spans = [X.unpack(p) for p in right["payload"].to_pylist()]
-        gone = np.zeros(len(units), bool)
+        gone = np.zeros(int(offsets[-1]), bool)
         if spans:
             a, b = (np.concatenate(x).astype(np.int64) for x in zip(*spans, strict=True))
-            gone = K.covered(len(units), a, b - a)
+            gone = K.covered(int(offsets[-1]), a, b - a)
         return report(t, offsets, gone)
 
     return run
@@ -258,8 +265,8 @@ def finish(task: Task, report: Callable, schema: str):
 def removed(docs: DataFrame, task: Task, report: Callable, schema: str, block_bytes: int = X.BLOCK_BYTES) -> DataFrame:
     """report(block's documents, offsets in units, removed units) for every block."""
     blocked, n = X.blocks(docs, block_bytes)
-    sent = blocked.groupBy("block").applyInArrow(send(task, n), X.MESSAGE)
-    asked = sent.groupBy("bucket").applyInArrow(settle(task), X.ANSWER)
-    told = blocked.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(tell(task), X.MESSAGE)
-    answers = told.groupBy("bucket").applyInArrow(decide(task), X.ANSWER)
-    return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish(task, report, schema), schema)
+    sent = blocked.groupBy("block").applyInArrow(X.frugal(send(task, n)), X.MESSAGE)
+    asked = sent.groupBy("bucket").applyInArrow(X.frugal(settle(task)), X.ANSWER)
+    told = blocked.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(X.frugal_pair(tell(task)), X.MESSAGE)
+    answers = told.groupBy("bucket").applyInArrow(X.frugal(decide(task)), X.ANSWER)
+    return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(X.frugal_pair(finish(task, report, schema)), schema)

@@ -8,6 +8,7 @@ block), and texts are shuffled once: every step that needs them reuses that exch
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import zlib
 
@@ -76,3 +77,30 @@ def squeezed(keys: np.ndarray) -> np.ndarray:
 
 def unsqueezed(planes: np.ndarray) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(K.U64).reshape(-1), dtype=K.U64)
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a worker keeps what the largest of its groups took otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def frugal(f):
+    def run(t: pa.Table) -> pa.Table:
+        out = f(t)
+        release()
+        return out
+
+    return run
+
+
+def frugal_pair(f):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = f(left, right)
+        release()
+        return out
+
+    return run

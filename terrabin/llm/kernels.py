@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 NULL_ID = np.int64(2**63 - 1)  # a missing doc_id sorts after all others
 
 _rng = np.random.default_rng(20240229)
