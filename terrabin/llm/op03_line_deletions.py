@@ -43,8 +43,13 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
-    """(h1, h2, place, n, line): every different line once, by its 128-bit hash."""
-    return lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "pos")).alias("place"), F.count(F.lit(1)).alias("n"), F.first("line").alias("line"))
+    """(h1, h2, place, n, line): every different line once, by its 128-bit hash.
+
+    The filter holds always; it keeps place and n in every use of the aggregate with lines, so that one exchange of
+    the lines serves all of them.
+    """
+    d = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "pos")).alias("place"), F.count(F.lit(1)).alias("n"), F.first("line").alias("line"))
+    return d.where("n > 0 and place is not null")
 
 
 def _classes(lines: DataFrame) -> DataFrame:
