@@ -17,8 +17,11 @@ NULL_ID = np.int64(2**63 - 1)  # a missing doc_id sorts after all others
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
+_BYTE2 = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _P = U64(0x9E3779B97F4A7C15)
 _P_INV = U64(pow(int(_P), -1, 2**64))
+_P2 = U64(0xD1342543DE82EF95)
+_P2_INV = U64(pow(int(_P2), -1, 2**64))
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -27,6 +30,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 class _Powers:
     """Powers of P and of its inverse mod 2**64, kept up to the largest length asked for (at most one slice)."""
 
+    base, inverse = _P, _P_INV
     p = np.ones(1, U64)
     q = np.ones(1, U64)
 
@@ -35,12 +39,16 @@ class _Powers:
         if len(cls.p) < n:
             size = max(n, SLICE_BYTES + 1024)
             with np.errstate(over="ignore"):
-                p, q = np.full(size, _P, U64), np.full(size, _P_INV, U64)
+                p, q = np.full(size, cls.base, U64), np.full(size, cls.inverse, U64)
                 p[0] = q[0] = U64(1)
                 cls.p, cls.q = np.multiply.accumulate(p), np.multiply.accumulate(q)
         return cls.p[:n], cls.q[:n]
 
 
+class _Powers2(_Powers):
+    base, inverse = _P2, _P2_INV
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser."""
     x = x ^ (x >> U64(30))
@@ -53,9 +61,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Poly:
     """Prefix sums of v[i] * P**i: the hash of any [start, end) in constant time."""
 
+    powers = _Powers
+
     def __init__(self, values: np.ndarray):
         n = len(values)
-        p, self.inverse = _Powers.to(n + 1)
+        p, self.inverse = self.powers.to(n + 1)
         self.sums = np.zeros(n + 1, U64)
         np.cumsum(values * p[:n], out=self.sums[1:])
 
@@ -63,10 +73,20 @@ class Poly:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(U64))
 
 
+class Poly2(Poly):
+    """The same with another base: over second_values(), a hash that does not depend on Poly's."""
+
+    powers = _Powers2
+
+
 def byte_values(buf: np.ndarray) -> np.ndarray:
     return _BYTE[buf]
 
 
+def second_values(buf: np.ndarray) -> np.ndarray:
+    return _BYTE2[buf]
+
+
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of whole texts of about limit bytes."""
     if isinstance(column, pa.ChunkedArray):
@@ -135,6 +155,19 @@ def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.flatnonzero(new)
 
 
+def pair_groups(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """groups() of equal pairs (a, b)."""
+    at, first = groups(a)
+    same = np.ones(len(at), bool)
+    same[first] = False
+    if np.any(b[at][1:][same[1:]] != b[at][:-1][same[1:]]):  # a alone does not tell them apart
+        at = np.lexsort((b, a))
+        new = np.ones(len(at), bool)
+        new[1:] = (a[at][1:] != a[at][:-1]) | (b[at][1:] != b[at][:-1])
+        first = np.flatnonzero(new)
+    return at, first
+
+
 def group_of(starts: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
 
@@ -159,7 +192,7 @@ def leftmost_minimum(values: np.ndarray, width: int) -> np.ndarray:
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    best, at, span = values, np.arange(len(values), dtype=np.int64), 1
+    best, at, span = values, np.arange(len(values), dtype=np.int32 if len(values) < 2**31 else np.int64), 1
     while span < width:
         step = min(span, width - span)
         a, b = best[: len(best) - step], best[step:]

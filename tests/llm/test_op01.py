@@ -45,3 +45,12 @@ def test_interval_tree():
     # banana$: suffixes a, ana, anana, banana, na, nana; maximal repeats a (3), ana (2); na cannot be reported, as a stands before it
     found = suffix.maximal_repeats([0, 1, 3, 0, 0, 2], [ord("n"), ord("n"), ord("b"), -1, ord("a"), ord("a")], [0] * 6)
     assert sorted((n, j - i + 1) for i, j, n, _ in found) == [(1, 3), (3, 2)]
+
+
+def test_pieces_whose_hashes_agree_in_40_bits(spark):
+    # 50 bytes each, of one anchor; the low 40 bits of the first content hash agree within a pair
+    tails = ["rGtH", "WGFA", "pLa4", "c1ln", "bO0o", "0XZn", "SjMA", "X1Vp"]
+    rows = [(i, "See https://example.org/licence for terms. Id:" + x) for i, x in enumerate(tails)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = A.removed(docs, op.TASK, op.report, op.SCHEMA, 10).collect()
+    assert [r.n_removed for r in got] == [0] * 8 and Counter(tuple(r) for r in got) == brute(rows)

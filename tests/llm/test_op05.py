@@ -7,6 +7,7 @@ from conftest import words_of
 
 from terrabin.llm import anchored as A
 from terrabin.llm import fm_index
+from terrabin.llm import kernels as K
 from terrabin.llm import op05_fm_index as op
 
 
@@ -51,3 +52,18 @@ def test_counts_equal_a_plain_search():
             lo, hi = index.step(np.array([c + 1]), lo, hi)
         want = sum((p[s : s + len(pattern)] == pattern).all() for p in pieces for s in range(len(p) - len(pattern) + 1))
         assert hi[0] - lo[0] == want
+
+
+def test_pieces_whose_hashes_agree_in_40_bits(spark):
+    # 35 words each, of one anchor; the low 40 bits of the first content hash agree within a pair
+    tails = ["x3428209", "x3622608", "x0132596", "x2485662", "x3052752", "x3774119", "x3234641", "x1239785"]
+    rows = [(i, " ".join([*(f"w{k}" for k in range(34)), x])) for i, x in enumerate(tails)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = A.removed(docs, op.TASK, op.report, op.SCHEMA, 10).collect()
+    assert [r.n_removed for r in got] == [0] * 8 and Counter(tuple(r) for r in got) == brute(rows)
+
+
+def test_pairs_are_grouped_by_both():
+    a, b = np.array([5, 3, 5, 5, 3], np.uint64), np.array([1, 2, 9, 1, 2], np.uint64)
+    at, first = K.pair_groups(a, b)
+    assert sorted(sorted(g.tolist()) for g in np.split(at, first[1:])) == [[0, 3], [1, 4], [2]]
