@@ -2,8 +2,10 @@
 
 Candidate pieces come from anchored.py.  In each shard, prefix doubling sorts the suffixes that start a window, the
 longest common prefixes follow from the doubling ranks, and a stack scan visits the common-prefix interval tree:
-each interval of at least WINDOW bytes whose suffixes differ in the byte before them is a maximal repeat, reported
-with all its occurrences; those outside the smallest document are removed.  A piece ends where the next anchor
+each interval of at least WINDOW bytes whose suffixes differ in the byte before them is a maximal repeat, a
+group; its occurrences outside the smallest document are removed.  A piece with copies is settled by its hashes, and
+one holder stands for it in the index.  repeat_groups.groups() gives the groups with all
+occurrences, copies too.  A piece ends where the next anchor
 takes over, so a repeat longer than a piece is a chain of overlapping groups; the first window of a piece counts as
 left-diverse for that reason.
 
@@ -29,8 +31,8 @@ WINDOW, GRAM, PACK = 50, 20, 7
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def repeats(units, ends, windows, ids, before, query, window: int = WINDOW):
-    """(piece, first byte, length) of the occurrences of maximal repeats outside the smallest document."""
+def windows_sorted(units, ends, windows):
+    """Position, piece, offset, common prefix with the one before and left symbol of the windows' suffixes, in order."""
     starts = np.concatenate([[0], ends[:-1]])
     end = np.repeat(ends, ends - starts)
     levels = suffix.ranks(units, end, int((ends - starts).max()), PACK)
@@ -40,7 +42,12 @@ def repeats(units, ends, windows, ids, before, query, window: int = WINDOW):
     order = np.argsort(levels[-1][1][at], kind="stable")
     at, piece, offset = at[order], piece[order], offset[order]
     lcp = suffix.bytewise(units, end, at, suffix.common_prefixes(levels, end, at), PACK - 1)
-    left = np.where(offset > 0, units[np.maximum(at - 1, 0)].astype(np.int64), -1)
+    return at, piece, offset, lcp, np.where(offset > 0, units[np.maximum(at - 1, 0)].astype(np.int64), -1)
+
+
+def repeats(units, ends, windows, ids, before, query, window: int = WINDOW):
+    """(piece, first byte, length) of the occurrences of maximal repeats outside the smallest document."""
+    at, piece, offset, lcp, left = windows_sorted(units, ends, windows)
     own = ids[piece]
     # runs of suffixes that share a whole window, seen by two documents
     joined = lcp >= window

@@ -1,0 +1,161 @@
+"""Maximal repeat groups with all their occurrences, over the pieces of anchored.py.
+
+    block:  each different piece once, with how often the block holds it               -> bucket of the anchor
+    bucket: where an anchor has several contents, one holder of each is asked          -> block
+    block:  units of the asked pieces (anchored.tell)                                  -> bucket
+    bucket: intervals of their suffix array; a content that occurs twice is one too    -> every block that holds a content
+    block:  a row for each occurrence
+
+A repeat longer than a piece is a chain of overlapping groups.  A bucket holds one entry a block and content, never
+all occurrences.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from . import anchored as A
+from . import exchange as X
+from . import kernels as K
+from . import op01_suffix_array as op1
+from . import suffix
+
+SCHEMA = "group long, doc_id long, start long, length long"
+
+
+def send(task: A.Task, n: int):
+    def run(t: pa.Table) -> pa.Table:
+        block = t["block"][0].as_py()
+        key, content, check, _, start, windows = A.block_pieces(task, X.ordered(t))
+        order, first = K.pair_groups(content, check)
+        one, count = order[first], np.diff(np.append(first, len(order)))
+        by, cut = X.split_by((((key[one] >> K.U64(32)) * K.U64(n)) >> K.U64(32)).astype(np.int64), n)
+        out = []
+        for k in range(n):
+            s = by[cut[k] : cut[k + 1]]
+            if len(s) or k == block % n:
+                o = one[s]
+                out.append((k, X.pack(key[o].astype(np.uint32), content[o], check[o], start[o].astype(np.uint32), windows[o].astype(np.uint8), count[s].astype(np.uint32))))
+        return X.rows(X.MESSAGE, bucket=[x[0] for x in out], block=[block] * len(out), payload=[x[1] for x in out])
+
+    return run
+
+
+def _entries(t: pa.Table):
+    """Rows by block, a block's number and range of entries, and the entries."""
+    t = t.sort_by("block")
+    parts = [X.unpack(p.as_py()) for p in t["payload"]]
+    ends = np.cumsum([len(p[0]) for p in parts])
+    return t["block"].to_pylist(), np.concatenate([[0], ends]), [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
+def ask(task: A.Task):
+    def run(t: pa.Table) -> pa.Table:
+        blocks, cut, (key, content, check, start, windows, _) = _entries(t)
+        order, first = K.pair_groups(content, check)
+        one = order[first]
+        by_key, key_first = K.groups(key[one].astype(K.U64))
+        of_key = np.empty(len(one), np.int64)
+        of_key[by_key] = K.group_of(key_first, len(one))
+        asked = np.zeros(len(key), bool)
+        asked[one[(np.bincount(of_key, minlength=len(key_first)) > 1)[of_key]]] = True
+        none = X.pack(start[:0], windows[:0])
+        out = []
+        for a, b in zip(cut, cut[1:], strict=False):
+            q = asked[a:b]
+            out.append(X.pack(start[:0], windows[:0], start[a:b][q], windows[a:b][q], q[q], key[a:b][q].astype(np.uint16), np.frombuffer(none, np.uint8)))
+        return X.rows(X.ANSWER, block=blocks, bucket=[t["bucket"][0].as_py()] * len(out), payload=out)
+
+    return run
+
+
+def intervals(units, ends, windows, window: int):
+    """(interval, piece, first unit, length) of the occurrences of all maximal repeats of the pieces."""
+    at, piece, offset, lcp, left = op1.windows_sorted(units, ends, windows)
+    first = np.flatnonzero(lcp < window)
+    size = np.diff(np.append(first, len(at)))
+    found = []
+    for a, n in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+        for i, j, length, _ in suffix.maximal_repeats(lcp[a : a + n].tolist(), left[a : a + n].tolist(), [0] * n):
+            found.append((a + i, j - i + 1, length))
+    if not found:
+        return (np.zeros(0, np.int64),) * 4
+    i, n, length = np.array(found, np.int64).T
+    who = A.gather(np.arange(len(at)), i, n)
+    return np.repeat(np.arange(len(i)), n), piece[who], offset[who], np.repeat(length, n)
+
+
+def decide(task: A.Task):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        blocks, cut, (_, content, check, start, windows, count) = _entries(right)
+        bucket = right["bucket"][0].as_py()
+        order, first = K.pair_groups(content, check)
+        of = np.empty(len(content), np.int64)
+        of[order] = K.group_of(first, len(content))
+        length = windows.astype(np.int64)[order[first]] + task.window - 1
+        place = (np.repeat(blocks, np.diff(cut)).astype(np.int64) << 32) | start
+        by_place = np.argsort(place)
+        told = left.sort_by("block")
+        parts = [X.unpack(p.as_py()) for p in told["payload"]]
+        n_of = [len(p[0]) for p in parts]
+        # a bucket that asked for nothing is told nothing
+        ask_at, ask_windows, tag, units = (np.concatenate([np.zeros(0, kind), *(p[k] for p in parts)]) for k, kind in ((0, "u4"), (1, "u1"), (5, "u2"), (6, "u1")))
+        asked = of[by_place[np.searchsorted(place[by_place], (np.repeat(told["block"].to_numpy(), np.array(n_of, np.int64)).astype(np.int64) << 32) | ask_at.astype(np.int64))]]
+        size = ask_windows.astype(np.int64) + task.window - 1
+        begin = np.cumsum(size) - size
+        n = int(size.sum()) // A.SHARD_UNITS + 1
+        by, bound = X.split_by((tag.astype(np.int64) * n) >> 16, n)
+        out, groups = [], 0
+        for k in range(n):
+            s = by[bound[k] : bound[k + 1]]
+            if len(s):
+                g, piece, offset, run_length = intervals(A.gather(units, begin[s], size[s]), np.cumsum(size[s]), ask_windows[s].astype(np.int64), task.window)
+                out.append((g + groups, asked[s[piece]], offset, run_length))
+                groups += int(g[-1]) + 1 if len(g) else 0
+        seen = np.zeros(len(first), bool)
+        for _, c, offset, run_length in out:
+            seen[c[(offset == 0) & (run_length == length[c])]] = True
+        whole = np.flatnonzero((np.bincount(of, count, minlength=len(first)) > 1) & ~seen)
+        out.append((np.arange(len(whole)) + groups, whole, np.zeros(len(whole), np.int64), length[whole]))
+        g, c, offset, run_length = (np.concatenate(x) for x in zip(*out, strict=True))
+        by_content, c_cut = X.split_by(c, len(first))
+        answers = []
+        for a, b in zip(cut, cut[1:], strict=False):
+            held = of[a:b]
+            n_each = c_cut[held + 1] - c_cut[held]
+            e = A.gather(by_content, c_cut[held], n_each)
+            answers.append(X.pack(np.repeat(start[a:b], n_each), g[e] + (bucket << 40), offset[e].astype(np.uint8), run_length[e].astype(np.uint8)))
+        return X.rows(X.ANSWER, block=blocks, bucket=[bucket] * len(answers), payload=answers)
+
+    return run
+
+
+def expand(task: A.Task):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        t = X.ordered(left)
+        _, content, check, doc, start, _ = A.block_pieces(task, t)
+        _, offsets = task.units(t, values=False)
+        order, first = K.pair_groups(content, check)
+        bound = np.append(first, len(order))
+        head, g, offset, length = (np.concatenate(x) for x in zip(*(X.unpack(p.as_py()) for p in right["payload"]), strict=True))
+        heads = start[order[first]]
+        by = np.argsort(heads)
+        of = by[np.searchsorted(heads[by], head.astype(np.int64))] if len(head) else np.zeros(0, np.int64)
+        n = bound[of + 1] - bound[of]
+        p = A.gather(order, bound[of], n)
+        ids = t["doc_id"].take(pa.array(doc[p]))
+        return pa.table({"group": np.repeat(g, n).astype(np.int64), "doc_id": ids, "start": start[p] - offsets[doc[p]] + np.repeat(offset, n), "length": np.repeat(length, n).astype(np.int64)})
+
+    return run
+
+
+def groups(docs: DataFrame, task: A.Task = op1.TASK, block_bytes: int = X.BLOCK_BYTES) -> DataFrame:
+    """(group, doc_id, start, length): every occurrence, in bytes, of every group."""
+    blocked, n = X.blocks(docs, block_bytes)
+    sent = blocked.groupBy("block").applyInArrow(X.frugal(send(task, n)), X.MESSAGE)
+    asked = sent.groupBy("bucket").applyInArrow(X.frugal(ask(task)), X.ANSWER)
+    told = blocked.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(X.frugal_pair(A.tell(task)), X.MESSAGE)
+    found = told.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(X.frugal_pair(decide(task)), X.ANSWER)
+    return blocked.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(X.frugal_pair(expand(task)), SCHEMA)
