@@ -7,7 +7,8 @@ task's documents.  Files are written under a name of the attempt and moved into
 lost executor leaves whole files; paths are opened through pyarrow's file systems, in spark.checkpoint.dir.
 
 Texts are cut at white space, where the byte-level pre-tokenizer always cuts too, and each distinct piece is
-encoded by the tokenizers library once; a tokenizer of another kind encodes whole texts.
+encoded by the tokenizers library once; a tokenizer of another kind encodes whole texts.  Ids are those of the file's
+tokenizer as it is: the content of an added token in a text is that token, and such a text is encoded whole.
 
 Edge cases: a null or empty text gives the end id alone; null ids come last; repeated rows are separate documents;
 an empty table gives no file and an empty result; other columns are ignored.
@@ -48,22 +49,31 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids of texts as little-endian bytes, with a bounded cache of pieces."""
+    """Ids of texts as little-endian bytes, with a bounded cache of pieces; literal: added tokens' contents are mere text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [] if literal else [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added else None
+        if literal:
+            self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         spec = json.loads(Path(path).read_text())
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.cache: dict[str, bytes] = {}
 
+    def _holds_added(self, text: str) -> bool:
+        return self.added is not None and self.added.search(text) is not None
+
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of pieces that are a space and letters: one text, cut by the pre-tokenizer's own words."""
-        e = self.tokenizer.encode("".join(words), add_special_tokens=False)
+        joined = "".join(words)
+        if self._holds_added(joined):
+            return self._ids(words)
+        e = self.tokenizer.encode(joined, add_special_tokens=False)
         of = np.array(e.word_ids, np.int64)
         sizes = np.bincount(of, minlength=len(words)) * self.kind.itemsize
         if len(sizes) != len(words):
@@ -75,7 +85,7 @@ class Encoder:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_PIECE.findall(t) if self.by_piece and not _ODD.search(t) else None for t in texts]
+        split = [_PIECE.findall(t) if self.by_piece and not _ODD.search(t) and not self._holds_added(t) else None for t in texts]
         pieces = set().union(*(p for p in split if p))
         new = [p for p in pieces if p not in self.cache]
         if len(self.cache) + len(new) > CACHE:
@@ -139,7 +149,7 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, folder: str | No
     docs = docs.repartitionByRange(parts, F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = Encoder(tokenizer, literal=False), TaskContext.get().partitionId()
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
         path, ids, counts = f"{base}/part-{part:06d}", [], []

@@ -56,3 +56,21 @@ def test_cache_is_bounded(monkeypatch, tokenizer):
 
 def test_empty_table(no_docs):
     assert op.read_tokens(op.write_tokens(no_docs)).count() == 0
+
+
+def test_added_tokens_in_texts_are_encoded_as_by_the_file(spark):
+    plain = Tokenizer.from_file(op.default_tokenizer())
+    texts = ["one two", "a b<|endoftext|> c", "<|endoftext|>", "three <|endoftext|><|endoftext|>\n four", "<|endoftext", None]
+    assert 50256 in plain.encode(texts[1], add_special_tokens=False).ids
+    got = op.read_tokens(op.write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    ids = [np.array([*plain.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for t in texts]
+    starts = np.cumsum([0, *map(len, ids)])
+    assert sorted(tuple(r) for r in got) == [(i, starts[i], len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(ids)]
+
+
+def test_pieces_equal_whole_texts_with_added_tokens():
+    r, plain, encoder = random.Random(2), Tokenizer.from_file(op.default_tokenizer()), op.Encoder(op.default_tokenizer(), literal=False)
+    parts = ["a", "b'll", " ", "\n", "\x1c", "1", "é", "<|endoftext|>", "<|", "日本", " word", "|>"]
+    for _ in range(1500):
+        t = "".join(r.choice(parts) for _ in range(r.randint(0, 15)))
+        assert encoder.encode([t])[0] == np.array(plain.encode(t, add_special_tokens=False).ids, encoder.kind).tobytes(), repr(t)
