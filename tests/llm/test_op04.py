@@ -47,6 +47,29 @@ def test_added_kinds():
     assert not any(k == "secret" and "short" in v for k, v in found)
 
 
+def found(text, kind):
+    return [text[s:e] for s, k, e in op.find(text, MACHINE) if op.KINDS[k] == kind]
+
+
+def test_schemes_are_whole():
+    assert found("see chrome-extension://abcdef/x.html, 12http://a.b", "url") == ["chrome-extension://abcdef/x.html", "http://a.b"]
+    assert found("://x 1://y", "url") == []
+
+
+def test_accounts():
+    assert found("IBAN: GB29 NWBK 6016 1331 9268 19 and more", "account") == ["GB29 NWBK 6016 1331 9268 19"]
+    assert found("Iban DE89370400440532013000.", "account") == ["DE89370400440532013000"]
+    assert found("IBAN: GB28 NWBK 6016 1331 9268 19", "account") == []
+    assert found("SSN 123-45-6789, ssn: 000-12-3456, Ssn=666-12-3456, SSN 123-456789", "account") == ["123-45-6789"]
+    assert found("Account Number: 1234 5678 90; account number 12345678; ACCOUNT NO. 998877", "account") == ["1234 5678 90", "12345678", "998877"]
+    assert found("account number of people 12345678, discount no 12345678, account nothing 123456", "account") == []
+
+
+def test_cues_in_any_case():
+    assert found("Api_Key=ABCDEF123456 API_KEY: abc123456789 authToken=abc1234567", "secret") == ["ABCDEF123456", "abc123456789", "abc1234567"]
+    assert found("\u0130stanbul token=abc1234567", "secret") == ["abc1234567"]
+
+
 def test_linear_in_length():
     assert len(op.find("1" * 20000 + "@" * 20000 + "+1" * 20000, MACHINE)) < 10
     assert op.find("".join(random.Random(1).choice("a.") for _ in range(50000)), MACHINE) == []
