@@ -107,7 +107,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     near = earliest(stored(paired(different).select("h1", "h2", "place", "line"), "paired")).where(F.col("other") < F.col("place")).select("h1", "h2", F.lit(True).alias("near"))
     copied = different.join(near, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "place", F.coalesce("near", F.lit(False)).alias("near"))
     met = lines.select("doc_id", "th", "pos", "h1", "h2").join(copied, ["h1", "h2"]).withColumn("first", F.struct("doc_id", "th", "pos") == F.col("place"))
-    gone = met.where("near or not first").groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"), F.count_if("first").alias("n_near"))
+    gone = met.where("near or not first").groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"), F.size(F.collect_set(F.when(F.col("first"), F.col("pos")))).alias("n_near"))
     d = _documents(docs).join(gone, ["doc_id", "th"], "left").withColumn("parts", F.split(F.coalesce("text", F.lit("")), "\n", -1))
     left = F.expr("array_except(sequence(0, size(parts) - 1), coalesce(gone, array()))")
     kept = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(left, lambda i: F.get("parts", i)), "\n"))

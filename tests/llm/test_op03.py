@@ -81,3 +81,9 @@ def test_empty_table(no_docs):
 def test_native_plan(spark, sf):
     plan = op.op3_line_deletions(spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_repeated_rows_count_a_near_line_once(spark):
+    rows = [(i, t, "en", "s", 1, 1, 1, None) for i, t in [(1, "a line of words"), (2, "a line of word\nother"), (2, "a line of word\nother")]]
+    got = run(spark, rows)
+    assert got == brute(spark, rows) and [r[2:4] for r in got] == [(0, 0), (1, 1), (1, 1)]
