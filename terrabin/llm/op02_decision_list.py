@@ -6,7 +6,7 @@ information gain on two thirds, prunes them on the last third, and stops when a
 rate.  The result is an ordered list, emitted as one Spark CASE expression.
 
 Edge cases: a null or empty text has no words, and fails the base rule; null ids and repeated rows are kept as
-they are; without labels the list is empty and only the base rule rejects; further columns are ignored.
+they are, and of rows that share a labelled id the one of least statistics trains; without labels the list is empty and only the base rule rejects; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -203,13 +203,16 @@ class DecisionList:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DecisionList:
-    """Learns from at most rows labelled documents; bad are those of quality 0 or marked toxic."""
+    """Learns from at most rows labelled documents; bad are those of quality 0 or marked toxic.  Two thirds of them
+    grow rules and teach cue words, the others prune."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("bad")).where("doc_id is not null")
     marked = marked.groupBy("doc_id").agg(F.max("bad").alias("bad")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    marked = marked.withColumn("grow", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(3)) != 0)
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(marked), "doc_id")
-    # of two thirds, words seen nearly only in bad documents; per partition first, so that no text goes to the driver
-    cues = _cues(picked)
-    sample = stats(picked, cues, ["doc_id", "bad"]).select("row.doc_id", "row.bad", *BASE, *MORE).toPandas().sort_values(["doc_id", "n_chars"])
+    cues = _cues(picked.where("grow"))
+    # statistics of one row an id, so that at most rows rows reach the driver however often an id comes
+    found = stats(picked, cues, ["doc_id", "bad", "grow"]).select("row.doc_id", F.struct("row.bad", "row.grow", *BASE, *MORE).alias("x"))
+    sample = found.groupBy("doc_id").agg(F.min("x").alias("x")).select("doc_id", "x.*").toPandas().sort_values("doc_id")
     if sample.empty:
         return DecisionList()
     return DecisionList(tuple(_train(sample)), cues)
@@ -221,8 +224,7 @@ def _features(s) -> dict[str, np.ndarray]:
 
 
 def _train(sample) -> list[Rule]:
-    ids = sample["doc_id"].to_numpy(np.int64).astype(K.U64)
-    return learn(_features(sample), sample["bad"].to_numpy(bool), K.mix(ids) % K.U64(3) != 0)
+    return learn(_features(sample), sample["bad"].to_numpy(bool), sample["grow"].to_numpy(bool))
 
 
 def _cues(picked: DataFrame) -> frozenset[str]:

@@ -81,3 +81,20 @@ def test_one_class_only(bad):
     x = {f: np.arange(40.0) for f in op.FEATURES}
     rules = op.learn(x, np.full(40, bool(bad)), np.arange(40) % 3 != 0)
     assert len(rules) <= 1
+
+
+def test_rows_of_a_repeated_labelled_id_count_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 3, f"word{i} " * (30 + i)) for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(op, "_train", lambda sample: seen.append(sample) or [])
+    op.fit(docs, labels)
+    assert seen[0]["doc_id"].tolist() == [0, 1, 2] and seen[0]["bad"].tolist() == [False, True, True]
+
+
+def test_cue_words_come_from_the_growing_rows_alone(spark, monkeypatch):
+    ids = spark.range(400).selectExpr("id", "pmod(xxhash64(3, id), 3) <> 0 as grow").collect()
+    docs = spark.createDataFrame([(r.id, " ".join(f"c{k} {'growing' if r.grow else 'pruning'}" for k in range(15))) for r in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(r.id, 0, 0) for r in ids], "doc_id long, quality int, toxic int")
+    cues = op.fit(docs, labels).cues
+    assert "pruning" not in cues
