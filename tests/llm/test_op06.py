@@ -65,3 +65,39 @@ def test_empty_tables(spark, docs, no_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert op.digest(op.hits(docs, none)).where("n_hit > 0").count() == 0
     assert op.digest(op.hits(no_docs, none)).count() == 0
+
+
+def test_equal_and_hot_items(spark):
+    rows = [(i, "the cat sat on the mat " * 30 + f"tail {i}") for i in range(20)] + [(99, "nothing here")]
+    items = [(i, "the") for i in range(300)] + [(i, "On the MAT, the cat") for i in range(300, 330)] + [(7, "the")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for limit in (1 << 20, 400):
+        got = op.digest(op.hits(docs, bench, ["doc_id"], limit=limit)).collect()
+        assert Counter(tuple(r) for r in got) == brute(rows, items)
+
+
+def test_parts_are_cut_by_measured_size(spark):
+    bench = spark.createDataFrame([(i, f"word{i % 5} " * 50) for i in range(200)] + [(999, "x" * 5000)], "item_id long, text string")
+    items, parts = op.dealt(bench, 2000)
+    sizes = {r["bucket"]: r["n"] for r in items.selectExpr("bucket", "octet_length(text) as n").groupBy("bucket").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    assert sorted(b for p in parts for b in p) == sorted(sizes) and all(len(p) == 1 or sum(sizes[b] for b in p) <= 2000 for p in parts)
+
+
+def test_size_of_a_set():
+    import random
+
+    r = random.Random(1)
+    items = [(i, " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(200))) for i in range(800)]
+    text = sum(len(t) for _, t in items)
+    assert op.WindowSet(items).nbytes() < 7 * text
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(op.K, "mix", lambda x: x & op.K.U64(3) | (x << op.K.U64(62)))
+    words_ = [f"w{i}" for i in range(40)]
+    known = op.WindowSet([(i, w) for i, w in enumerate(words_[:20])])
+    import numpy as np
+
+    raw = np.frombuffer(" ".join(words_).encode(), np.uint8)
+    gone, _, item = known.hits(op.Words(raw, np.array([0, len(raw)])))
+    assert gone.tolist() == [k < 20 for k in range(40)] and sorted(known.names[i] for i in item) == sorted(str(i) for i in range(20))
