@@ -19,6 +19,7 @@ _MODULES = (
     (op08_deleted_interpolation, "op8_deleted_interpolation"),
     (op09_arrow_tokens, "op9_arrow_tokens"),
     (op10_flow_mix, "op10_flow_mix"),
+    (op10_flow_mix, "mix_overlapping_sources"),
 )
 
 
@@ -27,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: module.SQL for module, name in _MODULES if getattr(module, "SQL", None)}
+    return {name: module.SQL for module, name in _MODULES if getattr(module, "SQL", None) and name.startswith("op")}

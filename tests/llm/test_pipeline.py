@@ -62,4 +62,4 @@ def test_large_components_keep_one(spark):
     text = " ".join(f"word{i}" for i in range(300))
     rows = [(i, text + f" tail{i}", "en", "s", 1, 1, 1, None) for i in range(200)]
     assert op07_simhash_cover.filtered(spark.createDataFrame(rows, SCHEMA)).count() == 1
-    assert op10_flow_mix.mixed(spark.createDataFrame(rows, SCHEMA)).count() == 200
+    assert op10_flow_mix.by_source(spark.createDataFrame(rows, SCHEMA)).count() == 200
