@@ -24,7 +24,7 @@ def pixel_area_km2(lat: Column) -> Column:
 
     def zone(phi: Column) -> Column:
         u = F.sin(phi)
-        return u / (2 * (1 - E2 * u * u)) + F.log((1 + e * u) / (1 - e * u)) / (4 * e)
+        return u / (2 * (1 - E2 * u * u)) + F.atanh(e * u) / (2 * e)
 
     half, phi = math.radians(1 / 24000), F.radians(lat)
     return (zone(phi + half) - zone(phi - half)) * (AXIS * AXIS * (1 - E2) * math.radians(1 / 12000) / 1e6)

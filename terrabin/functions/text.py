@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import unicodedata
 
 import pandas as pd
@@ -9,8 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words after a binomial that begin an author's name; fixed values.
-PARTICLES = ("van", "von", "de", "del", "da")
+#: A binomial, with its subspecies unless an author's particle follows; a fixed value.
+BINOMIAL = r"^([A-Z][a-z]+ (?:[a-z][a-z-]+|sp\.)(?: (?!(?:van|von|de|del|da)\b)[a-z][a-z-]+)?)(?=\s|$)"
 
 
 @F.pandas_udf(T.StringType())
@@ -18,6 +19,29 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+@F.pandas_udf(T.StringType())
+def _unescaped(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else html.unescape(x))
+
+
+_ATTRIBUTES = r"(?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*|/)?>"
+#: Tags that begin a line and whose content is none; fixed values.
+BREAKS, HIDDEN = ("div", "p", "li", "h4", "h5", "h6", "tr", "br"), ("script", "style")
+
+
+def visible_text(page: Column) -> Column:
+    """The text of an HTML page, one line a block: comments and hidden elements go, tags that break become line ends, other
+    tags go, character references are decoded (Spark has no function for them), white space runs become one space."""
+    hidden, breaks = "|".join(HIDDEN), "|".join(BREAKS)
+    t = F.regexp_replace(F.coalesce(page, F.lit("")), r"(?s)<!--.*?(?:-->|\z)", "")
+    t = F.regexp_replace(t, rf"(?is)<({hidden})\b[^>]*>.*?(?:</\1\s*>|\z)", "")
+    t = F.regexp_replace(t, rf"(?i)</?(?:{breaks}){_ATTRIBUTES}", "\n")
+    t = F.regexp_replace(t, r"<[!/?a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\z)", "")
+    lines = F.split(_unescaped(t), r"[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]")
+    lines = F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"(?U)[\s\x1F]+", " ")))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+
+
 def norm(c: Column) -> Column:
     """NFKC (Spark has no function for it), white space runs to one space, trimmed."""
     return F.trim(F.regexp_replace(_nfkc(c), r"(?U)\s+", " "))
@@ -25,8 +49,7 @@ def norm(c: Column) -> Column:
 
 def scientific_key(normal: Column) -> Column:
     """Genus and epithet (and subspecies) of a normalised label, else the whole label."""
-    pattern = rf"^([A-Z][a-z]+ (?:[a-z][a-z-]+|sp\.)(?: (?!(?:{'|'.join(PARTICLES)})\b)[a-z][a-z-]+)?)(?=\s|$)"
-    found = F.regexp_extract(normal, pattern, 1)
+    found = F.regexp_extract(normal, BINOMIAL, 1)
     return F.when(found != "", found).otherwise(normal)
 
 

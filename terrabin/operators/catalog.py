@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import runs
 from .scope import normal_records
 
 
@@ -18,6 +19,25 @@ def resolve_names(labels: DataFrame, catalog: DataFrame, crosswalk: DataFrame) -
     return out.withColumn("resolved", F.when(F.col("listed"), by_crosswalk).when(F.col("named"), F.col("key"))).drop("status", "target", "listed", "named")
 
 
+#: Names of the live table's columns in the catalog; fixed values.
+NAMES = {"No": "Species_no", "JapaneseName": "Japanese_name", "ScientificName": "Scientific_name", "AuthorYear": "Author_Year", "FamilyJa": "Family_ja", "GenusJa": "Genus_ja"}
+
+
+def renamed(live: DataFrame) -> DataFrame:
+    return live.withColumnsRenamed(NAMES)
+
+
+def of_rank(taxa: DataFrame, *ranks: str) -> DataFrame:
+    """Taxa of some ranks: species and subspecies without any named."""
+    return taxa.where(F.col("rank").isin(*(ranks or ("species", "subspecies"))))
+
+
+def taxon_order(taxa: DataFrame) -> DataFrame:
+    """(id, place): the order of ids as numbers, by ranges of a thousand."""
+    number = F.col("id").cast("bigint")
+    return runs.numbered(taxa.select("id"), [], [number], F.floor(number / 1000), "place")
+
+
 def record_counts(records: DataFrame, species: DataFrame) -> DataFrame:
     return normal_records(records).join(species.select("species_id"), "species_id", "left_semi").groupBy("species_id", "pref").agg(F.count(F.lit(1)).alias("n"))
 
@@ -29,10 +49,15 @@ def ignored_records(records: DataFrame, species: DataFrame) -> DataFrame:
     return records.join(named, "species_id", "left").withColumn("reason", why).where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def classes_of(mask: str) -> Column:
+    """The union of cover classes over masks, sorted."""
+    union = F.bit_or(F.col(mask).cast("bigint"))
+    return F.filter(F.sequence(F.lit(1), F.lit(15)), lambda c: F.call_function("shiftright", union, c).bitwiseAND(F.lit(1)) == 1)
+
+
 def profiles(species: DataFrame, rules: DataFrame, records: DataFrame) -> DataFrame:
     """One row a species: habitats, union of classes, recorded prefectures and records; missing parts are empty."""
-    classes = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter(F.sequence(F.lit(1), F.lit(15)), lambda c: F.call_function("shiftright", F.col("class_mask"), c).bitwiseAND(F.lit(1)) == 1)))))
-    habitat = rules.groupBy("species_id").agg(F.countDistinct("rule_id").alias("environments"), F.count_if("supported").alias("mapped"), classes.alias("classes"))
+    habitat = rules.groupBy("species_id").agg(F.countDistinct("rule_id").alias("environments"), F.count_if("supported").alias("mapped"), classes_of("class_mask").alias("classes"))
     counts = record_counts(records, species).groupBy("species_id").agg(F.count(F.lit(1)).alias("prefs"), F.sum("n").alias("records"))
     out = species.join(habitat, "species_id", "left").join(counts, "species_id", "left")
     none = F.expr("cast(array() as array<int>)")
@@ -41,7 +66,8 @@ def profiles(species: DataFrame, rules: DataFrame, records: DataFrame) -> DataFr
 
 def vocabulary_ids(texts: DataFrame) -> DataFrame:
     """(label, id): H and the rank of each distinct label in code point order."""
-    return texts.select("label").distinct().withColumn("id", F.format_string("H%03d", F.row_number().over(Window.orderBy("label"))))
+    places = runs.numbered(texts.select("label").distinct(), [], ["label"], F.substring("label", 1, 1), "place")
+    return places.select("label", F.format_string("H%03d", F.col("place") + 1).alias("id"))
 
 
 def genus_capacity(species: DataFrame) -> DataFrame:
@@ -61,9 +87,11 @@ def restored(raw: str, species: DataFrame, limit: int) -> DataFrame:
 
 def ranked(areas: DataFrame) -> DataFrame:
     """Comparison order: area descending, unknown last, ties by position; with the bar width against the largest."""
-    w = Window.orderBy(F.coalesce("pixels", F.lit(-1)).desc(), "species_id")
-    top = F.max("pixels").over(Window.partitionBy())
-    return areas.select("species_id", "pixels", F.row_number().over(w).cast("bigint").alias("rank"), F.round(F.col("pixels") / F.nullif(top, F.lit(0)), 6).alias("bar"))
+    size = F.coalesce("pixels", F.lit(-1))
+    places = runs.numbered(areas.select("species_id", "pixels"), [], [size.desc(), "species_id"], -F.floor(F.log2(size + 2)), "place")
+    top = areas.agg(F.max("pixels").alias("top"))  # one row
+    out = places.crossJoin(F.broadcast(top))
+    return out.select("species_id", "pixels", (F.col("place") + 1).alias("rank"), F.round(F.col("pixels") / F.nullif("top", F.lit(0)), 6).alias("bar"))
 
 
 def search(species: DataFrame, term: str) -> DataFrame:

@@ -55,8 +55,8 @@ def monotone(cells: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def compiled_equals_native(cells: DataFrame, rules: DataFrame, settings: QuerySettings) -> DataFrame:
-    per = lambda df: df.groupBy("species_id", "pref").agg(F.sum("n").alias("n"))
-    return parity(per(predicate.matched(cells, rules, settings)), per(compiler.compiled_matches(cells, rules, settings)))
+    native = predicate.matched(cells, rules, settings).groupBy("species_id", "pref").agg(F.sum("n").alias("pixels"))
+    return parity(native, compiler.compiled_areas(cells, rules, settings).select(native.columns))
 
 
 def reband(cells: DataFrame) -> DataFrame:
@@ -82,3 +82,9 @@ def increasing(cells: DataFrame) -> DataFrame:
     one = cells.groupBy("gx", "gy", "pref", "k").agg(F.sum("n").alias("n"))
     last = F.lag("k").over(Window.partitionBy("gx", "gy", "pref").orderBy("k"))
     return broken(one.withColumn("last", last), F.coalesce(F.col("last") >= F.col("k"), F.lit(False)))
+
+
+def digest(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(n, digest) of a table's columns in any order of rows: what a frozen input must keep."""
+    one = lambda c: F.conv(F.substring(F.md5(F.concat(F.lit(f"{c}:"), F.coalesce(F.col(c).cast("string"), F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("bigint")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(sum((one(c) for c in columns), F.lit(0))).alias("digest"))

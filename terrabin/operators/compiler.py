@@ -31,18 +31,26 @@ def bases(spark: SparkSession) -> DataFrame:
 
 
 def compile_signatures(spark: SparkSession, rules: DataFrame) -> DataFrame:
-    """(base, signature, flags): one row a base; signature 0 accepts nothing."""
-    r = F.broadcast(habitats(rules).withColumnRenamed("veg", "veg_rule"))
-    bit = F.call_function("shiftleft", F.lit(1), F.col("bit"))
-    usable = has("class_mask", "cover") & ~F.col("coast") & ~F.col("river") & ((F.col("veg_rule") == 0) | (F.col("veg_rule") == F.col("veg")))
+    """(base, signature, flags): one row a base; signature 0 accepts nothing.  The habitats, at most 30, come as one array
+    beside every base, so that the flags are computed without a shuffle."""
+    fields = ("class_mask", "base_mask", "water", "built", "edge", "rice", "coast", "river", F.col("veg").alias("veg_rule"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit")).alias("one"))
+    all_ = habitats(rules).agg(F.collect_list(F.struct(*fields)).alias("habitats"))  # one row
+    at = lambda mask, bit: F.call_function("shiftright", mask.cast("int"), bit.cast("int")).bitwiseAND(F.lit(1)) == 1
 
-    def near(limit: int) -> Column:
-        return usable & reduce(lambda a, b: a & b, (~F.col(f) | (F.col(d) <= limit) for f, d in (("water", "wb"), ("built", "bb"), ("edge", "eb"), ("rice", "rb"))))
+    def near(limit: int):
+        def test(r: Column) -> Column:
+            usable = at(r["class_mask"], F.col("cover")) & ~r["coast"] & ~r["river"] & ((r["veg_rule"] == 0) | (r["veg_rule"] == F.col("veg")))
+            return usable & reduce(lambda a, b: a & b, (~r[f] | (F.col(d) <= limit) for f, d in (("water", "wb"), ("built", "bb"), ("edge", "eb"), ("rice", "rb"))))
 
-    tests = (*(near(d) for d in range(3)), has("base_mask", "cover"))
-    flags = bases(spark).crossJoin(r).groupBy("base").agg(*(F.coalesce(F.bit_or(F.when(t, bit)), F.lit(0)).cast("bigint").alias(n) for t, n in zip(tests, FLAGS, strict=True)))
+        return test
+
+    def bits(test) -> Column:
+        return F.aggregate("habitats", F.lit(0).cast("bigint"), lambda sum_, r: sum_ + F.when(test(r), r["one"]).otherwise(0))
+
+    tests = (*(near(d) for d in range(3)), lambda r: at(r["base_mask"], F.col("cover")))
+    flags = bases(spark).crossJoin(F.broadcast(all_)).select("base", *(bits(t).alias(n) for t, n in zip(tests, FLAGS, strict=True)))
     nothing = reduce(lambda a, b: a & b, (F.col(f) == 0 for f in FLAGS))
-    ids = flags.where(~nothing).select(*FLAGS).distinct().withColumn("signature", F.row_number().over(Window.orderBy(*FLAGS)).cast("bigint"))
+    ids = flags.where(~nothing).select(*FLAGS).distinct().withColumn("signature", F.row_number().over(Window.orderBy(*FLAGS)).cast("bigint"))  # 24,576 rows at most
     return flags.join(F.broadcast(ids), list(FLAGS), "left").select("base", F.coalesce("signature", F.lit(0)).alias("signature"), *FLAGS)
 
 
@@ -65,13 +73,20 @@ def allowed(rules: DataFrame, settings: QuerySettings, spark: SparkSession) -> D
     return r.crossJoin(F.broadcast(bins)).where(ok).groupBy("species_id", "elevation_bin").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("bit"))).cast("bigint").alias("bits"))
 
 
-def compiled_matches(cells: DataFrame, rules: DataFrame, settings: QuerySettings) -> DataFrame:
-    """cells once for each species whose compiled predicate accepts them."""
+def compiled_areas(cells: DataFrame, rules: DataFrame, settings: QuerySettings, keys: tuple[str, ...] = ("pref",)) -> DataFrame:
+    """(species_id, keys, pixels) of the cells that each species' compiled predicate accepts.
+
+    Cells meet the table of bases alone, then are summed by keys, the habitats that accept them and the elevation bin:
+    some thousands of rows at any number of cells, and only those meet the species."""
     spark = cells.sparkSession
     flag = "cover_bits" if settings.model == "cover" else FLAGS[settings.limit]
-    q = query_cells(cells, compile_signatures(spark, rules), settings.fine).where(~has(F.lit(excluded_mask(settings)), "cover") & (F.col("cover") > 0))
+    excluded = F.lit(excluded_mask(settings))
+    table = compile_signatures(spark, rules).where(F.col(flag) != 0).select("base", F.col(flag).alias("accepted"))
     at = F.col("alt") if settings.fine else F.col("h")
-    return q.join(allowed(rules, settings, spark), (at == F.col("elevation_bin")) & (F.col(flag).bitwiseAND(F.col("bits")) != 0)).drop("elevation_bin", "bits", "qk", "signature", *FLAGS)
+    kept = cells.where(~has(excluded, "cover") & (F.col("cover") > 0)).select(*keys, K.compact_base(F.col("k")).alias("base"), at.alias("elevation_bin"), "n")
+    small = kept.join(F.broadcast(table), "base").groupBy(*keys, "accepted", "elevation_bin").agg(F.sum("n").alias("n"))
+    met = small.join(allowed(rules, settings, spark), "elevation_bin").where(F.col("accepted").bitwiseAND(F.col("bits")) != 0)
+    return met.groupBy("species_id", *keys).agg(F.sum("n").alias("pixels"))
 
 
 def rule_groups(rules: DataFrame) -> DataFrame:

@@ -48,3 +48,15 @@ def largest(polygons: DataFrame) -> DataFrame:
 def last_layer(layers: DataFrame, keys: list[str]) -> DataFrame:
     """Of overlapping layers at a place the last by (grp, legend)."""
     return layers.groupBy(*keys).agg(F.max(F.struct("grp", "legend")).alias("top")).select(*keys, "top.grp", "top.legend")
+
+
+def usable(rows: DataFrame, geometry: str) -> DataFrame:
+    """Rows whose geometry is neither missing nor empty."""
+    return rows.where(F.coalesce(F.col(geometry), F.lit("")) != "")
+
+
+def in_bounds(edges: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
+    """(poly, w, s, e, n) of the shapes whose box meets a box, edges included."""
+    low, high = (lambda a, b: F.min(F.least(a, b))), (lambda a, b: F.max(F.greatest(a, b)))
+    boxes = edges.groupBy("poly").agg(low("x1", "x2").alias("w"), low("y1", "y2").alias("s"), high("x1", "x2").alias("e"), high("y1", "y2").alias("n"))
+    return boxes.where((F.col("w") <= east) & (F.col("e") >= west) & (F.col("s") <= north) & (F.col("n") >= south))

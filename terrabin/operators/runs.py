@@ -1,25 +1,60 @@
-"""Run-length encoding of ordered rows and its inverse."""
+"""Numbers in an order over all rows, and run-length encoding with its inverse, by ranges of the order.
+
+A range is a value of bucket, an expression that never falls along the order (of the first order column, say a band of
+rows of the grid).  Rows are sorted within ranges, each in a task of its own; what crosses ranges (counts, last
+values) is one row a range, and only those are sorted by part.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Values of the first order column that share a range.
+WIDTH = 64
+
+
+def _ranges(rows: DataFrame, part: list[str], bucket: Column, **sums: Column) -> tuple[DataFrame, DataFrame]:
+    """rows with their range (_b), and for each range how many rows its part has before it (_before), with sums."""
+    ranged = rows.withColumn("_b", bucket)
+    each = ranged.groupBy(*part, "_b").agg(F.count(F.lit(1)).alias("_n"), *(v.alias(k) for k, v in sums.items()))
+    w = Window.partitionBy(*part).orderBy("_b")
+    return ranged, each.withColumn("_before", F.sum("_n").over(w) - F.col("_n")).drop("_n")
+
+
+def numbered(rows: DataFrame, part: list[str], order: list, bucket: Column, name: str) -> DataFrame:
+    """rows with their place in the order of their part, from 0."""
+    ranged, each = _ranges(rows, part, bucket)
+    place = F.row_number().over(Window.partitionBy(*part, "_b").orderBy(*order)) - 1
+    return ranged.join(each, [*part, "_b"]).withColumn(name, (place + F.col("_before")).cast("bigint")).drop("_b", "_before")
+
+
+def _band(order: list[str]) -> Column:
+    return F.floor(F.col(order[0]) / WIDTH)
+
 
 def encode(rows: DataFrame, part: list[str], order: list[str], value: str) -> DataFrame:
     """(part, start, value): the position where each run of equal values starts, within each part."""
-    w = Window.partitionBy(*part).orderBy(*order)
-    idx = rows.withColumn("start", (F.row_number().over(w) - 1).cast("bigint")).withColumn("_last", F.lag(value).over(w))
-    return idx.where((F.col("start") == 0) | (~F.col(value).eqNullSafe(F.col("_last")))).select(*part, "start", value)
+    ranged, each = _ranges(rows, part, _band(order), _tail=F.max_by(F.struct(value), F.struct(*order)))
+    each = each.withColumn("_tail", F.lag("_tail").over(Window.partitionBy(*part).orderBy("_b")))
+    w = Window.partitionBy(*part, "_b").orderBy(*order)
+    idx = ranged.join(each, [*part, "_b"]).withColumns({"_i": F.row_number().over(w) - 1, "_last": F.lag(F.struct(value)).over(w)})
+    last = F.when(F.col("_i") == 0, F.col("_tail")).otherwise(F.col("_last"))
+    starts = idx.withColumn("start", (F.col("_i") + F.col("_before")).cast("bigint"))
+    return starts.where((F.col("start") == 0) | (~F.struct(value).eqNullSafe(last))).select(*part, "start", value)
 
 
 def attach(rows: DataFrame, runs: DataFrame, part: list[str], order: list[str], value: str) -> DataFrame:
-    """rows with the value of the last run that starts at or before them: an ordered merge, not a range join."""
-    idx = rows.withColumn("_idx", (F.row_number().over(Window.partitionBy(*part).orderBy(*order)) - 1).cast("bigint"))
-    marks = runs.select(*part, F.col("start").alias("_idx"), F.col(value).alias("_mark"))
-    w = Window.partitionBy(*part).orderBy("_idx").rowsBetween(Window.unboundedPreceding, 0)
-    joined = idx.join(marks, [*part, "_idx"], "left")
-    return joined.withColumn(value, F.last("_mark", ignorenulls=True).over(w)).drop("_idx", "_mark")
+    """rows with the value of the last run that starts at or before them: an ordered merge by ranges, not a range join."""
+    idx = numbered(rows, part, order, _band(order), "_idx")
+    marks = runs.select(*part, F.col("start").alias("_idx"), F.struct(F.col(value).alias("v")).alias("_mark"))
+    marked = idx.join(marks, [*part, "_idx"], "left").withColumn("_b", _band(order))
+    each = marked.groupBy(*part, "_b").agg(F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.col("_idx"))).alias("_carry"))
+    before = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("_carry", F.last("_carry", ignorenulls=True).over(before))
+    own = F.last("_mark", ignorenulls=True).over(Window.partitionBy(*part, "_b").orderBy("_idx").rowsBetween(Window.unboundedPreceding, 0))
+    joined = marked.join(each, [*part, "_b"]).withColumn("_mark", F.coalesce(own, "_carry"))
+    return joined.withColumn(value, F.col("_mark.v")).drop("_b", "_idx", "_mark", "_carry")
 
 
 def invalid(runs: DataFrame, part: list[str]) -> DataFrame:

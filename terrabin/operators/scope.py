@@ -63,6 +63,14 @@ def in_scope(rows: DataFrame, scope: DataFrame) -> DataFrame:
     return rows.join(full, keys).unionByName(rows.join(part, [*keys, "rid"]))
 
 
+def included(rows: DataFrame, scope: DataFrame) -> DataFrame:
+    """rows (with pref and rid) of a scope (pref, rid): of whole prefectures (rid null) or of named components, each once."""
+    whole = scope.where("rid is null").select("pref", F.lit(True).alias("_whole")).distinct()
+    part = scope.where("rid is not null").select("pref", "rid", F.lit(True).alias("_part")).distinct()
+    met = rows.join(whole, "pref", "left").join(part, ["pref", "rid"], "left")
+    return met.where(F.coalesce("_whole", "_part")).select(rows.columns)
+
+
 def status(c: dict[str, Column]) -> Column:
     """The fixed precedence of result states."""
     order = ("no_environment", "no_landcover", "unmapped", "no_scope", "no_geography", "partial_geography", "partial_environment")

@@ -31,6 +31,30 @@ def forest_edge(pixels: DataFrame) -> DataFrame:
     return p.select("x", "y", out.alias("edge"))
 
 
+def nearest_before(pixels: DataFrame, target: Column, reach: int, tile: int = 64) -> DataFrame:
+    """(x, y, below): the nearest target row at or before a pixel's in its column, within reach; sorted by tiles of rows,
+    into which targets within reach are replicated."""
+    p = pixels.select("x", "y", F.coalesce(target, F.lit(False)).alias("t"))
+    own = F.floor(F.col("y") / tile)
+    halo = F.sequence(own.cast("bigint"), F.floor((F.col("y") + reach) / tile).cast("bigint"))
+    marks = p.where("t").select("x", "y", F.explode(halo).alias("ty"), F.col("y").alias("at"), F.lit(False).alias("own"))
+    rows = p.select("x", "y", own.cast("bigint").alias("ty"), F.lit(None).cast("bigint").alias("at"), F.lit(True).alias("own")).unionByName(marks)
+    below = F.max("at").over(Window.partitionBy("x", "ty").orderBy("y").rangeBetween(-reach, 0))
+    return rows.withColumn("below", below).where("own").select("x", "y", "below")
+
+
+def windows(pixels: DataFrame, tile: int, halo: int, fill: dict) -> DataFrame:
+    """(tx, ty, x, y, columns of fill): every place of each tile that has pixels, with a halo around it; places outside the
+    pixels get the fill values.  Pixels are replicated to the tiles in reach, so that a tile can be worked on alone."""
+    tiles = pixels.select(F.floor(F.col("x") / tile).cast("bigint").alias("tx"), F.floor(F.col("y") / tile).cast("bigint").alias("ty")).distinct()
+    span = lambda t: F.sequence(F.col(t) * tile - halo, F.col(t) * tile + (tile - 1 + halo))
+    places = tiles.withColumn("x", F.explode(span("tx"))).withColumn("y", F.explode(span("ty")))
+    reach = lambda c: F.sequence(F.floor((F.col(c) - halo) / tile).cast("bigint"), F.floor((F.col(c) + halo) / tile).cast("bigint"))
+    seen = pixels.select("x", "y", *fill).withColumn("tx", F.explode(reach("x"))).withColumn("ty", F.explode(reach("y")))
+    met = places.join(seen, ["tx", "ty", "x", "y"], "left")
+    return met.select("tx", "ty", "x", "y", *(F.coalesce(c, F.lit(v)).alias(c) for c, v in fill.items()))
+
+
 def distance_bins(pixels: DataFrame, target: Column, dy: float = 100.0, dx: float = 100.0, tile: int = 64) -> DataFrame:
     """(x, y, bin): the distance bin to the nearest target pixel, exact within 500 m.
 

@@ -21,22 +21,27 @@ def area_by_pref(cells: DataFrame, rules: DataFrame, settings: QuerySettings, ke
 
 
 def summaries(cells: DataFrame, regions: DataFrame, rules: DataFrame, species: DataFrame, records: DataFrame, aliases: DataFrame, settings: QuerySettings) -> DataFrame:
-    """(species_id, status, pixels, total, missing, prefs, records); pixels is null where nothing can be said, 0 where nothing matches."""
-    rows = cells.join(regions, ["gx", "gy", "pref"])
-    prefs = cells.select("pref", "region").distinct()
-    areas = scope.record_areas(records)
-    chosen = scope.prefectures(prefs, areas, species, settings)
-    where = scope.resolved(chosen, areas, aliases, regions, settings)
+    """(species_id, status, pixels, total, missing, prefs, records); pixels is null where nothing can be said, 0 where nothing matches.
+
+    Cells are summed once, by prefecture, land component and dimensions; prefectures, components, totals and matches
+    all come from that table, and scopes meet totals and matches in one join by component."""
     dims = [*predicate.DIMS, *(["alt"] if settings.fine else [])]
-    small = rows.groupBy("pref", "rid", *dims).agg(F.sum("n").alias("n"))
+    small = cells.join(regions, ["gx", "gy", "pref"]).groupBy("pref", "region", "rid", *dims).agg(F.sum("n").alias("n"))
+    small = small.where("n > 0")  # holds always; each use keeps n, so that one exchange serves them all
+    valid = small.select("pref", "region", "rid").distinct()
+    areas = scope.record_areas(records)
+    chosen = scope.prefectures(valid.select("pref", "region").distinct(), areas, species, settings)
+    where = scope.resolved(chosen, areas, aliases, valid, settings)
+    full = where.where("rid is null and label is null").select("species_id", "pref").join(valid.select("pref", "rid"), "pref")
+    at = full.select("species_id", "pref", "rid").unionByName(where.where("rid is not null").select("species_id", "pref", "rid")).distinct()
     totals = strata.totals(small, "pref", "rid")
     hit = predicate.matched(small, rules, settings).groupBy("species_id", "pref", "rid").agg(F.sum("n").alias("pixels"))
-    scoped = scope.in_scope(totals, where).groupBy("species_id").agg(F.sum("total").alias("total"), F.sum("missing").alias("missing"))
-    matched = scope.in_scope(hit, where).groupBy("species_id").agg(F.sum("pixels").alias("pixels"))
+    scoped = at.join(totals, ["pref", "rid"]).join(hit, ["species_id", "pref", "rid"], "left")
+    scoped = scoped.groupBy("species_id").agg(F.sum("total").alias("total"), F.sum("missing").alias("missing"), F.sum("pixels").alias("pixels"))
     counted = chosen.join(areas, ["species_id", "pref"], "left").groupBy("species_id").agg(F.count(F.lit(1)).alias("prefs"), F.sum(F.coalesce("records", F.lit(0))).alias("records"))
     unresolved = where.where("rid is null and label is not null").groupBy("species_id").agg(F.countDistinct("label").alias("unresolved"))
     out = species.select("species_id").join(predicate.any_possible(rules, settings), "species_id", "left")
-    for part in (scoped, matched, counted, unresolved):
+    for part in (scoped, counted, unresolved):
         out = out.join(part, "species_id", "left")
     mapped = F.coalesce("mapped", F.lit(False))
     empty = [s for s, ids in settings.habitats.items() if not ids]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 MAX_TILES, MAX_PARTITIONS = 24, 8
 
 
@@ -27,3 +30,23 @@ def summary_source(scope: str, region: str, pref: int | None) -> str:
     if region == "all" and pref is None:
         return "national" if scope == "environment" else "recorded"
     return "by_prefecture"
+
+
+def map_source_of(zoom: str, tiles: str, regions_only: str) -> Column:
+    """map_source() of a table of questions."""
+    far = (F.col(zoom) < 11) & ~((F.col(zoom) >= 8) & F.col(regions_only))
+    return F.when(far | (F.col(tiles) > MAX_TILES), "coarse").otherwise("detail")
+
+
+def source_of(scope: str, region: str, pref: str, recorded: str) -> Column:
+    """summary_source() of a table of questions; a recorded sum must exist for the species."""
+    whole = (F.col(region) == "all") & F.col(pref).isNull()
+    return F.when(whole & (F.col(scope) == "environment"), "national").when(whole & F.col(recorded), "recorded").otherwise("by_prefecture")
+
+
+def chosen(wanted: DataFrame, full: DataFrame) -> DataFrame:
+    """(grp, plan, bytes): pack_choice() of each group, from the sizes of wanted parts (grp, bytes) and of wholes (grp, bytes)."""
+    narrow = wanted.groupBy("grp").agg(F.sum("bytes").alias("narrow"))
+    both = narrow.join(full.withColumnRenamed("bytes", "whole"), "grp")
+    heavy = F.col("narrow") >= F.col("whole")
+    return both.select("grp", F.when(heavy, "full").otherwise("narrow").alias("plan"), F.when(heavy, F.col("whole")).otherwise(F.col("narrow")).alias("bytes"))

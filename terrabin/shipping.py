@@ -1,12 +1,13 @@
-"""Sends this package to the executors once a session, so that Python workers can import it anywhere."""
+"""Sends this package to the executors once a session, so that Python workers can import it anywhere; the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -20,3 +21,25 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(folder / "terrabin.zip"))
         sc._terrabin_shipped = True
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors share.  Where it is unset, a local master gets one of
+    its own; on a cluster that is an error, as each executor would write to its own disk."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        base = getattr(spark.sparkContext, "_terrabin_dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = spark.sparkContext._terrabin_dir = Path(tempfile.mkdtemp(prefix="terrabin-shared-")).as_uri()
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "t") -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: cuts lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,19 +1,17 @@
-"""Readers: CSV with a byte order mark, dictionary-encoded JSON, checked files, HTML text."""
+"""Readers: CSV with a byte order mark, dictionary-encoded and mesh JSON, checked files, HTML text, delivery manifests."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from html.parser import HTMLParser
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrabin.functions.grid import mesh_xy
+from terrabin.functions.text import visible_text
 from terrabin.shipping import ship
 
-BREAKS = frozenset(("div", "p", "li", "h4", "h5", "h6", "tr"))
-HIDDEN = frozenset(("script", "style"))
-
 
 def read_csv(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
     """All columns as strings; a byte order mark before the first name is dropped."""
@@ -43,48 +41,57 @@ def read_dictionary_json(spark: SparkSession, path: str) -> DataFrame:
     return decoded(payload, payload.first()["columns"])
 
 
-def verified(spark: SparkSession, path: str, digests: dict[str, str], limit: int = 32 << 20) -> DataFrame:
-    """(name, text) of gzip or plain files whose sha256 and size are as declared; others are errors."""
+def verified(spark: SparkSession, path: str, digests: dict[str, str], limit: int = 32 << 20, inflated: int = 64 << 20) -> DataFrame:
+    """(name, text) of gzip or plain UTF-8 files whose sha256 is as declared; other files, files beyond limit bytes, and
+    texts beyond inflated bytes are errors.  No more than that is ever inflated."""
     files = spark.read.format("binaryFile").load(path).withColumn("name", F.element_at(F.split("path", "/"), -1))
     known = F.create_map(*(F.lit(x) for kv in digests.items() for x in kv))
-    ok = (F.sha2("content", 256) == known[F.col("name")]) & (F.col("length") <= limit)
-    return files.select("name", F.when(ok, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("digest or size differs: "), F.col("name")))).alias("content"))
-
-
-class _Text(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__()
-        self.parts: list[str] = []
-        self.hidden = 0
-
-    def handle_starttag(self, tag, attrs) -> None:
-        self.hidden += tag in HIDDEN
-        if tag in BREAKS or tag == "br":
-            self.parts.append("\n")
-
-    def handle_endtag(self, tag) -> None:
-        self.hidden -= tag in HIDDEN
-        if tag in BREAKS:
-            self.parts.append("\n")
-
-    def handle_data(self, data) -> None:
-        if self.hidden <= 0:
-            self.parts.append(data)
+    ok = (F.sha2("content", 256) == F.try_element_at(known, F.col("name"))) & (F.col("length") <= limit)
+    checked = files.select("name", F.when(ok, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("digest or size differs: "), F.col("name")))).alias("content"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if data[:2] == b"\x1f\x8b":
+                    machine = zlib.decompressobj(wbits=31)
+                    data = machine.decompress(data, inflated + 1)
+                    if len(data) <= inflated and not machine.eof:
+                        raise ValueError(f"not a whole gzip file: {name}")
+                if len(data) > inflated:
+                    raise ValueError(f"too large when inflated: {name}")
+                yield pa.RecordBatch.from_pydict({"name": [name], "text": [data.decode()]})
 
-def page_text(html: str | None) -> str:
-    parser = _Text()
-    parser.feed(html or "")
-    lines = (" ".join(x.split()) for x in "".join(parser.parts).splitlines())
-    return "\n".join(x for x in lines if x)
+    ship(spark)
+    return checked.mapInArrow(run, "name string, text string")
 
 
 def html_text(pages: DataFrame) -> DataFrame:
     """(page_id, text): visible text, one line a block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(page_text, b.column(1).to_pylist()), pa.string())], ["page_id", "text"])
-
-    ship(pages.sparkSession)
-    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, "page_id long, text string")
+    return pages.select(F.col("page_id").cast("long"), visible_text(F.col("html")).alias("text"))
+
+
+def read_mesh(spark: SparkSession, path: str) -> DataFrame:
+    """(code, x, y, pref, counts) of regional mesh files {version, grid, aggregation, cells: [[code, [[pref, counts]]]]}.
+
+    Another version, grid or aggregation, a cell of several prefectures, counts that are not 16 whole numbers from 0
+    on, and a code that two rows have are errors."""
+    raw = spark.read.schema("version int, grid string, aggregation string, cells array<array<string>>").option("multiLine", True).json(path)
+    known = (F.col("version") == 3) & (F.col("grid") == "third_order") & (F.col("aggregation") == "all_source_pixel_centers_by_prefecture")
+    checked = raw.select(F.explode(F.when(F.coalesce(known, F.lit(False)), F.col("cells")).otherwise(F.raise_error(F.lit("unknown mesh file")))).alias("cell"))
+    parts = F.from_json(F.get("cell", F.lit(1)), "array<array<string>>")
+    one = F.when(F.size(parts) == 1, F.get(parts, F.lit(0))).otherwise(F.raise_error(F.lit("a cell of several prefectures")))
+    rows = checked.select(F.get("cell", F.lit(0)).alias("code"), one.alias("part"))
+    counts = F.from_json(F.get("part", F.lit(1)), "array<bigint>")
+    sound = (F.size(counts) == 16) & F.forall(counts, lambda n: F.coalesce(n >= 0, F.lit(False)))
+    rows = rows.select("code", F.get("part", F.lit(0)).cast("bigint").alias("pref"), F.when(sound, counts).otherwise(F.raise_error(F.lit("counts are not 16 whole numbers"))).alias("counts"))
+    once = rows.groupBy("code").agg(F.count(F.lit(1)).alias("c"), F.min("pref").alias("pref"), F.first("counts").alias("counts"))
+    once = once.withColumn("xy", F.when(F.col("c") == 1, mesh_xy(F.col("code"))).otherwise(F.raise_error(F.lit("a mesh in two files"))))
+    return once.select("code", "xy.x", "xy.y", "pref", "counts")
+
+
+def assets(manifests: DataFrame) -> DataFrame:
+    """(file, sha256, bytes) of all that delivery manifests name: summary and geography, arrays of prefectures and regions,
+    and groups (array of structs of summary, map, and an array index)."""
+    own = F.concat(F.array("summary", "geography"), "prefectures", "regions")
+    lazy = F.flatten(F.transform("groups", lambda g: F.concat(F.array(g["summary"], g["map"]), g["index"])))
+    return manifests.select(F.explode(F.concat(own, lazy)).alias("a")).select("a.*")

@@ -38,8 +38,13 @@ group by gx, gy, pref, region, cover, h, alt, veg, wb, bb, eb, rb, cb, vb""",
     "records": """select l_suppkey as species_id, cast(c_nationkey + 1 as bigint) as pref,
   case when l_linenumber = 1 then 'mainland' when l_linenumber = 7 then '' else concat('isl', cast(l_linenumber as varchar(10))) end as island,
   case when l_returnflag = 'R' then 'suspect' else 'normal' end as record_accuracy
-from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
-where l_quantity >= 45 and l_discount >= 0.07 and l_tax >= 0.06""",
+from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey""",
+    "rules_all": """select * from rules union all select * from (values
+  (6,'H007', 960, 960,false,false,false,false,true ,false,0, 15,false,true),
+  (6,'H008',  32,  32,false,false,false,false,false,true ,0,  7,false,true),
+  (7,'H009',  96,  96,true ,false,false,false,false,true ,0, 15,false,true),
+  (7,'H001',  32,  32,true ,false,false,false,false,false,0, 15,false,true))
+ as t(species_id, rule_id, class_mask, base_mask, water, built, edge, rice, coast, river, veg, elev_mask, elev_required, supported)""",
     "cell_region": "select gx, gy, pref, case when gx % 4 = 0 then 0 else pref*10 + gx % 4 end as rid from cell group by gx, gy, pref",
     "island_alias": """select concat('isl', cast(i as varchar(10))) as island, pref, pref*10 + i as rid
 from (select distinct pref from cell) p cross join (values (2),(3)) as t(i)""",

@@ -166,6 +166,15 @@ def test_runs_round_trip_and_checks(spark):
     assert sorted((r.start, r.v) for r in coded.collect()) == [(0, 7), (2, 3), (5, 7)]
     back = runs.attach(df.drop("v"), coded, ["p"], ["i"], "v")
     assert back.select("p", "i", "v").exceptAll(df).count() == 0
+    wide = spark.range(2000).selectExpr("id % 3 as p", "id as i", "if(id % 11 < 6, null, id div 300) as v")
+    again = runs.attach(wide.drop("v"), runs.encode(wide, ["p"], ["i"], "v"), ["p"], ["i"], "v")
+    assert again.select("p", "i", "v").exceptAll(wide).count() == 0
+    want = {}
+    for r in wide.orderBy("p", "i").collect():
+        last = want.setdefault(r.p, [])
+        last.append(r.v)
+    starts = {(p, k) for p, v in want.items() for k in range(len(v)) if k == 0 or v[k] != v[k - 1]}
+    assert {(r.p, r.start) for r in runs.encode(wide, ["p"], ["i"], "v").collect()} == starts
     assert runs.invalid(coded, ["p"]).count() == 0 and runs.invalid(coded.where("start > 0"), ["p"]).count() == 1
 
 
@@ -183,6 +192,7 @@ def test_spatial_rules(spark):
     assert not got["河口"].supported and got["河口"].classes == []
     assert got["海岸~低山地の森林"].elevation == [0, 1] and not got["海岸~低山地の森林"].coast
     assert got["海岸"].coast and got["海岸"].classes == list(labels.LAND)
+    assert got["海岸~低山地の森林"].limitations == [labels.L_HEIGHT, labels.L_RANGE] and got["海岸"].limitations == [] and not got["海岸"].proxy
     assert got["水田の畦"].rice and got["水田の畦"].classes == [5] and got["低山地の草地"].elevation == [1]
 
 
@@ -232,13 +242,42 @@ def test_sources_and_sinks(spark, tmp_path):
     data = gzip.compress(b"{}", mtime=0)
     (tmp_path / "z").mkdir()
     (tmp_path / "z" / "p.json.gz").write_bytes(data)
-    assert tables.verified(spark, str(tmp_path / "z"), {"p.json.gz": hashlib.sha256(data).hexdigest()}).count() == 1
+    digest = {"p.json.gz": hashlib.sha256(data).hexdigest()}
+    assert [tuple(x) for x in tables.verified(spark, str(tmp_path / "z"), digest).collect()] == [("p.json.gz", "{}")]
+    for limits in ({"inflated": 1}, {"limit": 3}):
+        with pytest.raises(Exception, match="too large|differs"):
+            tables.verified(spark, str(tmp_path / "z"), digest, **limits).collect()
     with pytest.raises(Exception, match="digest or size"):
         tables.verified(spark, str(tmp_path / "z"), {"p.json.gz": "0"}).collect()
     sinks.write_csv(r, str(tmp_path / "out"))
     body = next((tmp_path / "out").glob("part-*")).read_bytes()
     assert body.startswith(b"\xef\xbb\xbf\"name\",\"note\"\r\n\"x\"")
-    assert tables.page_text("<p>a  b</p><script>no</script><div>c<br>d</div>") == "a b\nc\nd"
+    many = spark.range(0, 1000, 1, 3).selectExpr("id", "concat('=', id) as f")
+    sinks.write_csv(many, str(tmp_path / "many"))
+    parts = [p.read_bytes().decode("utf8") for p in sorted((tmp_path / "many").glob("part-*"))]
+    assert len(parts) == 3 and all(p.startswith('\ufeff"id","f"\r\n') and p.endswith('"\r\n') for p in parts)
+    assert [x for p in parts for x in p.split("\r\n")[1:-1]] == [f'"{i}","\'={i}"' for i in range(1000)]
+
+
+def test_visible_text(spark):
+    pages = ["<p>a  b</p><script>no</script><div>c<br>d</div>", None, "<p title='x > y'>A &lt;b&gt; &amp;amp;</p><!-- <p>no --><pre>x\ty</pre>", "<STYLE>p{}</STYLE >t<li>u</LI>v<scri", "a<b>b</b>c &copy 1 &#10;2<tr/>3"]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "page_id long, html string")
+    got = [r.text for r in tables.html_text(df).orderBy("page_id").collect()]
+    assert got == ["a b\nc\nd", "", "A <b> &amp;\nx y", "t\nu\nv", "abc © 1\n2\n3"]
+
+
+def test_mesh_files(spark, tmp_path):
+    def written(name, *cells, version=3):
+        (tmp_path / name).write_text(json.dumps({"version": version, "grid": "third_order", "aggregation": "all_source_pixel_centers_by_prefecture", "cells": cells}))
+        return str(tmp_path / name)
+
+    counts = [*range(16)]
+    good = tables.read_mesh(spark, written("a.json", ["53394525", [[13, counts]]])).first()
+    assert (good.code, good.x, good.y, good.pref, good.counts) == ("53394525", 3175, 4282, 13, counts)
+    bad = [written("b.json", ["53394525", [[13, counts]]], version=2), written("c.json", ["53394525", [[13, counts], [14, counts]]]), written("d.json", ["53394525", [[13, counts[1:]]]]), written("e.json", ["53394525", [[13, [-1, *counts[1:]]]]]), written("f.json", ["53394525", [[13, counts]]], ["53394525", [[13, counts]]])]
+    for path in bad:
+        with pytest.raises(Exception, match="mesh|prefectures|counts"):
+            tables.read_mesh(spark, path).collect()
 
 
 def test_packs_and_manifest(spark, tmp_path):
