@@ -257,7 +257,7 @@ def _(rules):
     return rules.select("species_id", "rule_id", policy.requires_elevation(F.col("elev_mask")).alias("required"))
 
 
-@query("P23_habitat_metadata", f"select species_id, rule_id, cast(case when supported then class_mask & ~(1 << 11) else 0 end as bigint) as classes, {', '.join(f'cast(case when supported and {f} then 250 end as bigint) as {f}_m' for f in ('water', 'built', 'edge', 'rice'))}, cast(case when supported and veg <> 0 then veg end as bigint) as vegetation_group, case when not supported then 'unavailable' when (class_mask & ~(1 << 11)) = 0 then 'excluded_landcover' else 'calculated' end as evaluation from rules", "rules")
+@query("P23_habitat_metadata", f"select species_id, rule_id, cast(case when supported then class_mask & ~(1 << 11) else 0 end as bigint) as classes, {', '.join(f'cast(case when supported and {f} then 250 end as bigint) as {f}_m' for f in ('water', 'built', 'edge', 'rice', 'coast', 'river'))}, cast(case when supported and veg <> 0 then veg end as bigint) as vegetation_group, array_to_string(list_filter([0, 1, 2, 3], lambda b: (elev_mask >> cast(b as int)) & 1 = 1), ',') as elevation_bands, case when not supported then 'unavailable' when (class_mask & ~(1 << 11)) = 0 then 'excluded_landcover' else 'calculated' end as evaluation from rules", "rules")
 def _(rules):
     return policy.metadata(rules, QuerySettings(distance=250, excluded=(11,)))
 

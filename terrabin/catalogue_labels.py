@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrabin.catalogue import BIG, _b, query
 from terrabin.functions import text
-from terrabin.operators import labels, predicate, summary
+from terrabin.operators import labels, policy, predicate, summary
 from terrabin.settings import QuerySettings
 from terrabin.views import base
 
@@ -82,7 +82,15 @@ def _species_rules(species: DataFrame, labels_ja: DataFrame) -> DataFrame:
 
 @query("J3_species_rules", f"with {_SPECIES_RULES} select * from sr", "species", "labels_ja")
 def _(species, labels_ja):
-    return _species_rules(species, labels_ja).drop("elev_required")
+    return _species_rules(species, labels_ja).drop("elev_required", "pending", "limitations", "proxy")
+
+
+@query("P23_of_descriptions", f"""with {_SPECIES_RULES}
+select distinct species_id, concat('H', n) as rule_id, case when not supported then 'unavailable' when len(list_filter(classes, lambda x: x <> 5)) = 0 then 'excluded_landcover' when len(limits) > 0 then 'proxy' else 'calculated' end as evaluation,
+  cast(case when supported and coast then 500 end as bigint) as coast_m, cast(case when supported and river then 500 end as bigint) as river_m, array_to_string(elevation, ',') as elevation_bands, {_TEXTS} as unresolved, array_to_string(limits, ',') as limitations from hab join ru using (n)""", "species", "labels_ja")
+def _(species, labels_ja):
+    told = policy.metadata(_species_rules(species, labels_ja), QuerySettings(excluded=(5,)))
+    return told.select("species_id", "rule_id", "evaluation", "coast_m", "river_m", "elevation_bands", "unresolved", "limitations")
 
 
 @query("J3_areas_of_descriptions", f"""with {_SPECIES_RULES.replace('sr as (', 'sr as materialized (')},
@@ -135,6 +143,4 @@ for _name, _limit, _model in (("F7_coast_and_river", 2, "distance"), ("F7_coast_
 
 @query("G1_hold_of_coast_and_river", "select species_id, rule_id, array_to_string(list_filter([case when coast then 'coast' end, case when (elev_mask & 15) <> 15 then 'height' end, case when river then 'river' end], lambda x: x is not null), ',') as hold, supported and not coast and not river and (elev_mask & 15) = 15 as supported from rules_all", "rules_all")
 def _(rules_all):
-    from terrabin.operators import policy
-
     return policy.publication_rules(rules_all).select("species_id", "rule_id", "hold", "supported")

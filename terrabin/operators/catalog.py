@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrabin.functions.text import norm
+
 from . import runs
 from .scope import normal_records
 
@@ -94,10 +98,10 @@ def ranked(areas: DataFrame) -> DataFrame:
     return out.select("species_id", "pixels", (F.col("place") + 1).alias("rank"), F.round(F.col("pixels") / F.nullif("top", F.lit(0)), 6).alias("bar"))
 
 
-def search(species: DataFrame, term: str) -> DataFrame:
-    """Species whose name or genus holds the term, without case."""
-    hay = F.lower(F.concat_ws(" ", "name", "genus"))
-    return species.where(F.contains(hay, F.lower(F.lit(term))))
+def search(species: DataFrame, term: str, columns: tuple[str, ...] = ("name", "genus")) -> DataFrame:
+    """Species of which some column (names, families, aliases) holds the term, in any width and case."""
+    hay = F.lower(norm(F.concat_ws(" ", *columns)))
+    return species.where(F.contains(hay, F.lit(unicodedata.normalize("NFKC", term).lower())))
 
 
 def page(rows: DataFrame, shown: int, offset: int = 0) -> DataFrame:

@@ -37,13 +37,19 @@ def published(cells: DataFrame, rules: DataFrame, elevation: bool = False) -> tu
 
 
 def metadata(rules: DataFrame, settings: QuerySettings) -> DataFrame:
-    """(species_id, rule_id, classes, distances, vegetation_group, evaluation) of selected rules."""
+    """(species_id, rule_id, classes, distances, vegetation_group, elevation_bands, evaluation) of selected rules, and what
+    descriptions leave open (unresolved) or only approximate (limitations), where rules carry that."""
     mask = F.col("base_mask" if settings.model == "cover" else "class_mask").bitwiseAND(F.lit(~excluded_mask(settings)))
     near = F.lit(settings.model != "cover") & F.col("supported")
     metres = lambda flag: F.when(near & F.col(flag), settings.distance).cast("bigint")
     hold = F.col("hold") if "hold" in rules.columns else F.lit("")
-    state = F.when(hold != "", "publication_hold").when(~F.col("supported"), "unavailable").when(mask == 0, "excluded_landcover").otherwise("calculated")
-    return rules.select("species_id", "rule_id", F.when(F.col("supported"), mask).otherwise(0).cast("bigint").alias("classes"), *(metres(f).alias(f"{f}_m") for f in ("water", "built", "edge", "rice")), F.when(F.col("supported") & (F.col("veg") != 0), F.col("veg")).cast("bigint").alias("vegetation_group"), state.alias("evaluation"))
+    state = F.when(hold != "", "publication_hold").when(~F.col("supported"), "unavailable").when(mask == 0, "excluded_landcover")
+    if "proxy" in rules.columns:
+        state = state.when(F.col("proxy"), "proxy")
+    state = state.otherwise("calculated")
+    bands = F.array_join(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda b: F.call_function("shiftright", F.col("elev_mask").cast("int"), b).bitwiseAND(F.lit(1)) == 1), ",")
+    open_ = [F.array_join(c, ",").alias(n) for c, n in (("pending", "unresolved"), ("limitations", "limitations")) if c in rules.columns]
+    return rules.select("species_id", "rule_id", F.when(F.col("supported"), mask).otherwise(0).cast("bigint").alias("classes"), *(metres(f).alias(f"{f}_m") for f in ("water", "built", "edge", "rice", "coast", "river")), F.when(F.col("supported") & (F.col("veg") != 0), F.col("veg")).cast("bigint").alias("vegetation_group"), bands.alias("elevation_bands"), state.alias("evaluation"), *open_)
 
 
 def describe(rules: DataFrame, low: int = 200, mountain: int = 800) -> DataFrame:
