@@ -65,7 +65,32 @@ class FMIndex:
         bwt = text[order - 1]  # before a piece's first symbol stands the stop of the piece before (of the last, for the first)
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(self.alphabet) + 1))])
         self.matrix = WaveletMatrix(bwt, max(1, int(len(self.alphabet)).bit_length()))
-        self.n, self.coded, self.place = n, coded + 1, order
+        self.n, self.coded = n, coded + 1
+        self.piece = np.repeat(np.arange(len(ends)), size)[order]  # of each suffix
+        self.weights = np.arange(n + 1)
+        common = np.minimum(suffix.common_prefixes(levels, np.repeat(stop + 1, size), order), 255).astype(np.uint8)
+        self.common = [np.append(common, np.uint8(0))]  # with the suffix before; minima of 1, 2, 4... from each place on
+        while len(self.common[-1]) > 1 << (len(self.common) - 1):
+            step, last = 1 << (len(self.common) - 1), self.common[-1]
+            self.common.append(np.minimum(last[:-step], last[step:]))
+
+    def weigh(self, copies: np.ndarray) -> None:
+        """From now on each piece counts so often."""
+        self.weights = np.concatenate([[0], np.cumsum(copies[self.piece])])
+
+    def depth(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The length of the parent of an interval in the common-prefix interval tree."""
+        return np.maximum(self.common[0][lo], self.common[0][hi]).astype(np.int64)
+
+    def widen(self, lo: np.ndarray, hi: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The interval of the first length (1 or more) symbols that all suffixes in [lo, hi) share."""
+        lo, hi = lo.copy(), hi.copy()
+        for k in reversed(range(len(self.common))):
+            least, step = self.common[k], 1 << k
+            left = np.maximum(lo - step + 1, 0)
+            lo -= step * ((lo - step + 1 >= 0) & (least[np.minimum(left, len(least) - 1)] >= length))
+            hi += step * ((hi < len(least)) & (least[np.minimum(hi, len(least) - 1)] >= length))
+        return lo, hi
 
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: the interval of symbol + pattern from that of pattern."""
@@ -73,18 +98,38 @@ class FMIndex:
         return self.before[symbol] + a, self.before[symbol] + b
 
 
-def repeated(index: FMIndex, sequence: np.ndarray, at: np.ndarray, depth: int, least: int = 2) -> np.ndarray:
-    """Matching statistics cut at depth, from the right: for each window sequence[at:at+depth], how many of its last
-    symbols occur at least `least` times in the index; depth means that the whole window does.  All windows step in
-    one batch and leave it when their interval gets too small."""
-    matched = np.zeros(len(at), np.int64)
-    live = np.arange(len(at))
-    lo, hi = np.zeros(len(at), np.int64), np.full(len(at), index.n, np.int64)
-    for k in range(depth):
-        lo, hi = index.step(sequence[at[live] + depth - 1 - k], lo, hi)
-        ok = hi - lo >= least
-        live, lo, hi = live[ok], lo[ok], hi[ok]
-        if not len(live):
-            break
-        matched[live] = k + 1
-    return matched
+def matching_statistics(index: FMIndex, sequence: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int, least: int = 2) -> np.ndarray:
+    """For each place of each piece sequence[starts:ends]: how many symbols from there on, depth at most and within the
+    piece, occur at least `least` times in the index.  All pieces are read backwards in one batch."""
+    out = np.zeros(len(sequence), np.int64)
+    by = np.argsort(starts - ends, kind="stable")  # the longest first: those that still have symbols are a prefix
+    length = (ends - starts)[by]
+    lo, hi, q = np.zeros(len(by), np.int64), np.full(len(by), index.n, np.int64), np.zeros(len(by), np.int64)
+    for k in range(1, int(length[0]) + 1 if len(length) else 1):
+        live = int(np.searchsorted(-length, -k, "right"))
+        place = ends[by[:live]] - k
+        symbol = sequence[place]
+        cut = np.flatnonzero(q[:live] == depth)  # a match of full depth loses its last symbol first
+        q[cut] = depth - 1
+        cut = cut[index.depth(lo[cut], hi[cut]) >= depth - 1]
+        if depth > 1:
+            lo[cut], hi[cut] = index.widen(lo[cut], hi[cut], q[cut])
+        else:
+            lo[cut], hi[cut] = 0, index.n
+        open_ = np.arange(live)
+        while len(open_):
+            a, b = index.step(symbol[open_], lo[open_], hi[open_])
+            ok = (b > a) & (index.weights[b] - index.weights[np.minimum(a, b)] >= least)
+            on = open_[ok]
+            lo[on], hi[on] = a[ok], b[ok]
+            q[on] += 1
+            open_ = open_[~ok]
+            open_ = open_[q[open_] > 0]
+            shorter = index.depth(lo[open_], hi[open_])
+            q[open_] = shorter
+            none = shorter == 0
+            lo[open_[none]], hi[open_[none]] = 0, index.n
+            some = open_[~none]
+            lo[some], hi[some] = index.widen(lo[some], hi[some], shorter[~none])
+        out[place] = q[:live]
+    return out

@@ -72,6 +72,11 @@ class Poly:
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(U64))
 
+    def grams(self, size: int) -> np.ndarray:
+        """of() for every run of size values."""
+        n = len(self.sums) - size
+        return mix((self.sums[size:] - self.sums[:n]) * self.inverse[:n] + U64(size))
+
 
 class Poly2(Poly):
     """The same with another base: over second_values(), a hash that does not depend on Poly's."""
@@ -176,8 +181,8 @@ def covered(n: int, start: np.ndarray, length) -> np.ndarray:
     """Which of n units lie in any [start, start+length)."""
     change = np.zeros(n + 1, np.int32)
     np.add.at(change, start, 1)
-    np.add.at(change, start + length, -1)
-    return np.cumsum(change[:-1]) > 0
+    np.subtract.at(change, start + length, 1)
+    return np.cumsum(change[:n], dtype=np.int32) > 0
 
 
 def per_doc(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -188,16 +193,15 @@ def per_doc(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def leftmost_minimum(values: np.ndarray, width: int) -> np.ndarray:
-    """For each window of width values: where its leftmost minimum is.  Compares by doubling."""
+    """For each window of width values: where its leftmost minimum is, by as many high bits as their places leave.
+    Doubles the width of minima of values with their places in the low bits."""
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    best, at, span = values, np.arange(len(values), dtype=np.int32 if len(values) < 2**31 else np.int64), 1
+    low = U64((1 << len(values).bit_length()) - 1)
+    best, span = (values & ~low) | np.arange(len(values), dtype=U64), 1
     while span < width:
         step = min(span, width - span)
-        a, b = best[: len(best) - step], best[step:]
-        right = b < a
-        at = np.where(right, at[step:], at[: len(at) - step])
-        best = np.where(right, b, a)
+        best = np.minimum(best[: len(best) - step], best[step:])
         span += step
-    return at[:n]
+    return (best[:n] & low).astype(np.int64)

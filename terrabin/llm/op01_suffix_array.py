@@ -1,13 +1,13 @@
 """Substrings of WINDOW bytes that an earlier document holds, by enhanced suffix arrays.
 
-Candidate pieces come from anchored.py.  In each shard, prefix doubling sorts the suffixes that start a window, the
-longest common prefixes follow from the doubling ranks, and a stack scan visits the common-prefix interval tree:
-each interval of at least WINDOW bytes whose suffixes differ in the byte before them is a maximal repeat, a
-group; its occurrences outside the smallest document are removed.  A piece with copies is settled by its hashes, and
-one holder stands for it in the index.  repeat_groups.groups() gives the groups with all
-occurrences, copies too.  A piece ends where the next anchor
-takes over, so a repeat longer than a piece is a chain of overlapping groups; the first window of a piece counts as
-left-diverse for that reason.
+Candidate pieces come from anchored.py: of each different piece whose anchor is met twice, one holder enters the index
+of a shard, with the least doc_id and the number of its copies.  The suffixes that start a window are sorted, neighbours
+give the longest common prefixes, and a stack scan visits the common-prefix interval tree:
+each interval of at least WINDOW bytes whose suffixes differ in the byte before them is a maximal repeat, and so is a
+piece with copies; its occurrences, those of copies included, form a group.  groups() returns the groups with all
+occurrences; the query removes those outside a group's smallest document.  A piece ends where the next anchor takes over,
+so a repeat longer than a piece is a chain of overlapping groups; the first window of a piece counts as left-diverse
+for that reason.
 
 Edge cases: null and empty texts have no bytes; documents of fewer than WINDOW bytes keep all; equal doc_ids are
 not smaller than one another; null ids are larger than all others; repeated rows are separate; other columns are
@@ -27,47 +27,58 @@ from . import exchange as X
 from . import suffix
 from .session import table
 
-WINDOW, GRAM, PACK = 50, 20, 7
+WINDOW, GRAM = 50, 20
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def windows_sorted(units, ends, windows):
-    """Position, piece, offset, common prefix with the one before and left symbol of the windows' suffixes, in order."""
+    """Position, piece, offset, common prefix with the one before and left symbol of the windows' suffixes, in order.
+
+    Pieces are short, so suffixes are sorted as rows of bytes, and neighbours compared: bytes count from 1 (255 does not
+    occur in UTF-8), and zeros stand between pieces, as many as the longest has windows."""
     starts = np.concatenate([[0], ends[:-1]])
-    end = np.repeat(ends, ends - starts)
-    levels = suffix.ranks(units, end, int((ends - starts).max()), PACK)
+    width = int((ends - starts).max())
     piece = np.repeat(np.arange(len(ends)), windows)
     offset = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows)
     at = starts[piece] + offset
-    order = np.argsort(levels[-1][1][at], kind="stable")
-    at, piece, offset = at[order], piece[order], offset[order]
-    lcp = suffix.bytewise(units, end, at, suffix.common_prefixes(levels, end, at), PACK - 1)
+    size = ends[piece] - at
+    gap = int(windows.max())
+    filled = np.zeros(len(units) + gap * len(ends), np.uint8)
+    filled[np.arange(len(units)) + np.repeat(np.arange(len(ends)) * gap, ends - starts)] = units + np.uint8(1)
+    rows = np.lib.stride_tricks.sliding_window_view(filled, width)[at + piece * gap]
+    order = np.argsort(rows.view(f"V{width}").reshape(-1), kind="stable")
+    rows, at, piece, offset, size = rows[order], at[order], piece[order], offset[order], size[order]
+    differ = rows[1:] != rows[:-1]
+    first = differ.argmax(1)
+    first[~differ[np.arange(len(first)), first]] = width
+    lcp = np.zeros(len(at), np.int64)
+    lcp[1:] = np.minimum(first, np.minimum(size[1:], size[:-1]))
     return at, piece, offset, lcp, np.where(offset > 0, units[np.maximum(at - 1, 0)].astype(np.int64), -1)
 
 
-def repeats(units, ends, windows, ids, before, query, window: int = WINDOW):
-    """(piece, first byte, length) of the occurrences of maximal repeats outside the smallest document."""
+def repeats(units, ends, windows, least, copies, window: int = WINDOW):
+    """(group, piece, first byte, length, least doc_id of the group) of the occurrences of all maximal repeats."""
     at, piece, offset, lcp, left = windows_sorted(units, ends, windows)
-    own = ids[piece]
-    # runs of suffixes that share a whole window, seen by two documents
-    joined = lcp >= window
-    first = np.flatnonzero(~joined)
+    own = least[piece]
+    # runs of suffixes that share a whole window
+    first = np.flatnonzero(lcp < window)
     size = np.diff(np.append(first, len(at)))
-    several = np.maximum.reduceat(own, first) > np.minimum.reduceat(own, first)
-    intervals = []
-    for a, n in zip(first[several].tolist(), size[several].tolist(), strict=True):
-        for i, j, length, least in suffix.maximal_repeats(lcp[a : a + n].tolist(), left[a : a + n].tolist(), own[a : a + n].tolist()):
-            intervals.append((a + i, j - i + 1, length, least))
-    if not intervals:
-        return (np.zeros(0, np.int64),) * 3
-    i, n, length, least = np.array(intervals, np.int64).T
+    found = []
+    for a, n in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+        for i, j, length, low in suffix.maximal_repeats(lcp[a : a + n].tolist(), left[a : a + n].tolist(), own[a : a + n].tolist()):
+            found.append((a + i, j - i + 1, length, low))
+    i, n, length, low = np.array(found, np.int64).reshape(-1, 4).T
     who = A.gather(np.arange(len(at)), i, n)
-    length, least = np.repeat(length, n), np.repeat(least, n)
-    later = own[who] > least
-    return piece[who[later]], offset[who[later]], length[later]
+    group, length, low = (np.repeat(x, n) for x in (np.arange(len(i)), length, low))
+    # a piece with copies is a repeat, unless an interval has shown it whole
+    whole = windows + window - 1
+    seen = np.zeros(len(ends), bool)
+    seen[piece[who][(offset[who] == 0) & (length == whole[piece[who]])]] = True
+    more = np.flatnonzero((copies > 1) & ~seen)
+    return tuple(np.concatenate(x) for x in ((group, len(i) + np.arange(len(more))), (piece[who], more), (offset[who], np.zeros(len(more), np.int64)), (length, whole[more]), (low, least[more])))
 
 
-TASK = A.Task(WINDOW, GRAM, False, False, repeats)
+TASK = A.Task(WINDOW, GRAM, False, repeats)
 
 
 def report(t: pa.Table, offsets: np.ndarray, gone: np.ndarray) -> pa.Table:
@@ -93,6 +104,21 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     return A.removed(docs, TASK, without_repeats, "doc_id long, kept binary")
 
 
+def groups(docs: DataFrame, block_bytes: int | None = None) -> DataFrame:
+    """(group, doc_id, start, length): every occurrence, in bytes, of every maximal repeat group."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        t = X.ordered(left)
+        _, offsets = TASK.units(t, values=False)
+        head, windows, offset, length, _, group = A.answers_of(right) if right.num_rows else (np.zeros(0, np.int64),) * 6
+        index, start, doc = A.occurrences(TASK, t, head, windows)
+        ids = t["doc_id"].take(pa.array(doc))
+        return pa.table({"group": group[index], "doc_id": ids, "start": start - offsets[doc] + offset[index], "length": length[index].astype(np.int64)})
+
+    blocked, answers = A.found(docs, TASK, True, block_bytes)
+    return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(X.frugal_pair(run), "group long, doc_id long, start long, length long")
+
+
 def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.removed(table(spark, sf_dir, "documents"), TASK, report, SCHEMA)
 

@@ -1,9 +1,11 @@
 """Windows of WINDOW words that occur anywhere else, by a compressed FM-index per shard.
 
-Candidate pieces come from anchored.py.  Each shard builds an FM-index (wavelet matrix over packed bits of the
-Burrows-Wheeler transform) over one holder of every different piece, then streams the pieces that have no copy
-through it: a batched backward search gives each window's matching statistic, cut at WINDOW words, and windows whose
-statistic reaches WINDOW with two occurrences or more are reported.  A piece with a copy is repeated as a whole.
+Candidate pieces come from anchored.py: of each different piece whose anchor is met twice, one holder enters the index
+of a shard, counted as often as it has copies.  The index is an FM-index (wavelet matrix over packed bits of the
+Burrows-Wheeler transform) with the longest common prefixes of neighbours.  All pieces are then streamed through it from
+their last word to their first: backward search keeps, for each, the longest match that starts at the current word and
+occurs twice or more, and passes to the parent interval where no longer match goes on.  These are the matching
+statistics, cut at WINDOW; windows where they reach WINDOW are reported.
 
 Words are compared by 64-bit hashes.  Edge cases: null and empty texts have no words; documents of fewer than WINDOW
 words keep all; repeated rows and rows with equal or null ids repeat one another; other columns are ignored.
@@ -24,27 +26,22 @@ from . import fm_index
 from .session import table
 
 WINDOW, GRAM = 35, 8
-#: Windows that one batch of the search holds.
-BATCH = 1 << 17
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def intervals(units, ends, windows, ids, before, query, window: int = WINDOW):
-    """(piece, first word, length) of the asked pieces' windows that the index holds twice or more."""
-    index = fm_index.FMIndex(units, ends, window)
+def intervals(units, ends, windows, least, copies, window: int = WINDOW):
+    """(group, piece, first word, length, low) of the windows that occur twice or more; they go from all documents."""
     starts = np.concatenate([[0], ends[:-1]])
-    piece = np.repeat(np.flatnonzero(query), windows[query])
-    n = windows[query]
-    offset = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
-    at = starts[piece] + offset
-    full = np.zeros(len(at), bool)
-    for k in range(0, len(at), BATCH):
-        full[k : k + BATCH] = fm_index.repeated(index, index.coded, at[k : k + BATCH], window) == window
-    return piece[full], offset[full], np.full(int(full.sum()), window)
+    index = fm_index.FMIndex(units, ends, window)
+    index.weigh(copies)
+    full = fm_index.matching_statistics(index, index.coded, starts, ends, window) == window
+    piece = np.repeat(np.arange(len(ends)), ends - starts)[full]
+    first = np.flatnonzero(full) - starts[piece]
+    return np.arange(len(piece)), piece, first, np.full(len(piece), window), np.full(len(piece), A.LOWEST)
 
 
-TASK = A.Task(WINDOW, GRAM, True, True, intervals)
+TASK = A.Task(WINDOW, GRAM, True, intervals)
 
 
 def _kept(t: pa.Table, offsets: np.ndarray, gone: np.ndarray) -> tuple[list[str], np.ndarray]:

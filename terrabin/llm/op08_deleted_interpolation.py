@@ -8,6 +8,8 @@ Blocks send their distinct unigrams and bigrams with counts to buckets of keys a
 exchange.py); the whole corpus is counted, nothing is broadcast but the weights.  What EM needs of all tokens is a
 histogram over (context bucket, bigram probability, unigram count) in quarter octaves, of bounded size.
 
+Words go by 64-bit hashes, and pairs of words by 64-bit hashes of the two.
+
 Edge cases: a null or empty text is the end token alone; null ids are in training as crc32 of them is null; repeated
 rows count as often as they come; with no training tokens only the uniform estimate scores; other columns are ignored.
 """
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,9 @@ from .session import stored, table
 
 FOLDS, HELD_OUT, BUCKETS, STEP, ROUNDS = 7, 2, 24, 4, 60
 END, START = K.U64(0xA5A5_1234_5678_9ABD), K.U64(0x5A5A_8765_4321_FEDB)
-KINDS = "kind int, doc_id long, held_out boolean, n_tokens long, payload binary"
+KINDS = "kind int, payload binary"
+#: Tokens whose counts one stored row holds, unless a document has more.
+ROW_TOKENS = 1 << 17
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -53,11 +58,10 @@ def tokens(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
 
 
 def keyed(w: np.ndarray, h: np.ndarray, train: np.ndarray):
-    """Distinct unigram and bigram keys, the key of each token, and training counts of each key.  Unigrams go by 64 bits,
-    bigrams by 48: two of 10**9 bigrams share a key with a chance of about 4 in 10**6 each."""
+    """Distinct unigram and bigram keys, the key of each token, and training counts of each key."""
     out = []
     with np.errstate(over="ignore"):
-        pair = K.mix(h * K.U64(0x9E3779B97F4A7C15) + w) & ~K.U64((1 << 16) - 1)
+        pair = K.mix(h * K.U64(0x9E3779B97F4A7C15) + w)
     for keys in (w, pair):
         distinct, at = np.unique(keys, return_inverse=True)
         out.append((distinct, at, np.bincount(at[train], minlength=len(distinct))))
@@ -72,7 +76,8 @@ def send(n_buckets: int):
         out = []
         for k, bounds in enumerate(zip(cuts(uni, n_buckets), cuts(bi, n_buckets), strict=True)):
             (a, b), (c, d) = bounds
-            out.append((k, block, X.pack(X.squeezed(uni[a:b]), narrow(uc[a:b]), X.squeezed(bi[c:d]), narrow(bc[c:d]))))
+            if a < b or c < d:
+                out.append((k, block, X.pack(X.squeezed(uni[a:b]), X.narrow(uc[a:b]), X.squeezed(bi[c:d]), X.narrow(bc[c:d]))))
         return X.rows(X.MESSAGE, bucket=[x[0] for x in out], block=[x[1] for x in out], payload=[x[2] for x in out])
 
     return run
@@ -99,9 +104,9 @@ def total(t: pa.Table) -> pa.Table:
         sums = np.bincount(at, counts, minlength=len(distinct)).astype(np.int64)
         answers.append((np.split(sums[at], np.cumsum(size)[:-1]), sums))
     known = answers[0][1]
-    out = [X.pack(a.astype(np.uint64), b.astype(np.uint64)) for a, b in zip(answers[0][0], answers[1][0], strict=True)]
-    vocabulary = X.pack(np.array([(known > 0).sum(), known.sum()], np.int64))
-    return X.rows(X.ANSWER, block=[*names, -1], bucket=[bucket] * (len(names) + 1), payload=[*out, vocabulary])
+    none, vocabulary = np.zeros(2, np.int64), np.array([(known > 0).sum(), known.sum()], np.int64)  # told to one block
+    out = [X.pack(X.planes(a), X.planes(b), none if k else vocabulary) for k, (a, b) in enumerate(zip(answers[0][0], answers[1][0], strict=True))]
+    return X.rows(X.ANSWER, block=names, bucket=[bucket] * len(names), payload=out)
 
 
 def octave(p: np.ndarray) -> np.ndarray:
@@ -114,14 +119,12 @@ def context_bucket(c: np.ndarray) -> np.ndarray:
 
 
 def receive(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A block's documents with the counts of each token, and the histogram of its training tokens for EM."""
-    if not left.num_rows:
-        return X.rows(KINDS, kind=[2] * right.num_rows, doc_id=[None] * right.num_rows, held_out=[None] * right.num_rows, n_tokens=[None] * right.num_rows, payload=right["payload"].to_pylist())
+    """The counts of each token of a block's documents, and the histogram of its training tokens for EM."""
     t = X.ordered(left)
     w, h, n, held, train = tokens(t)
     (uni, u_at, uc), (bi, b_at, bc) = keyed(w, h, train)
     answers = [X.unpack(p) for _, p in sorted(zip(right["bucket"].to_pylist(), right["payload"].to_pylist(), strict=True))]
-    u_all, b_all = (np.concatenate([a[k] for a in answers]).astype(np.int64) for k in (0, 1))
+    u_all, b_all = (np.concatenate([X.unplanes(a[k]) for a in answers]).astype(np.int64) for k in (0, 1))
     first = np.cumsum(n) - n
     cw, chw = u_all[u_at], b_all[b_at]
     # held-out counts: the block's own are deleted
@@ -129,19 +132,21 @@ def receive(left: pa.Table, right: pa.Table) -> pa.Table:
     dh = np.empty_like(dw)
     dh[1:] = dw[:-1]
     dh[first] = u_all[np.searchsorted(uni, END)] - uc[np.searchsorted(uni, END)]  # as many starts as ends
-    b, p2, p1 = context_bucket(dh), octave(dhw / np.maximum(dh, 1)), octave(dw.astype(float))
-    cell = ((b << 20) | (np.minimum(p2, 1023) << 10) | np.minimum(p1, 1023))[train]
-    cells, of = np.unique(cell, return_counts=True)
-    out = []
-    for d in range(len(n)):
-        s = slice(first[d], first[d] + n[d])
-        out.append(X.pack(narrow(cw[s]), narrow(chw[s])))
-    k = len(out)
-    return X.rows(KINDS, kind=[0] * k + [1], doc_id=[*t["doc_id"].to_pylist(), None], held_out=[*held.tolist(), None], n_tokens=[*n.tolist(), None], payload=[*out, X.pack(cells, of)])
+    cells, of = np.unique(cell(dh, dhw, dw)[train], return_counts=True)
+    none, ids, upto = np.array(t["doc_id"].is_null()), X.ids_of(t), np.cumsum(n)
+    out, a = [], 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(upto, first[a] + ROW_TOKENS, "right")))
+        s = slice(first[a], upto[b - 1])
+        out.append(X.pack(ids[a:b], none[a:b], held[a:b], n[a:b], X.planes(cw[s]), X.planes(chw[s])))
+        a = b
+    return X.rows(KINDS, kind=[0] * len(out) + [1], payload=[*out, X.pack(cells, of, sum(a[2] for a in answers))])
 
 
-def narrow(a: np.ndarray) -> np.ndarray:
-    return a.astype(np.uint8 if not len(a) or a.max() < 256 else np.uint32 if a.max() < 2**32 else np.uint64)
+def cell(h: np.ndarray, hw: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The histogram's cell of a token, by the counts of its context, of the pair and of the word."""
+    p2, p1 = octave(hw / np.maximum(h, 1)), octave(w.astype(float))
+    return (context_bucket(h) << 20) | (np.minimum(p2, 1023) << 10) | np.minimum(p1, 1023)
 
 
 def learn(cells: np.ndarray, of: np.ndarray, total_tokens: int, vocabulary: int) -> np.ndarray:
@@ -158,53 +163,68 @@ def learn(cells: np.ndarray, of: np.ndarray, total_tokens: int, vocabulary: int)
     return weights
 
 
-def scored(docs: DataFrame) -> DataFrame:
-    """The model is counted, learned and applied; one row a document."""
-    spark = docs.sparkSession
-    blocked, n = X.blocks(docs)
-    sent = blocked.groupBy("block").applyInArrow(send(n), X.MESSAGE)
-    answers = sent.groupBy("bucket").applyInArrow(total, X.ANSWER)
-    kept = stored(blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(receive, KINDS), "counts")
+@dataclass(frozen=True)
+class Model:
+    """weights: of bigram, unigram and uniform by context bucket; tokens and different tokens in training."""
+
+    weights: np.ndarray
+    tokens: int
+    vocabulary: int
+
+    def log10(self, h: np.ndarray, hw: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Of each token's probability, from the counts of its context, of the pair and of the word."""
+        k = self.weights[context_bucket(h)]
+        return np.log10(k[:, 0] * hw / np.maximum(h, 1) + k[:, 1] * w / max(self.tokens, 1) + k[:, 2] / (self.vocabulary + 1))
+
+
+def counted(docs: DataFrame) -> tuple[DataFrame, Model]:
+    """The stored counts of all tokens, and the model learned from them."""
+    blocked, n, _ = X.blocks(docs)
+    sent = blocked.groupBy("block").applyInArrow(X.frugal(send(n)), X.MESSAGE)
+    answers = sent.groupBy("bucket").applyInArrow(X.frugal(total), X.ANSWER)
+    kept = stored(blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(X.frugal_pair(receive), KINDS), "counts")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Vocabulary and histogram rows of a partition, added up."""
         sums, cells = np.zeros(2, np.int64), {}
         for b in batches:
-            for kind, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if kind == 2:
-                    sums += X.unpack(data)[0]
-                else:
-                    for c, k in zip(*(x.tolist() for x in X.unpack(data)), strict=True):
-                        cells[c] = cells.get(c, 0) + k
+            for data in b.column(0).to_pylist():
+                cell_, of, stats = X.unpack(data)
+                sums += stats
+                for c, k in zip(cell_.tolist(), of.tolist(), strict=True):
+                    cells[c] = cells.get(c, 0) + k
         yield pa.RecordBatch.from_pydict({"cell": pa.array([-1, -2, *cells], pa.int64()), "n": pa.array([*sums.tolist(), *cells.values()], pa.int64())})
 
-    got = kept.where("kind > 0").select("kind", "payload").mapInArrow(fold, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    got = kept.where("kind = 1").select("payload").mapInArrow(fold, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     got = {r["cell"]: r["n"] for r in got}
     vocabulary, total_tokens = got.pop(-1, 0), got.pop(-2, 0)
     pairs = np.array(sorted(got.items()), np.int64).reshape(-1, 2)
-    weights = spark.sparkContext.broadcast(learn(pairs[:, 0], pairs[:, 1], total_tokens, vocabulary))
+    return kept.where("kind = 0").select("payload"), Model(learn(pairs[:, 0], pairs[:, 1], total_tokens, vocabulary), total_tokens, vocabulary)
+
+
+def scored(docs: DataFrame) -> DataFrame:
+    """The model is counted, learned and applied; one row a document."""
+    kept, model = counted(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lam, base = weights.value, np.log10(total_tokens + vocabulary + 1)
+        m = shared.value
+        base = np.log10(m.tokens + m.vocabulary + 1)
         for b in batches:
-            known, low, high = [], [], []
-            for data in b.column(3).to_pylist():
-                cw, chw = (a.astype(np.float64) for a in X.unpack(data))
+            for data in b.column(0).to_pylist():
+                ids, none, held, n, *counts = X.unpack(data)
+                cw, chw = (X.unplanes(x).astype(np.float64) for x in counts)
+                first = np.cumsum(n) - n
                 ch = np.empty_like(cw)
                 ch[1:] = cw[:-1]
-                ch[0] = cw[-1]  # as many starts as ends
-                k = lam[context_bucket(ch)]
-                p = k[:, 0] * chw / np.maximum(ch, 1) + k[:, 1] * cw / max(total_tokens, 1) + k[:, 2] / (vocabulary + 1)
-                known.append(int((cw > 0).sum()))
-                low.append(float((np.log10(cw + 1) - base).sum()))
-                high.append(float(np.log10(p).sum()))
-            n = b.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array(known, pa.int64()), pa.array([total_tokens] * n, pa.int64()), pa.array(low, pa.float64()), pa.array(high, pa.float64())],
-                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
-
-    return kept.where("kind = 0").select("doc_id", "held_out", "n_tokens", "payload").mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+                ch[first] = cw[first + n - 1]  # as many starts as ends
+                known, low, high = (np.add.reduceat(x, first) for x in ((cw > 0).astype(np.int64), np.log10(cw + 1) - base, m.log10(ch, chw, cw)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64(), mask=none), pa.array(held), pa.array(n), pa.array(known), pa.array(np.full(len(n), m.tokens)), pa.array(low), pa.array(high)],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
+
+    return kept.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,52 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrabin.shipping import shared_dir, ship, stored  # noqa: F401
+
 #: Rows an Arrow batch may hold; texts can be long, and a batch is held whole in a Python worker.
 ARROW_ROWS = "1000"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Ships this package to the executors once a session and bounds Arrow batches."""
-    sc = spark.sparkContext
-    if not getattr(sc, "_terrabin_shipped", False):
-        root = Path(__file__).resolve().parents[2]
-        folder = Path(tempfile.mkdtemp(prefix="terrabin-"))
-        with zipfile.ZipFile(folder / "terrabin.zip", "w") as z:
-            for p in sorted((root / "terrabin").rglob("*.py")):
-                z.write(p, p.relative_to(root))
-        sc.addPyFile(str(folder / "terrabin.zip"))
-        sc._terrabin_shipped = True
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; set only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = getattr(spark.sparkContext, "_terrabin_dir", None)
-        if base is None:
-            base = spark.sparkContext._terrabin_dir = Path(tempfile.mkdtemp(prefix="terrabin-shared-")).as_uri()
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str = "t") -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a whole text column."""
     return int(docs.agg(F.sum(F.octet_length(column))).first()[0] or 0)

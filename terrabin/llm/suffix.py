@@ -4,27 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 
-from . import kernels as K
 
-
-def ranks(symbols: np.ndarray, end: np.ndarray, upto: int, first: int = 1) -> list[tuple[int, np.ndarray]]:
+def ranks(symbols: np.ndarray, end: np.ndarray, upto: int) -> list[tuple[int, np.ndarray]]:
     """(span, rank of each suffix by its first span symbols) for doubling spans.
 
     symbols: integers of the pieces, one after another; end: the end of each position's own piece, at which a
-    suffix stops.  Equal ranks mean equal prefixes, stops included.  first: symbols that the first rank packs
-    (their values must then be bytes).
+    suffix stops.  Equal ranks mean equal prefixes, stops included.
     """
     n = len(symbols)
     at = np.arange(n)
-    if first > 1:
-        packed = np.zeros(n, K.U64)
-        for k in range(first):
-            inside = at + k < end
-            packed = packed * K.U64(257)
-            packed[inside] += symbols[at[inside] + k].astype(K.U64) + K.U64(1)
-    else:
-        packed = symbols
-    rank, span = np.unique(packed, return_inverse=True)[1].astype(np.int64) + 1, first
+    rank, span = np.unique(symbols, return_inverse=True)[1].astype(np.int64) + 1, 1
     out = [(span, rank)]
     while span < upto:
         later = np.minimum(at + span, n - 1)
@@ -52,20 +41,6 @@ def common_prefixes(levels: list[tuple[int, np.ndarray]], end: np.ndarray, order
     return lcp
 
 
-def bytewise(symbols: np.ndarray, end: np.ndarray, order: np.ndarray, lcp: np.ndarray, most: int) -> np.ndarray:
-    """Completes prefixes that are known up to fewer than most further symbols."""
-    if len(order) < 2:
-        return lcp
-    a, b = order[:-1], order[1:]
-    got, open_ = lcp[1:].copy(), np.ones(len(a), bool)
-    for _ in range(most):
-        ia, ib = a + got, b + got
-        open_ &= (ia < end[a]) & (ib < end[b])
-        open_[open_] = symbols[ia[open_]] == symbols[ib[open_]]
-        got += open_
-    return np.concatenate([lcp[:1], got])
-
-
 def maximal_repeats(lcp: list[int], left: list[int], least: list[int]) -> list[tuple[int, int, int, int]]:
     """(first, last, length, least) of the left-diverse intervals of a run of the suffix array.
 

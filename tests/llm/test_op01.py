@@ -1,5 +1,6 @@
 import hashlib
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 
@@ -54,3 +55,43 @@ def test_pieces_whose_hashes_agree_in_40_bits(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = A.removed(docs, op.TASK, op.report, op.SCHEMA, 10).collect()
     assert [r.n_removed for r in got] == [0] * 8 and Counter(tuple(r) for r in got) == brute(rows)
+
+
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_one_anchor_with_many_pieces(spark, hot):
+    task = replace(op.TASK, hot=hot)
+    rows = [(i if i % 11 else None, f"{i % 61:07d} a template that every page has: {i % 53:09d} and {i % 7}, number {i:05d}") for i in range(900)]
+    rows += [(2000 + i, rows[7 * i % 900][1][k : k + 50]) for i in range(200) for k in (i % 40,)]  # pieces of one window
+    got = A.removed(spark.createDataFrame(rows, "doc_id long, text string"), task, op.report, op.SCHEMA, 4000).collect()
+    assert Counter(tuple(r) for r in got) == brute(rows)
+
+
+def test_anchors_are_the_leftmost_least(spark):
+    import numpy as np
+
+    from terrabin.llm import kernels as K
+
+    r = np.random.default_rng(3)
+    v = r.integers(0, 40, 500).astype(np.uint64) << np.uint64(50)
+    got = K.leftmost_minimum(v, 31)
+    assert got.tolist() == [s + int(np.argmin(v[s : s + 31])) for s in range(470)]
+
+
+def test_many_null_ids(spark):
+    docs = spark.range(0, 100_000, 1, 4).selectExpr("cast(null as long) as doc_id", "concat('a text that all the rows here begin with, for long, and then ', id) as text")
+    got = A.removed(docs, op.TASK, op.report, op.SCHEMA, 400_000).groupBy("n_removed").count().collect()
+    assert [tuple(x) for x in got] == [(0, 100_000)]
+
+
+def test_block_size_by_rule():
+    assert A.X.block_bytes(10**9) == A.X.BLOCK_BYTES and 3e8 < A.X.block_bytes(10**14) < 3.5e8
+
+
+def test_anchors_spread_over_buckets():
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(1)
+    t = pa.table({"doc_id": [1], "text": ["".join(map(chr, r.integers(97, 123, 200_000)))], "block": pa.array([0], pa.int32())})
+    sizes = [A.X.unpack(p)[0].shape[1] for p in A.anchors(op.TASK, 8, 40)(t)["payload"].to_pylist()]
+    assert len(sizes) == 8 and max(sizes) < 1.2 * min(sizes)

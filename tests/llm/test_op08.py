@@ -1,7 +1,9 @@
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
+import numpy as np
+import pytest
 from conftest import words_of
 
 from terrabin.llm import op08_deleted_interpolation as op
@@ -25,11 +27,79 @@ def test_model_beats_the_unigram_base_on_held_out_text(spark, sf):
     assert r["sum(score)"] > r["sum(base_score)"]
 
 
-def test_probabilities_of_a_context_sum_to_one():
-    import numpy as np
+def lower(t):
+    return [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in words_of(t)]
 
-    weights = op.learn(np.array([(3 << 20) | (5 << 10) | 9, (1 << 20) | 4, 7]), np.array([5, 3, 2]), 100, 10)
-    assert np.allclose(weights.sum(1), 1) and weights[0, 0] == 0
+
+def held(i):
+    return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+
+
+def counts(rows):
+    """Of words and pairs in training; None is the end, and the start as a context."""
+    one, two = Counter(), Counter()
+    for i, t, *_ in rows:
+        if not held(i):
+            w = [None, *lower(t), None]
+            one.update(w[1:])
+            two.update(zip(w, w[1:], strict=False))
+    return one, two
+
+
+def test_score_equals_a_plain_model(docs, rows):
+    _, m = op.counted(docs)
+    one, two = counts(rows)
+    assert (m.tokens, m.vocabulary) == (sum(one.values()), len(one))
+    want = Counter()
+    for i, t, *_ in rows:
+        w, total = [None, *lower(t), None], 0.0
+        for a, b in zip(w, w[1:], strict=False):
+            k = m.weights[0 if not one[a] else min(1 + int(math.log2(one[a])), op.BUCKETS - 1)]
+            total += math.log10((k[0] * two[a, b] / one[a] if one[a] else 0) + k[1] * one[b] / m.tokens + k[2] / (m.vocabulary + 1))
+        want[(i, round(total, 6))] += 1
+    assert Counter((r.doc_id, round(r.score, 6)) for r in op.scored(docs).collect()) == want
+
+
+def test_weights_equal_plain_em_on_deleted_counts(spark, monkeypatch, rows):
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    size = op.X.text_bytes(docs) // 4
+    monkeypatch.setattr(op.X, "BLOCK_BYTES", size)
+    _, m = op.counted(docs)
+    blocked, n, _ = op.X.blocks(docs)
+    assert n > 3
+    by = defaultdict(list)
+    for r in blocked.collect():
+        by[r.block].append((r.doc_id, r.text))
+    one, two = counts(rows)
+    seen = []
+    for block in by.values():
+        own1, own2 = counts(block)
+        for i, t in block:
+            if not held(i):
+                w = [None, *lower(t), None]
+                for a, b in zip(w, w[1:], strict=False):
+                    h, hw, u = one[a] - own1[a], two[a, b] - own2[a, b], one[b] - own1[b]
+                    q = lambda p: 2 ** (round(4 * math.log2(p)) / 4) if p else 0
+                    seen.append((min(1 + int(math.log2(h)), op.BUCKETS - 1) if h else 0, q(hw / max(h, 1)), q(u) / m.tokens, 1 / (m.vocabulary + 1)))
+    weights = [[1 / 3] * 3 for _ in range(op.BUCKETS)]
+    for _ in range(op.ROUNDS):
+        sums = [[0.1, 0.5, 0.5] for _ in range(op.BUCKETS)]
+        for k, *p in seen:
+            share = [x * y for x, y in zip(weights[k], p, strict=True)]
+            for j in range(3):
+                sums[k][j] += share[j] / sum(share)
+        weights = [[x / sum(s) for x in s] for s in sums]
+    for k in range(1, op.BUCKETS):
+        assert m.weights[k].tolist() == pytest.approx(weights[k], abs=1e-6)
+
+
+def test_probabilities_of_a_context_sum_to_one(docs, rows):
+    _, m = op.counted(docs)
+    one, two = counts(rows)
+    names = [*one, "a word never seen"]  # the vocabulary and one unknown word
+    for a in list(one)[:30]:
+        h, hw, w = (np.array(x, float) for x in ([one[a]] * len(names), [two[a, b] for b in names], [one[b] for b in names]))
+        assert (10 ** m.log10(h, hw, w)).sum() == pytest.approx(1)
 
 
 def test_empty_table(no_docs):
