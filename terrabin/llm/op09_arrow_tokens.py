@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .exchange import release
 from .session import prepare, shared_dir, stored, table, text_bytes
 
 SEQUENCE, BATCH, END = 2048, 256, 0
@@ -266,6 +267,7 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, folder: str | No
                 f.write_table(index)
 
         placed(fs, f"{path}.docs.arrow", fill_index)
+        release()
         yield pa.RecordBatch.from_pydict({"part": [part], "ids": pa.array([int(counts.sum())], pa.int64()), "docs": pa.array([len(counts)], pa.int64()), "file": [f"{folder}/part-{part:06d}"]}, pa.schema([("part", pa.int64()), ("ids", pa.int64()), ("docs", pa.int64()), ("file", pa.string())]))
 
     manifest = stored(docs.mapInArrow(run, "part long, ids long, docs long, file string"), "manifest")
