@@ -1,4 +1,4 @@
-"""Every query against its SQL in DuckDB, and the reference's literal expectations."""
+"""Every query against its SQL in DuckDB, and literal expectations."""
 
 import duckdb
 import pytest
