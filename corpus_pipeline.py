@@ -28,7 +28,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mix takes them; of one document a source, only the first words."""
+    """Rows as often as the mix takes them, unchanged; where a document had to be cut to meet a target, its first words."""
     return op10_flow_mix.repeated(docs)
 
 
