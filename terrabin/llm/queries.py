@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_suffix_array, op02_decision_list, op03_line_deletions, op04_anchor_pii, op05_fm_index, op06_decontaminate, op07_simhash_cover, op08_deleted_interpolation, op09_arrow_tokens, op10_flow_mix, op11_vector_codes, op13_merkle_manifest
+from . import op01_suffix_array, op02_decision_list, op03_line_deletions, op04_anchor_pii, op05_fm_index, op06_decontaminate, op07_simhash_cover, op08_deleted_interpolation, op09_arrow_tokens, op10_flow_mix, op11_vector_codes, op12_randomness_secrets, op13_merkle_manifest
 
 _MODULES = (
     (op01_suffix_array, "op1_suffix_array"),
@@ -21,6 +21,7 @@ _MODULES = (
     (op10_flow_mix, "op10_flow_mix"),
     (op10_flow_mix, "mix_overlapping_sources"),
     (op11_vector_codes, "op11_vector_codes"),
+    (op12_randomness_secrets, "op12_randomness_secrets"),
     (op13_merkle_manifest, "op13_merkle_manifest"),
 )
 
