@@ -455,54 +455,6 @@ def _(cell, rules):
     return mapview.features(strata.evaluate(predicate.matched(cell, one, QuerySettings(distance=100)), cell))
 
 
-def _polygons(spark: SparkSession) -> DataFrame:
-    """Rhombi and squares over the pixel grid, as edges."""
-    return spark.sql(_EDGES)
-
-
-_CORNERS = "(values (0, 0.0, -1.0), (1, 1.0, 0.0), (2, 0.0, 1.0), (3, -1.0, 0.0)) as c(i, dx, dy)"
-_EDGES = f"""select cast(p.poly as bigint) as poly, cast(p.cx + a.dx*p.r as double) as x1, cast(p.cy + a.dy*p.r as double) as y1, cast(p.cx + b.dx*p.r as double) as x2, cast(p.cy + b.dy*p.r as double) as y2
-from (values (1, 30.3, 20.7, 17.0), (2, 60.1, 40.9, 25.5), (3, 75.2, 35.3, 21.0), (4, 120.6, 60.2, 33.3)) as p(poly, cx, cy, r)
-cross join {_CORNERS} join (select * from {_CORNERS.replace('as c(', 'as d(')}) b on b.i = (c.i + 1) % 4""".replace("a.dx", "c.dx").replace("a.dy", "c.dy")
-_INSIDE = f"""with e as ({_EDGES}),
-h as (select x, y, poly, count(*) filter (where y1 <> y2 and (y1 > y) <> (y2 > y) and x < (x2-x1)*(y-y1)/(y2-y1)+x1) as k from px cross join e group by x, y, poly)"""
-
-
-def _hits(px: DataFrame) -> DataFrame:
-    points = px.select("x", "y", F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"))
-    return geometry.inside(points, _polygons(px.sparkSession), 16.0)
-
-
-@query("J9_point_in_polygon", f"{_INSIDE} select x, y, poly from h where k % 2 = 1", "px")
-def _(px):
-    return _hits(px).select("x", "y", "poly")
-
-
-@query("J10_exactly_one", f"{_INSIDE} select x, y, min(poly) as poly from h where k % 2 = 1 group by x, y having count(*) = 1", "px")
-def _(px):
-    return geometry.exactly_one(_hits(px), ["x", "y"])
-
-
-@query("J11_island_points", f"{_INSIDE} select x, y, min(poly) as poly from h where k % 2 = 1 group by x, y having count(*) = 1 and min(poly) <> 2", "px")
-def _(px):
-    mainland = px.sparkSession.createDataFrame([(2,)], "poly long")
-    return geometry.exactly_one(_hits(px), ["x", "y"]).join(F.broadcast(mainland), "poly", "left_anti").select("x", "y", "poly")
-
-
-@query("J12_tiles_near_lines", f"""with e as ({_EDGES}), b as (select poly, min(least(x1,x2)) as w, min(least(y1,y2)) as s, max(greatest(x1,x2)) as e, max(greatest(y1,y2)) as n from e group by poly),
-t as (select distinct cast(floor(x/16.0) as bigint)*1000 + cast(floor(y/16.0) as bigint) as tile, floor(x/16.0)*16 as w, floor(y/16.0)*16 as s, floor(x/16.0)*16+15 as e, floor(y/16.0)*16+15 as n from px)
-select tile, poly from t join b on b.w - 6 <= t.e and b.e + 6 >= t.w and b.s - 6 <= t.n and b.n + 6 >= t.s""", "px")
-def _(px):
-    fx, fy = F.floor(F.col("x") / 16), F.floor(F.col("y") / 16)
-    t = px.select((fx * 1000 + fy).cast(BIG).alias("tile"), (fx * 16).alias("w"), (fy * 16).alias("s"), (fx * 16 + 15).alias("e"), (fy * 16 + 15).alias("n")).distinct()
-    return geometry.near_boxes(t, _polygons(px.sparkSession), 6.0)
-
-
-@query("A23_largest_polygon", "select pref, min(rid) as poly from (select pref, rid, count(*) as a, max(count(*)) over (partition by pref) as top from cell_region where rid <> 0 group by pref, rid) q where a = top group by pref", "cell_region")
-def _(cell_region):
-    return geometry.largest(cell_region.where("rid <> 0").groupBy("pref", F.col("rid").alias("poly")).agg(F.count(F.lit(1)).alias("area")))
-
-
 @query("W5_last_layer", "select gx, gy, pref, veg as grp, legend from (select gx, gy, pref, veg, cover as legend, row_number() over (partition by gx, gy, pref order by veg desc, cover desc) as r from cell) q where r = 1", "cell")
 def _(cell):
     return geometry.last_layer(cell.select("gx", "gy", "pref", F.col("veg").alias("grp"), F.col("cover").alias("legend")), ["gx", "gy", "pref"])
@@ -797,4 +749,4 @@ def _(cell):
     return cell.groupBy("pref").agg(F.round(F.sum(F.col("n") * strata.area_of_cell(F.col("gy"))), 6).alias("area"))
 
 
-from terrabin import catalogue_files, catalogue_labels, catalogue_steps  # noqa: E402, F401  (they register their queries)
+from terrabin import catalogue_files, catalogue_labels, catalogue_shapes, catalogue_steps  # noqa: E402, F401  (they register their queries)

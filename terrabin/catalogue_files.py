@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrabin.catalogue import _EDGES, _b, query
+from terrabin.catalogue import _b, query
 from terrabin.operators import checks, export, geometry, mapview, runs, stencil, strata
 from terrabin.plans import planner
 from terrabin.shipping import shared_dir
@@ -57,12 +57,12 @@ def _(px):
     return w.groupBy("tx", "ty").agg(_b(F.count(F.lit(1)), "places"), _b(F.sum("cover"), "cover"), _b(F.count_if(F.col("height") == -9999), "unknown"), _b(F.sum(F.col("x") * 7 + F.col("y") * 3 * F.col("cover")), "mix"))
 
 
-@query("S6_vector_scan", f"with e as ({_EDGES}) select poly, min(least(x1, x2)) as w, min(least(y1, y2)) as s, max(greatest(x1, x2)) as e, max(greatest(y1, y2)) as n from e group by poly having w <= 70 and e >= 40 and s <= 60 and n >= 10 and poly in (1, 2, 3)", "px")
-def _(px):
-    path = shared_dir(px.sparkSession)
-    px.sparkSession.sql(_EDGES).write.parquet(path)  # columns and filters are pushed to the scan
-    edges = px.sparkSession.read.parquet(path).where(F.col("poly").isin(1, 2, 3))
-    return geometry.in_bounds(edges, 40, 10, 70, 60)
+@query("S6_vector_scan", "select poly, min(least(x1, x2)) as w, min(least(y1, y2)) as s, max(greatest(x1, x2)) as e, max(greatest(y1, y2)) as n from shape where pref in (1, 2, 3, 5, 8, 13) group by poly having w <= 100 and e >= 20 and s <= 80 and n >= 1", "shape")
+def _(shape):
+    spark, path = shape.sparkSession, shared_dir(shape.sparkSession)
+    sinks.write_shapes(shape, path)
+    edges = tables.read_shapes(spark, path, (20, 1, 100, 80), F.col("pref").isin(1, 2, 3, 5, 8, 13))
+    return geometry.in_bounds(edges, 20, 1, 100, 80)
 
 
 @query("S8_verified_files", "select cast(l_suppkey as bigint) as k, cast(count(*) as bigint) as n from lineitem group by 1")

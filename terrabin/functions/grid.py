@@ -18,14 +18,14 @@ def mesh_xy(code: Column) -> Column:
     return F.when(code.rlike(r"^\d{4}[0-7]{2}\d{2}$"), xy).otherwise(F.raise_error(F.concat(F.lit("invalid mesh code: "), code)))
 
 
-def pixel_area_km2(lat: Column) -> Column:
-    """Area of a pixel of 1/12000 degree centred at a latitude, on the ellipsoid."""
-    e = math.sqrt(E2)
+def zone(phi: Column) -> Column:
+    """Area from the equator to a latitude in radians, by radian of longitude, in units of AXIS ** 2 * (1 - E2)."""
+    e, u = math.sqrt(E2), F.sin(phi)
+    return u / (2 * (1 - E2 * u * u)) + F.atanh(e * u) / (2 * e)
 
-    def zone(phi: Column) -> Column:
-        u = F.sin(phi)
-        return u / (2 * (1 - E2 * u * u)) + F.atanh(e * u) / (2 * e)
 
+def pixel_area_km2(lat: Column) -> Column:
+    """Area of a pixel of 1/12000 degree centred at a latitude, on the ellipsoid."""
     half, phi = math.radians(1 / 24000), F.radians(lat)
     return (zone(phi + half) - zone(phi - half)) * (AXIS * AXIS * (1 - E2) * math.radians(1 / 12000) / 1e6)
 

@@ -22,6 +22,21 @@ def write_geojson(features: DataFrame, path: str) -> None:
     features.select(F.col("feature").alias("value")).write.mode("overwrite").text(path)
 
 
+def write_shapes(edges: DataFrame, path: str) -> None:
+    """Polygons (poly, pref, ring, seq, x1, y1, x2, y2) as newline-delimited GeoJSON features with their boxes; rings closed."""
+    point = F.array("x1", "y1")
+    ring = edges.groupBy("poly", "pref", "ring").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("seq", point.alias("at")))), lambda v: v["at"]).alias("points"),
+        F.array(F.min("x1"), F.min("y1"), F.max("x1"), F.max("y1")).alias("box"),
+    )
+    ring = ring.withColumn("points", F.concat("points", F.slice("points", 1, 1)))
+    box = F.array(*(f(F.get("box", F.lit(i))) for i, f in enumerate((F.min, F.min, F.max, F.max))))
+    shape = ring.groupBy("poly", "pref").agg(F.transform(F.array_sort(F.collect_list(F.struct("ring", "points"))), lambda v: v["points"]).alias("coordinates"), box.alias("bbox"))
+    geometry = F.struct(F.lit("Polygon").alias("type"), "coordinates")
+    feature = F.struct(F.lit("Feature").alias("type"), "bbox", F.struct("poly", "pref").alias("properties"), geometry.alias("geometry"))
+    write_geojson(shape.select(F.to_json(feature).alias("feature")), path)
+
+
 def write_packs(cells: DataFrame, path: str) -> DataFrame:
     """Strata partitioned by prefecture, and their manifest."""
     packs = packed(cells, "pref", "gx", "gy")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrabin.functions.grid import mesh_xy
@@ -36,6 +36,23 @@ def decoded(payload: DataFrame, columns: list[str]) -> DataFrame:
     return row.select("pos", *(value(i, c) for i, c in enumerate(columns)))
 
 
+def read_shapes(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None, where: Column | None = None) -> DataFrame:
+    """(poly, pref, ring, seq, x1, y1, x2, y2) of newline-delimited GeoJSON polygons.  Features whose box misses box, and those
+    that where (over poly and pref) refuses, are dropped before their coordinates are unfolded."""
+    schema = "bbox array<double>, properties struct<poly: bigint, pref: bigint>, geometry struct<type: string, coordinates: array<array<array<double>>>>"
+    rows = spark.read.schema(schema).json(path).select("properties.poly", "properties.pref", "bbox", F.col("geometry.coordinates").alias("rings"))
+    if box is not None:
+        w, s, e, n = (F.get("bbox", F.lit(i)) for i in range(4))
+        rows = rows.where((w <= box[2]) & (e >= box[0]) & (s <= box[3]) & (n >= box[1]))
+    if where is not None:
+        rows = rows.where(where)
+    ring = rows.select("poly", "pref", F.posexplode("rings").alias("ring", "points"))
+    pair = F.arrays_zip(F.expr("slice(points, 1, size(points) - 1)").alias("a"), F.expr("slice(points, 2, size(points) - 1)").alias("b"))
+    edge = ring.select("poly", "pref", "ring", F.posexplode(pair).alias("seq", "e"))
+    at = lambda end, i: F.get(F.col(f"e.{end}"), F.lit(i))
+    return edge.select("poly", "pref", F.col("ring").cast("bigint").alias("ring"), F.col("seq").cast("bigint").alias("seq"), at("a", 0).alias("x1"), at("a", 1).alias("y1"), at("b", 0).alias("x2"), at("b", 1).alias("y2"))
+
+
 def read_dictionary_json(spark: SparkSession, path: str) -> DataFrame:
     payload = spark.read.schema("columns array<string>, dictionaries map<string, array<string>>, rows array<array<string>>").option("multiLine", True).json(path)
     return decoded(payload, payload.first()["columns"])

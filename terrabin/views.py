@@ -48,6 +48,17 @@ from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey
     "cell_region": "select gx, gy, pref, case when gx % 4 = 0 then 0 else pref*10 + gx % 4 end as rid from cell group by gx, gy, pref",
     "island_alias": """select concat('isl', cast(i as varchar(10))) as island, pref, pref*10 + i as rid
 from (select distinct pref from cell) p cross join (values (2),(3)) as t(i)""",
+    # stars of twelve corners around suppliers, in pixels; every third has a hole of a quarter of its size
+    "corner": """select s_suppkey as poly, cast(s_nationkey + 1 as bigint) as pref, ring, i, s_suppkey * 37 % 150 + 25e-2 + dx * (4 + s_suppkey % 13) * (1 - (s_suppkey + i) % 3 * 25e-2) * part as px,
+  s_suppkey + s_suppkey % 7 * 125e-3 + dy * (4 + s_suppkey % 13) * (1 - (s_suppkey + i) % 3 * 25e-2) * part as py
+from supplier cross join (values (0, 1e0, 0e0), (1, 875e-3, 5e-1), (2, 5e-1, 875e-3), (3, 0e0, 1e0), (4, -5e-1, 875e-3), (5, -875e-3, 5e-1),
+  (6, -1e0, 0e0), (7, -875e-3, -5e-1), (8, -5e-1, -875e-3), (9, 0e0, -1e0), (10, 5e-1, -875e-3), (11, 875e-3, -5e-1)) as d(i, dx, dy)
+join (values (0, 1e0), (1, 25e-2)) as h(ring, part) on ring = 0 or s_suppkey % 3 = 0""",
+    "shape": """select cast(a.poly as bigint) as poly, a.pref, cast(a.ring as bigint) as ring, cast(a.i as bigint) as seq, a.px as x1, a.py as y1, b.px as x2, b.py as y2
+from corner a join corner b on b.poly = a.poly and b.ring = a.ring and b.i = (a.i + 1) % 12""",
+    # coast lines of three segments, long and thin
+    "coast": """select cast(s_suppkey as bigint) as line, cast(i as bigint) as seq, s_suppkey * 11 % 150 + ax as x1, s_suppkey * 7 % 200 / 2e0 + ay as y1, s_suppkey * 11 % 150 + bx as x2, s_suppkey * 7 % 200 / 2e0 + by1 as y2
+from supplier cross join (values (0, 0e0, 0e0, 40625e-3, 3125e-3), (1, 40625e-3, 3125e-3, 75125e-3, 30375e-3), (2, 75125e-3, 30375e-3, 75875e-3, 61e0)) as d(i, ax, ay, bx, by1) where s_suppkey % 4 = 0""",
     "labels_ja": """select cast(n as bigint) as n, label from (values (1,'水辺'),(2,'林縁'),(3,'草原'),(4,'竹林'),(5,'山地の森林'),(6,'水田の畦'),(7,'耕作地'),(8,'湿原'),
   (9,'裸地'),(10,'公園の緑地'),(11,'里山'),(12,'砂浜'),(13,'市街地'),(14,'洞窟'),(15,'河口'),(16,'海岸~低山地の森林'),(17,'倉庫'),(18,'良い林'),(19,'樹上'),(20,'果樹園'),
   (21,'人家の周囲'),(22,'河川敷'),(23,'水田の周囲'),(24,'牧草地'),(25,'山地'),(26,'低山地の草地'),(27,'植林地'),(28,'海浜'),(29,'市街地の草地'),(30,'ハイマツ帯'),(31,'薮'),(32,'旧家')) as t(n, label)""",
