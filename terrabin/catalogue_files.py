@@ -10,7 +10,7 @@ from terrabin.catalogue import _b, query
 from terrabin.operators import checks, export, geometry, mapview, runs, stencil, strata
 from terrabin.plans import planner
 from terrabin.shipping import shared_dir
-from terrabin.sources import sinks, tables
+from terrabin.sources import raster, sinks, tables
 from terrabin.views import base
 
 # ---- sources -------------------------------------------------------------------------------------------------
@@ -57,6 +57,30 @@ def _(px):
     return w.groupBy("tx", "ty").agg(_b(F.count(F.lit(1)), "places"), _b(F.sum("cover"), "cover"), _b(F.count_if(F.col("height") == -9999), "unknown"), _b(F.sum(F.col("x") * 7 + F.col("y") * 3 * F.col("cover")), "mix"))
 
 
+_TILED = """select t.tx, t.ty, p.x, q.y from (select distinct x // 32 as tx, y // 32 as ty from (select * from range(192) a(x), (select * from range(0, ((select max(y) from px) // 64 + 1) * 64) b(y)) q) z) t
+  join range(-4, 196) p(x) on p.x between t.tx * 32 - 4 and t.tx * 32 + 35 join (select * from range(-4, ((select max(y) from px) // 64 + 1) * 64 + 4) b(y)) q on q.y between t.ty * 32 - 4 and t.ty * 32 + 35"""
+
+
+def _raster(px) -> DataFrame:
+    """Cover and height, written as two layers of tiled files and read by windows of 32 pixels with a halo of 4."""
+    path = shared_dir(px.sparkSession)
+    raster.write_layer(px, "cover", f"{path}/cover", 0, "u1", 64, 16)
+    raster.write_layer(px, "height", f"{path}/height", -9999, "f8", 64, 16)
+    return raster.read_windows(px.sparkSession, {"cover": f"{path}/cover", "height": f"{path}/height"}, {"cover": 0, "height": -9999}, 32, 4)
+
+
+@query("S5_raster_windows", f"select cast(tx as bigint) as tx, cast(ty as bigint) as ty, cast(w.x as bigint) as x, cast(w.y as bigint) as y, coalesce(cover, 0) as cover, coalesce(height, -9999) as height from ({_TILED}) w left join px on px.x = w.x and px.y = w.y", "px")
+def _(px):
+    rows = raster.pixels_of(_raster(px), "cover", "height")
+    return rows.select("tx", "ty", _b("x"), _b("y"), _b("cover"), "height")
+
+
+@query("S5_blocks_read", """with e as (select 12 as nx, (max(y) // 64 + 1) * 4 as ny from px), t as (select distinct p.x // 32 as tx, q.y // 32 as ty from range(192) p(x), (select * from range(0, ((select max(y) from px) // 64 + 1) * 64) b(y)) q)
+select cast(tx as bigint) as tx, cast(ty as bigint) as ty, cast(2 * (least((tx * 32 + 35) // 16, nx - 1) - greatest((tx * 32 - 4) // 16, 0) + 1) * (least((ty * 32 + 35) // 16, ny - 1) - greatest((ty * 32 - 4) // 16, 0) + 1) as bigint) as blocks from t, e""", "px")
+def _(px):
+    return _raster(px).select("tx", "ty", "blocks")
+
+
 @query("S6_vector_scan", "select poly, min(least(x1, x2)) as w, min(least(y1, y2)) as s, max(greatest(x1, x2)) as e, max(greatest(y1, y2)) as n from shape where pref in (1, 2, 3, 5, 8, 13) group by poly having w <= 100 and e >= 20 and s <= 80 and n >= 1", "shape")
 def _(shape):
     spark, path = shape.sparkSession, shared_dir(shape.sparkSession)
