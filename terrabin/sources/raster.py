@@ -33,11 +33,10 @@ DEFLATE = 8
 
 def local(path: str) -> str:
     """The mounted folder of a path."""
-    if "://" in path or path.startswith("file:"):
-        if not path.startswith("file:"):
-            raise ValueError(f"rasters need a mounted folder, not {path}")
-        path = path.removeprefix("file:").replace("//", "/", 1) if path.startswith("file:///") else path.removeprefix("file:")
-    return path
+    scheme, colon, rest = path.partition(":")
+    if colon and scheme != "file":
+        raise ValueError(f"rasters need a mounted folder, not {path}")
+    return "/" + rest.lstrip("/") if colon else path
 
 
 def write_tiff(path: str, values: np.ndarray, block: int, x0: int, y0: int) -> None:
