@@ -45,6 +45,13 @@ from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey
   (7,'H009',  96,  96,true ,false,false,false,false,true ,0, 15,false,true),
   (7,'H001',  32,  32,true ,false,false,false,false,false,0, 15,false,true))
  as t(species_id, rule_id, class_mask, base_mask, water, built, edge, rice, coast, river, veg, elev_mask, elev_required, supported)""",
+    # rules of every supplier as a species: the conditions of a habitat are a lookup table, four sets of them occur
+    "habitat": """select cast(s_suppkey as bigint) as species_id, rule_id, class_mask, base_mask, water, built, edge, rice, coast, river, veg, elev_mask, elev_required, supported
+from supplier join (values (0,'H101',  32,  32, true,false,false,false,false,false,0, 15,false,true), (1,'H102', 960, 960,false,false, true,false,false,false,0,  4, true,true),
+  (2,'H103',  96,  64,false, true,false,false,false,false,0, 15,false,true), (3,'H104', 960, 960,false,false,false,false,false,false,2, 15,false,true),
+  (4,'H105',2048,2048,false,false,false, true,false,false,0,  3, true,true), (5,'H106',   0,   0,false,false,false,false,false,false,0, 15,false,false),
+  (6,'H107', 960, 960,false,false,false,false,true ,false,0, 15,false,true), (7,'H108',  24,   8,false,false,false, true,false,true ,0,  7,false,true))
+ as t(id, rule_id, class_mask, base_mask, water, built, edge, rice, coast, river, veg, elev_mask, elev_required, supported) on (s_suppkey % 4 * 3 + id * 5) % 8 < 2""",
     "cell_region": "select gx, gy, pref, case when gx % 4 = 0 then 0 else pref*10 + gx % 4 end as rid from cell group by gx, gy, pref",
     "island_alias": """select concat('isl', cast(i as varchar(10))) as island, pref, pref*10 + i as rid
 from (select distinct pref from cell) p cross join (values (2),(3)) as t(i)""",
