@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrabin.catalogue import _b, query
-from terrabin.operators import delivery, scope
+from terrabin.catalogue import _CELL_AREA, _b, query
+from terrabin.operators import delivery, packs, policy, scope
 from terrabin.operators.compiler import FLAGS, rule_groups
 from terrabin.settings import QuerySettings
 from terrabin.shipping import shared_dir, stored
@@ -141,3 +141,103 @@ def _differing(summary: DataFrame, cells: DataFrame, rules: DataFrame) -> DataFr
     raw = rows.join(delivery.group_signatures(rules, rows.select("base").distinct()), "base").groupBy("grp", "pref", *delivery.SIGNED).agg(_b(F.sum("n"), "n"))
     columns = ["grp", "pref", *delivery.SIGNED, "n"]
     return raw.select(columns).exceptAll(summary.select(columns)).agg(_b(F.count(F.lit(1)), "broken"))
+
+
+# ---- a projected edition --------------------------------------------------------------------------------------
+
+_PUBLIC = "cast(k & ~(3072|196608|48) as bigint)"
+_JOINED = "(select * from cell join cell_region using (gx, gy, pref)) j"
+
+
+def _projected(cell, cell_region) -> dict[str, DataFrame]:
+    return policy.project(cell.join(cell_region, ["gx", "gy", "pref"]), shared_dir(cell.sparkSession))
+
+
+@query("G4_tiles", f"select gx as x, gy as y, pref, {_PUBLIC} as k, cast(sum(n) as bigint) as n from {_JOINED} group by 1, 2, 3, 4", "cell", "cell_region")
+def _(cell, cell_region):
+    return _projected(cell, cell_region)["tiles"].select("x", "y", "pref", "k", "n")
+
+
+@query("G4_overview", f"select cast(floor(gx / 64e0) * 64 as bigint) as x, cast(floor(gy / 64e0) * 64 as bigint) as y, pref, {_PUBLIC} as k, cast(sum(n) as bigint) as n from {_JOINED} group by 1, 2, 3, 4", "cell", "cell_region")
+def _(cell, cell_region):
+    return _projected(cell, cell_region)["overview"].select("x", "y", "pref", "k", "n")
+
+
+@query("G4_summary", f"select pref, {_PUBLIC} as k, cast(sum(n) as bigint) as n, round(sum(n * {_CELL_AREA}), 6) as km2 from {_JOINED} group by 1, 2", "cell", "cell_region")
+def _(cell, cell_region):
+    return _projected(cell, cell_region)["summary"].select("pref", "k", "n", F.round("km2", 6).alias("km2"))
+
+
+@query("G4_regions", f"select pref, rid, {_PUBLIC} as k, cast(sum(n) as bigint) as n, round(sum(n * {_CELL_AREA}), 6) as km2 from {_JOINED} where rid <> 0 group by 1, 2, 3", "cell", "cell_region")
+def _(cell, cell_region):
+    return _projected(cell, cell_region)["regions"].select("pref", "rid", "k", "n", F.round("km2", 6).alias("km2"))
+
+
+@query("G4_lost_land", "with t as (select pref, cast(sum(n) as bigint) as n, cast(sum(case when cover = 5 then n else 0 end) as bigint) as lost from cell group by pref) select pref, 'overview' as output, n - lost as n, n as expected from t where lost > 0", "cell", "cell_region")
+def _(cell, cell_region):
+    """What the check of outputs finds in an edition whose overview has lost a class."""
+    cells = cell.join(cell_region, ["gx", "gy", "pref"])
+    none = cells.where("rid = 0").groupBy("pref").agg(F.sum("n").alias("n"))
+    whole = policy.projection(cells)
+    return policy.disagreeing(whole.where((F.col("output") != "overview") | (F.shiftright("k", 6).bitwiseAND(F.lit(15)) != 5)), none)
+
+
+# ---- manifests and packs --------------------------------------------------------------------------------------
+
+
+def _manifest(cell, broken: bool) -> DataFrame:
+    """Delivery manifests, one a prefecture, as JSON; on purpose broken ones by the prefecture's number."""
+    hex64 = lambda *parts: F.sha2(F.concat_ws("-", *parts), 256)
+    per = cell.groupBy("pref", "cover").agg(_b(F.sum("n"), "bytes"), _b(F.countDistinct("gx", "gy"), "cells"))
+    p = F.col("pref")
+    fault = (lambda k, bad, good: F.when(p % 7 == k, bad).otherwise(good)) if broken else (lambda k, bad, good: good)
+    digest = hex64("pref", "cover")
+    file = F.concat(F.lit("map-pref-"), F.col("cover").cast("string"), F.lit("-"), F.substring(digest, 1, 12), F.lit(".json.gz"))
+    info = F.struct(fault(1, F.concat(F.lit("../"), file), file).alias("file"), fault(2, F.upper(digest), digest).alias("sha256"), fault(3, F.lit(0).cast("bigint"), F.col("bytes")).alias("bytes"), F.col("bytes").alias("decodedBytes"), fault(4, F.lit(20001).cast("bigint"), F.col("cells")).alias("cells"))
+    maps = per.groupBy("pref").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("cover").cast("string"), info)))).alias("prefectures"), _b(F.sum("bytes"), "bytes"))
+    one = hex64("pref", F.lit("summary"))
+    summary = F.struct(F.concat(F.lit("summary-"), F.substring(one, 1, 12), F.lit(".json.gz")).alias("file"), one.alias("sha256"), F.col("bytes"), F.col("bytes").alias("decodedBytes"))
+    body = F.struct(fault(5, F.lit(2), F.lit(1)).alias("schema"), hex64("pref").alias("sourceManifestSHA256"), fault(6, F.lit(None), summary).alias("summary"), "prefectures")
+    return maps.select("pref", F.to_json(body).alias("manifest"))
+
+
+#: A delivery manifest: what each place must hold.
+MANIFEST = packs.Fields(schema=packs.Whole(1, 1), sourceManifestSHA256=packs.Text("^[a-f0-9]{{64}}$"), summary=packs.Info("summary"), prefectures=packs.Each(packs.Info("map-pref-{key}", cells=packs.Whole(0, 20000)), "^[0-9]+$"))
+
+
+@query("V14_manifests", "select cast(count(*) as bigint) as manifests, cast(0 as bigint) as faults from (select distinct pref from cell) p", "cell")
+def _(cell):
+    m = _manifest(cell, False)
+    return packs.faults(m, "manifest", MANIFEST, "pref").agg(_b(F.count(F.lit(1)), "faults")).crossJoin(m.agg(_b(F.count(F.lit(1)), "manifests")))
+
+
+@query("V14_broken_manifests", """with c as (select distinct pref, cover from cell)
+select pref, concat('prefectures.', cover, case pref % 7 when 1 then '.file' when 2 then '.sha256' when 3 then '.bytes' else '.cells' end) as path, case pref % 7 when 1 then 'pattern' when 2 then 'pattern' else 'range' end as reason from c where pref % 7 between 1 and 4
+union all select distinct pref, case pref % 7 when 5 then 'schema' else 'summary' end, case pref % 7 when 5 then 'range' else 'missing' end from c where pref % 7 in (5, 6)""", "cell")
+def _(cell):
+    return packs.faults(_manifest(cell, True), "manifest", MANIFEST, "pref").select("pref", "path", "reason")
+
+
+def _packs(cell, broken: bool) -> DataFrame:
+    """Packs of cells, one a prefecture and row of tiles, as JSON [[gx, gy, pref, [k, n, ...]], ...]."""
+    n = F.when(F.col("pref") % 5 == 1, -F.col("n")).otherwise(F.col("n")) if broken else F.col("n")
+    k = F.when(F.col("pref") % 5 == 2, F.col("k") + 1572864 * 32).otherwise(F.col("k")) if broken else F.col("k")
+    gx = F.when(F.col("pref") % 5 == 3, F.col("gx") + 10000).otherwise(F.col("gx")) if broken else F.col("gx")
+    row = cell.groupBy("pref", "gx", "gy", "k").agg(F.sum("n").alias("n")).groupBy("pref", "gx", "gy").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(_b(k, "k"), _b(n, "n")))), lambda s: F.array(s["k"], s["n"]))).alias("flat"))
+    values = F.concat_ws(",", F.array(*(c.cast("string") for c in (gx, F.col("gy"), F.col("pref"), F.concat(F.lit("["), F.array_join(F.col("flat").cast("array<string>"), ","), F.lit("]"))))))
+    body = row.groupBy("pref", F.floor(F.col("gy") / 4).alias("ty")).agg(F.concat(F.lit('{"schema":6,"step":1,"cells":[['), F.array_join(F.array_sort(F.collect_list(values)), "],["), F.lit("]]}")).alias("pack"))
+    return body.select("pref", _b("ty"), "pack")
+
+
+PACK = packs.Rows(gx=(6400, 17999), gy=(9600, 24999), pref=(1, 47), key=(0, 1572864 * 32 - 1), count=(1, 100000000))
+
+
+@query("V14_packs", "select cast(0 as bigint) as faults from (select 1) q", "cell")
+def _(cell):
+    return packs.pack_faults(_packs(cell, False), "pack", PACK, "pref", "ty").agg(_b(F.count(F.lit(1)), "faults"))
+
+
+@query("V14_broken_packs", """with c as (select gx, gy, pref, k, cast(floor(gy / 4e0) as bigint) as ty from cell group by all)
+select pref, ty, case pref % 5 when 1 then 'count' when 2 then 'key' else 'gx' end as field, cast(case pref % 5 when 3 then count(distinct (gx, gy)) else count(*) end as bigint) as faults from c where pref % 5 between 1 and 3 group by 1, 2""", "cell")
+def _(cell):
+    return packs.pack_faults(_packs(cell, True), "pack", PACK, "pref", "ty").groupBy("pref", "ty", "field").agg(_b(F.count(F.lit(1)), "faults"))

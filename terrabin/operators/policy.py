@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from terrabin.functions.strata import public_stratum
 from terrabin.settings import QuerySettings
 
 from .predicate import excluded_mask
-from .strata import marginalised
+from .strata import area_of_cell, marginalised
 
 FULL = 15
 
@@ -60,3 +61,47 @@ def describe(rules: DataFrame, low: int = 200, mountain: int = 800) -> DataFrame
     parts = [F.when(F.col(f), f"near {f}") for f in ("water", "built", "edge", "rice", "coast", "river")]
     veg = F.when(F.col("veg") != 0, F.concat(F.lit("vegetation "), F.col("veg").cast("string")))
     return rules.select("species_id", "rule_id", F.concat_ws(" and ", *parts, veg, band).alias("description"))
+
+
+# ---- a projected edition --------------------------------------------------------------------------------------
+
+OUTPUTS = ("tiles", "overview", "summary", "regions")
+
+
+def projection(cells: DataFrame, elevation: bool = False, step: int = 64) -> DataFrame:
+    """(output, x, y, pref, rid, k, n, km2): an edition's four outputs from one pass over cells (with rid), expanded in one
+    shuffle; what an output sums away is null, and regions leave out what no component has (rid 0)."""
+    public = cells.groupBy("gx", "gy", "pref", "rid", public_stratum(F.col("k"), elevation).alias("k")).agg(F.sum("n").alias("n"))
+    corner = lambda c: (F.floor(F.col(c) / step) * step).cast("bigint")
+    rows = public.withColumns({"cx": corner("gx"), "cy": corner("gy"), "km2": F.col("n") * area_of_cell(F.col("gy"))})
+    sets = [["gx", "gy", "pref", "k"], ["cx", "cy", "pref", "k"], ["pref", "k"], ["pref", "rid", "k"]]
+    output = F.when(F.grouping("gx") == 0, "tiles").when(F.grouping("cx") == 0, "overview").when(F.grouping("rid") == 0, "regions").otherwise("summary")
+    out = rows.groupingSets(sets, "gx", "gy", "cx", "cy", "pref", "rid", "k").agg(output.alias("output"), F.sum("n").cast("bigint").alias("n"), F.sum("km2").alias("km2"))
+    return out.where("output <> 'regions' or rid <> 0").select("output", F.coalesce("gx", "cx").alias("x"), F.coalesce("gy", "cy").alias("y"), "pref", "rid", "k", "n", "km2")
+
+
+def disagreeing(rows: DataFrame, unassigned: DataFrame) -> DataFrame:
+    """(pref, output, n, expected): outputs whose pixels in a prefecture differ from its tiles'; of regions, from those of its
+    tiles without the unassigned (pref, n)."""
+    total = rows.groupBy("pref").agg(*(F.sum(F.when(F.col("output") == o, F.col("n")).otherwise(0)).cast("bigint").alias(o) for o in OUTPUTS))
+    total = total.join(unassigned.select("pref", F.col("n").alias("_none")), "pref", "left")
+    expected = lambda o: (F.col("tiles") - F.coalesce("_none", F.lit(0)) if o == "regions" else F.col("tiles")).cast("bigint")
+    each = F.explode(F.array(*(F.struct(F.lit(o).alias("output"), F.col(o).alias("n"), expected(o).alias("expected")) for o in OUTPUTS[1:])))
+    return total.select("pref", each.alias("c")).select("pref", "c.*").where("n <> expected")
+
+
+def project(cells: DataFrame, path: str, elevation: bool = False, step: int = 64) -> dict[str, DataFrame]:
+    """Writes the four outputs below path by output and prefecture, and reads them back.  What was written is observed on
+    the way: outputs of unequal pixels are an error, as an edition must not lose land."""
+    seen, n = Observation("projection"), F.col("n")
+    count = lambda o: F.sum(F.when(F.col("output") == o, n).otherwise(0)).alias(o)
+    land = Observation("land")
+    watched = cells.observe(land, F.sum("n").alias("all"), F.sum(F.when(F.col("rid") == 0, n).otherwise(0)).alias("unassigned"))
+    rows = projection(watched, elevation, step).observe(seen, *(count(o) for o in OUTPUTS))
+    rows.repartition("output", "pref").write.mode("overwrite").partitionBy("output", "pref").parquet(path)
+    written, given = seen.get, land.get
+    whole = given["all"] or 0
+    if any((written[o] or 0) != whole - (o == "regions") * (given["unassigned"] or 0) for o in OUTPUTS):
+        raise ValueError(f"outputs differ: {written} of {given}")
+    back = cells.sparkSession.read.schema(rows.schema).option("basePath", path)
+    return {o: back.parquet(path).where(F.col("output") == o) for o in OUTPUTS} if whole else {o: rows.where(F.col("output") == o) for o in OUTPUTS}
