@@ -91,17 +91,17 @@ def disagreeing(rows: DataFrame, unassigned: DataFrame) -> DataFrame:
 
 
 def project(cells: DataFrame, path: str, elevation: bool = False, step: int = 64) -> dict[str, DataFrame]:
-    """Writes the four outputs below path by output and prefecture, and reads them back.  What was written is observed on
-    the way: outputs of unequal pixels are an error, as an edition must not lose land."""
-    seen, n = Observation("projection"), F.col("n")
-    count = lambda o: F.sum(F.when(F.col("output") == o, n).otherwise(0)).alias(o)
-    land = Observation("land")
+    """Writes the four outputs below path by output and prefecture, and reads them back.  The land that goes in is observed on
+    the way, what was written is counted: outputs of other pixels are an error, as an edition must not lose land."""
+    land, n = Observation("land"), F.col("n")
     watched = cells.observe(land, F.sum("n").alias("all"), F.sum(F.when(F.col("rid") == 0, n).otherwise(0)).alias("unassigned"))
-    rows = projection(watched, elevation, step).observe(seen, *(count(o) for o in OUTPUTS))
+    rows = projection(watched, elevation, step)
     rows.repartition("output", "pref").write.mode("overwrite").partitionBy("output", "pref").parquet(path)
-    written, given = seen.get, land.get
-    whole = given["all"] or 0
-    if any((written[o] or 0) != whole - (o == "regions") * (given["unassigned"] or 0) for o in OUTPUTS):
-        raise ValueError(f"outputs differ: {written} of {given}")
-    back = cells.sparkSession.read.schema(rows.schema).option("basePath", path)
-    return {o: back.parquet(path).where(F.col("output") == o) for o in OUTPUTS} if whole else {o: rows.where(F.col("output") == o) for o in OUTPUTS}
+    back = cells.sparkSession.read.schema(rows.schema).parquet(path)
+    written = {r.output: r.n for r in back.groupBy("output").agg(F.sum("n").alias("n")).collect()}
+    if written or not cells.isEmpty():
+        given = land.get
+        expected = {o: given["all"] - (o == "regions") * given["unassigned"] for o in OUTPUTS}
+        if any(written.get(o, 0) != expected[o] for o in OUTPUTS):
+            raise ValueError(f"outputs differ: {written} of {expected}")
+    return {o: back.where(F.col("output") == o) for o in OUTPUTS}
