@@ -217,9 +217,9 @@ f as (select base, {', '.join(f'cast({_flag(d)} as bigint) as {n}' for d, n in z
 
 
 @query("C1_signatures", f"""with b as (select cast(i as bigint) as base, i & 3 as bb, (i >> 2) & 3 as wb, (i >> 4) & 15 as cover, (i >> 8) & 3 as eb, (i >> 10) & 3 as rb, (i >> 12) & 7 as veg from (select unnest(generate_series(0, 24575)) as i) g)
-select base, {', '.join(f'cast({_flag(d)} as bigint) as {n}' for d, n in zip((0, 1, 2, None), compiler.FLAGS, strict=True))} from b cross join {_BITS} r group by base""", "rules")
-def _(rules):
-    return compiler.compile_signatures(rules.sparkSession, rules).drop("signature")
+select base, {', '.join(f'cast({_flag(d)} as bigint) as {n}' for d, n in zip((0, 1, 2, None), compiler.FLAGS, strict=True))} from b cross join {_BITS.replace('from rules', 'from habitat')} r group by base""", "habitat")
+def _(habitat):
+    return compiler.compile_signatures(habitat.sparkSession, habitat).drop("signature")
 
 
 @query("A19_compiled_areas", f"select species_id, pref, cast(sum(n) as bigint) as pixels from ({_match(limit=1)}) m group by species_id, pref", "cell", "rules")
@@ -233,12 +233,12 @@ def _(cell, records):
     return cell.join(seen, "pref", "left").groupBy("cover", "h").agg(_b(F.sum("n"), "n"), _b(F.sum(F.when(F.col("seen"), F.col("n")).otherwise(0)), "recorded"))
 
 
-@query("C2_rule_groups", """with s as (select species_id, string_agg(concat_ws('|', rule_id, class_mask, base_mask, water, built, edge, rice, veg, elev_mask, elev_required), ';' order by rule_id) as body from rules where supported group by species_id)
-select species_id, min(species_id) over (partition by body) as first from s""", "rules")
-def _(rules):
+@query("C2_rule_groups", """with s as (select species_id, string_agg(concat_ws('|', rule_id, class_mask, base_mask, water, built, edge, rice, coast, river, veg, elev_mask, elev_required), ';' order by rule_id) as body from habitat where supported group by species_id)
+select species_id, min(species_id) over (partition by body) as first from s""", "habitat")
+def _(habitat):
     from pyspark.sql import Window
 
-    return compiler.rule_groups(rules).select("species_id", F.min("species_id").over(Window.partitionBy("grp")).alias("first"))
+    return compiler.rule_groups(habitat).select("species_id", F.min("species_id").over(Window.partitionBy("grp")).alias("first"))
 
 
 # ---- policy --------------------------------------------------------------------------------------------------
@@ -246,25 +246,25 @@ def _(rules):
 _HELD = "(elev_mask & 15) <> 15"
 
 
-@query("G1_publication_policy", f"select species_id, rule_id, case when {_HELD} then 'height' else '' end as hold, cast(case when {_HELD} then 0 else class_mask end as bigint) as class_mask, supported and not ({_HELD}) as supported from rules", "rules")
-def _(rules):
-    once = policy.publication_rules(rules)
+@query("G1_publication_policy", f"select species_id, rule_id, array_to_string(list_filter([case when coast then 'coast' end, case when (elev_mask & 15) <> 15 then 'height' end, case when river then 'river' end], lambda x: x is not null), ',') as hold, cast(case when {_HELD} or coast or river then 0 else class_mask end as bigint) as class_mask, supported and not ({_HELD}) and not coast and not river as supported from habitat", "habitat")
+def _(habitat):
+    once = policy.publication_rules(habitat)
     return policy.publication_rules(once).select("species_id", "rule_id", "hold", _b("class_mask"), "supported")
 
 
-@query("F16_requires_elevation", f"select species_id, rule_id, {_HELD} as required from rules", "rules")
-def _(rules):
-    return rules.select("species_id", "rule_id", policy.requires_elevation(F.col("elev_mask")).alias("required"))
+@query("F16_requires_elevation", f"select species_id, rule_id, {_HELD} as required from habitat", "habitat")
+def _(habitat):
+    return habitat.select("species_id", "rule_id", policy.requires_elevation(F.col("elev_mask")).alias("required"))
 
 
-@query("P23_habitat_metadata", f"select species_id, rule_id, cast(case when supported then class_mask & ~(1 << 11) else 0 end as bigint) as classes, {', '.join(f'cast(case when supported and {f} then 250 end as bigint) as {f}_m' for f in ('water', 'built', 'edge', 'rice', 'coast', 'river'))}, cast(case when supported and veg <> 0 then veg end as bigint) as vegetation_group, array_to_string(list_filter([0, 1, 2, 3], lambda b: (elev_mask >> cast(b as int)) & 1 = 1), ',') as elevation_bands, case when not supported then 'unavailable' when (class_mask & ~(1 << 11)) = 0 then 'excluded_landcover' else 'calculated' end as evaluation from rules", "rules")
-def _(rules):
-    return policy.metadata(rules, QuerySettings(distance=250, excluded=(11,)))
+@query("P23_habitat_metadata", f"select species_id, rule_id, cast(case when supported then class_mask & ~(1 << 11) else 0 end as bigint) as classes, {', '.join(f'cast(case when supported and {f} then 250 end as bigint) as {f}_m' for f in ('water', 'built', 'edge', 'rice', 'coast', 'river'))}, cast(case when supported and veg <> 0 then veg end as bigint) as vegetation_group, array_to_string(list_filter([0, 1, 2, 3], lambda b: (elev_mask >> cast(b as int)) & 1 = 1), ',') as elevation_bands, case when not supported then 'unavailable' when (class_mask & ~(1 << 11)) = 0 then 'excluded_landcover' else 'calculated' end as evaluation from habitat", "habitat")
+def _(habitat):
+    return policy.metadata(habitat, QuerySettings(distance=250, excluded=(11,)))
 
 
-@query("P21_rule_description", f"select species_id, rule_id, concat_ws(' and ', {', '.join(f'case when {f} then {chr(39)}near {f}{chr(39)} end' for f in ('water', 'built', 'edge', 'rice', 'coast', 'river'))}, case when veg <> 0 then concat('vegetation ', cast(veg as varchar)) end, case elev_mask % 8 when 3 then 'below 800 m' when 6 then 'from 200 m' when 1 then 'below 200 m' when 2 then 'from 200 m below 800 m' when 4 then 'from 800 m' when 5 then 'below 200 m or from 800 m' end) as description from rules", "rules")
-def _(rules):
-    return policy.describe(rules)
+@query("P21_rule_description", f"select species_id, rule_id, concat_ws(' and ', {', '.join(f'case when {f} then {chr(39)}near {f}{chr(39)} end' for f in ('water', 'built', 'edge', 'rice', 'coast', 'river'))}, case when veg <> 0 then concat('vegetation ', cast(veg as varchar)) end, case elev_mask % 8 when 3 then 'below 800 m' when 6 then 'from 200 m' when 1 then 'below 200 m' when 2 then 'from 200 m below 800 m' when 4 then 'from 800 m' when 5 then 'below 200 m or from 800 m' end) as description from habitat", "habitat")
+def _(habitat):
+    return policy.describe(habitat)
 
 
 @query("G4_published_strata", "select gx, gy, pref, cast(k & ~(3072|196608) as bigint) as k, cast(sum(n) as bigint) as n from cell group by 1, 2, 3, 4", "cell", "rules")
@@ -272,9 +272,9 @@ def _(cell, rules):
     return policy.published(cell, rules, True)[0]
 
 
-@query("K7_rule_audit", f"select case when {_HELD} then 'publication_hold' when not supported then 'unavailable' when class_mask = 0 then 'excluded_landcover' else 'calculated' end as evaluation, cast(count(*) as bigint) as n from rules group by 1", "rules")
-def _(rules):
-    return export.audit(policy.metadata(policy.publication_rules(rules), QuerySettings()))
+@query("K7_rule_audit", f"select case when {_HELD} or coast or river then 'publication_hold' when not supported then 'unavailable' when class_mask = 0 then 'excluded_landcover' else 'calculated' end as evaluation, cast(count(*) as bigint) as n from habitat group by 1", "habitat")
+def _(habitat):
+    return export.audit(policy.metadata(policy.publication_rules(habitat), QuerySettings()))
 
 
 # ---- names, records, taxa ------------------------------------------------------------------------------------
@@ -366,10 +366,10 @@ def _(species):
     return species.select("genus").distinct().orderBy("genus")
 
 
-@query("J18_shared_selection", "select species_id, rule_id from rules where rule_id in ('H001', 'H003')", "rules")
-def _(rules):
-    chosen = rules.sparkSession.createDataFrame([("H001",), ("H003",)], "rule_id string")
-    return rules.join(F.broadcast(chosen), "rule_id", "left_semi").select("species_id", "rule_id")
+@query("J18_shared_selection", "select species_id, rule_id from habitat where rule_id in ('H101', 'H103')", "habitat")
+def _(habitat):
+    chosen = habitat.sparkSession.createDataFrame([("H101",), ("H103",)], "rule_id string")
+    return habitat.join(F.broadcast(chosen), "rule_id", "left_semi").select("species_id", "rule_id")
 
 
 @query("F12_search", "select species_id, name, genus from species where contains(lower(concat_ws(' ', name, genus)), lower('GENUS1'))", "species")
@@ -387,9 +387,9 @@ def _(species, rules):
     return species.join(rules.where(F.col("rule_id").isin("H001", "H004")), "species_id", "left_semi").select("species_id")
 
 
-@query("F13_evaluable_rules", "select species_id, rule_id from rules where supported and class_mask <> 0", "rules")
-def _(rules):
-    return rules.where("supported and class_mask <> 0").select("species_id", "rule_id")
+@query("F13_evaluable_rules", "select species_id, rule_id from habitat where supported and class_mask <> 0", "habitat")
+def _(habitat):
+    return habitat.where("supported and class_mask <> 0").select("species_id", "rule_id")
 
 
 # ---- runs, map, geometry, neighbourhoods ---------------------------------------------------------------------
@@ -514,10 +514,14 @@ def _(cell):
     return cell.select("k", K.query_key(signature, F.col("h"), F.col("cover")).alias("qk"), "n").groupBy("k", "qk").agg(_b(F.sum("n"), "n"))
 
 
-@query("P15_excluded_classes", "select cast(1 as bigint) as id, '6,8' as classes union all select 2, '' union all select 3, '1,15'")
+_RAW = "concat_ws('.', o_custkey % 19, o_orderkey % 8, case when o_orderkey % 3 = 0 then '6x' when o_orderkey % 3 = 1 then '01' else '-1' end, o_custkey % 16)"
+
+
+@query("P15_excluded_classes", f"select o_orderkey, array_to_string(list_sort(list_distinct(list_transform(list_filter(string_split({_RAW}, '.'), lambda x: regexp_matches(x, '^([1-9]|1[0-5])$')), lambda x: cast(x as bigint)))), ',') as classes from orders")
 def _(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "8.6.8.0.16.-1.6x..NaN"), (2, None), (3, "15.1.01")], "id long, raw string")
-    return rows.select("id", F.array_join(text.excluded(F.col("raw")), ",").alias("classes"))
+    part = F.when(F.col("o_orderkey") % 3 == 0, "6x").when(F.col("o_orderkey") % 3 == 1, "01").otherwise("-1")
+    raw = F.concat_ws(".", *(c.cast("string") for c in (F.col("o_custkey") % 19, F.col("o_orderkey") % 8, part, F.col("o_custkey") % 16)))
+    return base(spark, sf_dir, "orders").select("o_orderkey", F.array_join(text.excluded(raw), ",").alias("classes"))
 
 
 @query("P17_match_cell", "select gx, gy, pref, cast(sum(n) as bigint) as total, cast(sum(case when cover in (4, 5) then n else 0 end) as bigint) as matching, cast(sum(case when cover = 0 then n else 0 end) as bigint) as missing from cell group by 1, 2, 3", "cell")
@@ -625,9 +629,9 @@ def _(cell_region):
     return tile.join(wanted, "rid", "left_semi").select("tx", "ty").distinct()
 
 
-@query("A16_effective_species", "select species_id, cast(bit_or(case when supported then class_mask else 0 end) as bigint) as available, cast(bit_or(case when supported then class_mask & ~(1 << 6) else 0 end) as bigint) as classes, cast(count(*) as bigint) as selected, cast(count(*) filter (where supported and (class_mask & ~(1 << 6)) <> 0) as bigint) as mapped from rules group by species_id", "rules")
-def _(rules):
-    return summary.effective(rules, QuerySettings(excluded=(6,)))
+@query("A16_effective_species", "select species_id, cast(bit_or(case when supported then class_mask else 0 end) as bigint) as available, cast(bit_or(case when supported then class_mask & ~(1 << 6) else 0 end) as bigint) as classes, cast(count(*) as bigint) as selected, cast(count(*) filter (where supported and (class_mask & ~(1 << 6)) <> 0) as bigint) as mapped from habitat group by species_id", "habitat")
+def _(habitat):
+    return summary.effective(habitat, QuerySettings(excluded=(6,)))
 
 
 @query("A27_legend_sizes", "select veg, cast(count(*) as bigint) as n from px group by veg", "px")
@@ -657,9 +661,9 @@ def _(cell):
     return c.where("region = 1").drop("region").unionByName(c.where("pref in (3, 7)").drop("region"))
 
 
-@query("U2_union_classes", "select species_id, cast(bit_or(class_mask | base_mask) as bigint) as classes from rules group by species_id", "rules")
-def _(rules):
-    return rules.groupBy("species_id").agg(_b(F.bit_or(F.col("class_mask").bitwiseOR(F.col("base_mask"))), "classes"))
+@query("U2_union_classes", "select species_id, cast(bit_or(class_mask | base_mask) as bigint) as classes from habitat group by species_id", "habitat")
+def _(habitat):
+    return habitat.groupBy("species_id").agg(_b(F.bit_or(F.col("class_mask").bitwiseOR(F.col("base_mask"))), "classes"))
 
 
 @query("U3_except", "select distinct island from records where island not in ('', 'mainland') except select island from island_alias", "records", "island_alias")

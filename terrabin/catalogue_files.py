@@ -154,15 +154,15 @@ def _(cell):
 _META = "select species_id, rule_id, class_mask, 'public' as source, 'open' as license from rules"
 
 
-@query("C5_refreshed_metadata", "select species_id, rule_id, class_mask, 'approved' as source, 'open' as license from rules", "rules")
-def _(rules):
-    old = rules.select("species_id", "rule_id", "class_mask", F.lit("public").alias("source"), F.lit("open").alias("license"))
+@query("C5_refreshed_metadata", "select species_id, rule_id, class_mask, 'approved' as source, 'open' as license from habitat", "habitat")
+def _(habitat):
+    old = habitat.select("species_id", "rule_id", "class_mask", F.lit("public").alias("source"), F.lit("open").alias("license"))
     return sinks.refreshed(old, old.withColumn("source", F.lit("approved")), ["species_id", "rule_id"], ("source", "license"))
 
 
-@query("C5_refused_refresh", "select cast(count(*) as bigint) as refused from rules where species_id = 1", "rules")
-def _(rules):
-    old = rules.select("species_id", "rule_id", "class_mask", F.lit("public").alias("source"))
+@query("C5_refused_refresh", "select cast(count(*) as bigint) as refused from habitat where species_id = 1", "habitat")
+def _(habitat):
+    old = habitat.select("species_id", "rule_id", "class_mask", F.lit("public").alias("source"))
     new = old.withColumn("class_mask", F.when(F.col("species_id") == 1, F.col("class_mask") + 1).otherwise(F.col("class_mask")))
     return sinks.changed(old, new, ["species_id", "rule_id"], ("source",)).agg(_b(F.count(F.lit(1)), "refused"))
 

@@ -8,7 +8,7 @@ from terrabin.catalogue import _AREAS, _CODE, _FLAG_BASES, _accept, _b, _labels,
 from terrabin.functions import grid
 from terrabin.functions import strata as K
 from terrabin.operators import catalog, compiler, export, mapview, policy, predicate, runs, scope, stencil, strata
-from terrabin.settings import QuerySettings, excluded_classes, thresholds
+from terrabin.settings import QuerySettings, excluded_classes
 from terrabin.views import base
 
 # ---- projections ---------------------------------------------------------------------------------------------
@@ -31,17 +31,21 @@ def _(cell):
     return one.select("k", _b("base"), _b(K.source_key(F.col("base")), "back"))
 
 
-@query("P13_height_band", "select alt, cast(case when alt = 31 then 3 when alt*100 < 400 then 0 when alt*100 < 900 then 1 else 2 end as bigint) as band from (select cast(i as bigint) as alt from (select unnest(generate_series(0, 31)) as i) g) a")
-def _(spark, sf_dir):
-    return spark.range(32).select(_b("id", "alt"), _b(grid.band_of_bin(F.col("id"), 400, 900), "band"))
+@query("P13_height_band", "select x, y, alt, cast(case when alt = 31 then 3 when alt*100 < low then 0 when alt*100 < 900 then 1 else 2 end as bigint) as band from (select x, y, cast(case when height is null then 31 when height >= 3000 then 30 else floor(height/100.0) end as bigint) as alt, 100 + 100 * (cover % 5) as low from px) q", "px")
+def _(px):
+    at = px.select("x", "y", grid.altitude_bin(F.col("height")).alias("alt"), (100 + 100 * (F.col("cover") % 5)).alias("low"))
+    return at.select("x", "y", "alt", grid.band_of_bin(F.col("alt"), F.col("low"), 900).alias("band"))
 
 
-_THRESHOLDS = ((0, 800), (200, 200), (250, 800), (200, 3100), (float("nan"), 800), (300, 1200), (2900, 3000), ("x", 800))
+_ASKED = "select c_custkey, case when c_custkey % 11 = 0 then 'x' when c_custkey % 13 = 0 then 'NaN' else cast(c_custkey % 35 * 100 - 200 + case when c_custkey % 17 = 0 then 50 else 0 end as varchar) end as low, cast(c_custkey % 41 * 100 as varchar) as mountain from customer"
 
 
-@query("P14_thresholds", "select * from (values (0, 200, 800), (1, 200, 800), (2, 200, 800), (3, 200, 800), (4, 200, 800), (5, 300, 1200), (6, 2900, 3000), (7, 200, 800)) as t(i, low, mountain)")
+@query("P14_thresholds", f"select c_custkey, cast(case when ok then lo else 200 end as bigint) as low, cast(case when ok then mo else 800 end as bigint) as mountain from (select *, coalesce(lo % 100 = 0 and mo % 100 = 0 and lo between 100 and 2900 and mo <= 3000 and lo < mo, false) as ok from (select *, try_cast(case when low = 'NaN' then null else low end as bigint) as lo, try_cast(mountain as bigint) as mo from ({_ASKED}) a) b) c")
 def _(spark, sf_dir):
-    return spark.createDataFrame([(i, *thresholds(*x)) for i, x in enumerate(_THRESHOLDS)], "i int, low int, mountain int")
+    key, text = F.col("c_custkey"), lambda c: c.cast("string")
+    low = F.when(key % 11 == 0, "x").when(key % 13 == 0, "NaN").otherwise(text(key % 35 * 100 - 200 + F.when(key % 17 == 0, 50).otherwise(0)))
+    asked = base(spark, sf_dir, "customer").select("c_custkey", low.alias("low"), text(key % 41 * 100).alias("mountain"))
+    return asked.select("c_custkey", grid.valid_thresholds(F.col("low"), F.col("mountain")).alias("t")).select("c_custkey", "t.low", "t.mountain")
 
 
 @query("P22_shade", "select gx, gy, cast(case when r < 0.1 then 0 when r < 0.3 then 1 else 2 end as bigint) as shade from (select gx, gy, cast(sum(case when cover in (5, 6, 7) then n else 0 end) as double)/sum(n) as r from cell group by gx, gy) q", "cell")
@@ -114,19 +118,19 @@ def _(cell, rules):
 # ---- aggregates and windows ----------------------------------------------------------------------------------
 
 
-@query("A2_distinct_habitats", "select species_id, cast(count(distinct rule_id) as bigint) as environments from rules_all group by species_id", "rules_all")
-def _(rules_all):
-    return rules_all.groupBy("species_id").agg(_b(F.countDistinct("rule_id"), "environments"))
+@query("A2_distinct_habitats", "select species_id, cast(count(distinct rule_id) as bigint) as environments from habitat group by species_id", "habitat")
+def _(habitat):
+    return habitat.groupBy("species_id").agg(_b(F.countDistinct("rule_id"), "environments"))
 
 
-@query("A3_union_of_classes", "select species_id, array_to_string(list_filter(generate_series(1, 15), lambda c: (m >> cast(c as int)) & 1 = 1), ',') as classes from (select species_id, bit_or(class_mask) as m from rules_all group by species_id) q", "rules_all")
-def _(rules_all):
-    return rules_all.groupBy("species_id").agg(F.array_join(catalog.classes_of("class_mask"), ",").alias("classes"))
+@query("A3_union_of_classes", "select species_id, array_to_string(list_filter(generate_series(1, 15), lambda c: (m >> cast(c as int)) & 1 = 1), ',') as classes from (select species_id, bit_or(class_mask) as m from habitat group by species_id) q", "habitat")
+def _(habitat):
+    return habitat.groupBy("species_id").agg(F.array_join(catalog.classes_of("class_mask"), ",").alias("classes"))
 
 
-@query("A4_conditional_counts", "select species_id, cast(count(*) filter (where supported) as bigint) as mapped, cast(count(*) filter (where not supported) as bigint) as open, cast(count(*) filter (where coast or river) as bigint) as held from rules_all group by species_id", "rules_all")
-def _(rules_all):
-    return rules_all.groupBy("species_id").agg(_b(F.count_if("supported"), "mapped"), _b(F.count_if(~F.col("supported")), "open"), _b(F.count_if(F.col("coast") | F.col("river")), "held"))
+@query("A4_conditional_counts", "select species_id, cast(count(*) filter (where supported) as bigint) as mapped, cast(count(*) filter (where not supported) as bigint) as open, cast(count(*) filter (where coast or river) as bigint) as held from habitat group by species_id", "habitat")
+def _(habitat):
+    return habitat.groupBy("species_id").agg(_b(F.count_if("supported"), "mapped"), _b(F.count_if(~F.col("supported")), "open"), _b(F.count_if(F.col("coast") | F.col("river")), "held"))
 
 
 @query("A7_class_counts", "select cover, cast(count(*) as bigint) as n from px group by cover", "px")
@@ -140,9 +144,9 @@ def _(px):
     return tile.groupBy("pref", "cover").agg(_b(F.sum("n"), "n"))
 
 
-@query("A26_status_counts", "select case when coast or river or (elev_mask & 15) <> 15 then 'publication_hold' when not supported then 'unavailable' when class_mask = 0 then 'excluded_landcover' else 'calculated' end as evaluation, cast(count(*) as bigint) as n from rules_all group by 1", "rules_all")
-def _(rules_all):
-    return export.audit(policy.metadata(policy.publication_rules(rules_all), QuerySettings()))
+@query("A26_status_counts", "select case when coast or river or (elev_mask & 15) <> 15 then 'publication_hold' when not supported then 'unavailable' when class_mask = 0 then 'excluded_landcover' else 'calculated' end as evaluation, cast(count(*) as bigint) as n from habitat group by 1", "habitat")
+def _(habitat):
+    return export.audit(policy.metadata(policy.publication_rules(habitat), QuerySettings()))
 
 
 @query("W3_last_run_value", "select gx, gy, pref, last_value(mark ignore nulls) over (partition by pref order by gy, gx rows unbounded preceding) as last from (select gx, gy, pref, rid, case when (gx + gy) % 5 = 0 then rid end as mark from cell_region) q", "cell_region")

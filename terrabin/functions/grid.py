@@ -53,10 +53,18 @@ def altitude_bin(height: Column) -> Column:
     return F.when(known_height(height), F.floor(F.greatest(F.lit(0.0), F.least(F.lit(3000.0), height.cast("double"))) / 100)).otherwise(31).cast("bigint")
 
 
-def band_of_bin(alt: Column, low: int = 200, mountain: int = 800) -> Column:
+def band_of_bin(alt: Column, low: int | Column = 200, mountain: int | Column = 800) -> Column:
     return F.when(alt == 31, 3).when(alt * 100 < low, 0).when(alt * 100 < mountain, 1).otherwise(2).cast("bigint")
 
 
+def valid_thresholds(low: Column, mountain: Column) -> Column:
+    """(low, mountain) in metres of texts, whole hundreds with 100 <= low < mountain <= 3000; else the usual pair."""
+    a, b = (c.cast("string").try_cast("bigint") for c in (low, mountain))
+    sound = (a % 100 == 0) & (b % 100 == 0) & (a >= 100) & (a < b) & (b <= 3000)
+    pair = lambda x, y: F.struct(x.cast("bigint").alias("low"), y.cast("bigint").alias("mountain"))
+    return F.when(F.coalesce(sound, F.lit(False)), pair(a, b)).otherwise(pair(F.lit(200), F.lit(800)))
+
+
 def distance_bin(d: Column) -> Column:
     """0..3 for up to 100, 250, 500 m (inclusive) and beyond; a null distance is beyond."""
     return F.when(d <= 100, 0).when(d <= 250, 1).when(d <= 500, 2).otherwise(3).cast("bigint")

@@ -66,9 +66,12 @@ from corner a join corner b on b.poly = a.poly and b.ring = a.ring and b.i = (a.
     # coast lines of three segments, long and thin
     "coast": """select cast(s_suppkey as bigint) as line, cast(i as bigint) as seq, s_suppkey * 11 % 150 + ax as x1, s_suppkey * 7 % 200 / 2e0 + ay as y1, s_suppkey * 11 % 150 + bx as x2, s_suppkey * 7 % 200 / 2e0 + by1 as y2
 from supplier cross join (values (0, 0e0, 0e0, 40625e-3, 3125e-3), (1, 40625e-3, 3125e-3, 75125e-3, 30375e-3), (2, 75125e-3, 30375e-3, 75875e-3, 61e0)) as d(i, ax, ay, bx, by1) where s_suppkey % 4 = 0""",
-    "labels_ja": """select cast(n as bigint) as n, label from (values (1,'水辺'),(2,'林縁'),(3,'草原'),(4,'竹林'),(5,'山地の森林'),(6,'水田の畦'),(7,'耕作地'),(8,'湿原'),
+    # descriptions: a lookup table of words, and every part's own, of one or of two of them
+    "words_ja": """select cast(n as bigint) as n, label from (values (1,'水辺'),(2,'林縁'),(3,'草原'),(4,'竹林'),(5,'山地の森林'),(6,'水田の畦'),(7,'耕作地'),(8,'湿原'),
   (9,'裸地'),(10,'公園の緑地'),(11,'里山'),(12,'砂浜'),(13,'市街地'),(14,'洞窟'),(15,'河口'),(16,'海岸~低山地の森林'),(17,'倉庫'),(18,'良い林'),(19,'樹上'),(20,'果樹園'),
   (21,'人家の周囲'),(22,'河川敷'),(23,'水田の周囲'),(24,'牧草地'),(25,'山地'),(26,'低山地の草地'),(27,'植林地'),(28,'海浜'),(29,'市街地の草地'),(30,'ハイマツ帯'),(31,'薮'),(32,'旧家')) as t(n, label)""",
+    "labels_ja": """select cast(p_partkey as bigint) as n, case when p_partkey % 5 = 0 then concat(a.label, 'の', b.label) else a.label end as label
+from part join words_ja a on a.n = p_partkey % 32 + 1 join words_ja b on b.n = p_partkey * 7 % 31 + 1""",
 }
 _NEEDS = {v: [b for b in [*BASE, *VIEWS] if b != v and re.search(rf"\b(from|join)\s+{b}\b", text)] for v, text in VIEWS.items()}
 
