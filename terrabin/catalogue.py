@@ -404,8 +404,9 @@ def _(cell_region):
 
 @query("J13_attach_runs", "select gx, gy, pref, rid from cell_region", "cell_region")
 def _(cell_region):
-    coded = runs.encode(cell_region, ["pref"], ["gy", "gx"], "rid")
-    return runs.attach(cell_region.drop("rid"), coded, ["pref"], ["gy", "gx"], "rid")
+    places = runs.placed(cell_region, ["pref"], ["gy", "gx"], "rid")  # sorted once: codes and rows meet in the same ranges
+    base, each = places
+    return runs.attached((base.drop("rid"), each), runs.encoded(places, ["pref"], "rid"), ["pref"], "rid")
 
 
 _TILES = "select cast(floor(gx/4.0) as bigint) as tx, cast(floor(gy/4.0) as bigint) as ty, cast(count(*) as bigint) as cells, min(gx) as west, min(gy) as south, max(gx) as east, max(gy) as north, list(distinct pref) as prefs from (select distinct gx, gy, pref from cell) c group by 1, 2"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrabin.settings import QuerySettings
+from terrabin.shipping import stored
 
 from . import predicate, scope, strata
 
@@ -14,7 +15,7 @@ def area_by_pref(cells: DataFrame, rules: DataFrame, settings: QuerySettings, ke
     """(species_id, pref, keys, pixels, area): cells are first summed to strata by prefecture and row of the grid, on
     which the pixel area depends, so the join with accepted strata meets no cells."""
     dims = [*predicate.DIMS, *(["alt"] if settings.fine else [])]
-    small = cells.groupBy("pref", "gy", *keys, *dims).agg(F.sum("n").alias("n"))
+    small = cells.groupBy("pref", "gy", *keys, *dims).agg(F.sum("n").alias("n")).where("n > 0")  # both uses keep n: one exchange
     hit = predicate.matched(small, rules, settings)
     area = F.round(F.sum(F.col("n") * strata.area_of_cell(F.col("gy"))), 6)
     return hit.groupBy("species_id", "pref", *keys).agg(F.sum("n").alias("pixels"), area.alias("area"))
@@ -27,9 +28,9 @@ def summaries(cells: DataFrame, regions: DataFrame, rules: DataFrame, species: D
     all come from that table, and scopes meet totals and matches in one join by component."""
     dims = [*predicate.DIMS, *(["alt"] if settings.fine else [])]
     small = cells.join(regions, ["gx", "gy", "pref"]).groupBy("pref", "region", "rid", *dims).agg(F.sum("n").alias("n"))
-    small = small.where("n > 0")  # holds always; each use keeps n, so that one exchange serves them all
+    small = stored(small, "strata")  # every part below reads these strata, whose size is then known, and not the cells
     valid = small.select("pref", "region", "rid").distinct()
-    areas = scope.record_areas(records)
+    areas = stored(scope.record_areas(records), "areas")
     chosen = scope.prefectures(valid.select("pref", "region").distinct(), areas, species, settings)
     where = scope.resolved(chosen, areas, aliases, valid, settings)
     full = where.where("rid is null and label is null").select("species_id", "pref").join(valid.select("pref", "rid"), "pref")
