@@ -2,8 +2,8 @@
 
 Candidate pieces come from anchored.py: of each different piece whose anchor is met twice, one holder enters the index
 of a shard, counted as often as it has copies.  The index is an FM-index (wavelet matrix over packed bits of the
-Burrows-Wheeler transform) with the longest common prefixes of neighbours.  Pieces are then streamed through it (but for
-those that it counts twice or more, which match themselves) from their last word to their first: backward search keeps, for each, the longest match that starts at the current word and
+Burrows-Wheeler transform) with the longest common prefixes of neighbours.  All pieces are then streamed through it, from
+their last word to their first: backward search keeps, for each, the longest match that starts at the current word and
 occurs twice or more, and passes to the parent interval where no longer match goes on.  These are the matching
 statistics, cut at WINDOW; windows where they reach WINDOW are reported.
 
@@ -35,13 +35,10 @@ def intervals(units, ends, windows, least, copies, window: int = WINDOW):
     starts = np.concatenate([[0], ends[:-1]])
     index = fm_index.FMIndex(units, ends, window)
     index.weigh(copies)
-    one = copies == 1  # a piece that the index counts twice or more matches itself from its first word to its last
-    full = fm_index.matching_statistics(index, index.coded, starts[one], ends[one], window) == window
+    full = fm_index.matching_statistics(index, index.coded, starts, ends, window) == window
     piece = np.repeat(np.arange(len(ends)), ends - starts)[full]
-    more = np.flatnonzero(~one)
-    first, length = np.flatnonzero(full) - starts[piece], np.full(len(piece), window)
-    piece, first, length = (np.concatenate(x) for x in ((piece, more), (first, np.zeros(len(more), np.int64)), (length, (ends - starts)[more])))
-    return np.arange(len(piece)), piece, first, length, np.full(len(piece), A.LOWEST)
+    first = np.flatnonzero(full) - starts[piece]
+    return np.arange(len(piece)), piece, first, np.full(len(piece), window), np.full(len(piece), A.LOWEST)
 
 
 TASK = A.Task(WINDOW, GRAM, True, intervals)
