@@ -1,6 +1,6 @@
 import math
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -60,37 +60,51 @@ def test_score_equals_a_plain_model(docs, rows):
     assert Counter((r.doc_id, round(r.score, 6)) for r in op.scored(docs).collect()) == want
 
 
-def test_weights_equal_plain_em_on_deleted_counts(spark, monkeypatch, rows):
-    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
-    size = op.X.text_bytes(docs) // 4
-    monkeypatch.setattr(op.X, "BLOCK_BYTES", size)
-    _, m = op.counted(docs)
-    blocked, n, _ = op.X.blocks(docs)
-    assert n > 3
-    by = defaultdict(list)
-    for r in blocked.collect():
-        by[r.block].append((r.doc_id, r.text))
-    one, two = counts(rows)
-    seen = []
-    for block in by.values():
-        own1, own2 = counts(block)
-        for i, t in block:
-            if not held(i):
-                w = [None, *lower(t), None]
-                for a, b in zip(w, w[1:], strict=False):
-                    h, hw, u = one[a] - own1[a], two[a, b] - own2[a, b], one[b] - own1[b]
-                    q = lambda p: 2 ** (round(4 * math.log2(p)) / 4) if p else 0
-                    seen.append((min(1 + int(math.log2(h)), op.BUCKETS - 1) if h else 0, q(hw / max(h, 1)), q(u) / m.tokens, 1 / (m.vocabulary + 1)))
+def plain_em(rows, m):
+    """Weights by EM over the tokens of the deleted fold, with the counts of the other training documents."""
+    fold = lambda i: zlib.crc32(str(i).encode()) % 7 if i is not None else None
+    one, two = counts([r for r in rows if fold(r[0]) != 0])
+    n = sum(one.values())
+    seen = Counter()
+    for i, t, *_ in rows:
+        if fold(i) == 0:
+            w = [None, *lower(t), None]
+            for a, b in zip(w, w[1:], strict=False):
+                h, hw, u = one[a], two[a, b], one[b]
+                q = lambda p: 2 ** (round(4 * math.log2(p)) / 4) if p else 0
+                seen[min(1 + int(math.log2(h)), op.BUCKETS - 1) if h else 0, q(hw / max(h, 1)), q(u) / max(n, 1), 1 / (m.vocabulary + 1)] += 1
     weights = [[1 / 3] * 3 for _ in range(op.BUCKETS)]
     for _ in range(op.ROUNDS):
         sums = [[0.1, 0.5, 0.5] for _ in range(op.BUCKETS)]
-        for k, *p in seen:
+        for (k, *p), times in seen.items():
             share = [x * y for x, y in zip(weights[k], p, strict=True)]
             for j in range(3):
-                sums[k][j] += share[j] / sum(share)
+                sums[k][j] += times * share[j] / sum(share)
         weights = [[x / sum(s) for x in s] for s in sums]
+    return weights, seen
+
+
+def test_weights_equal_plain_em_on_deleted_counts(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{int(x)}" for x in r.zipf(1.6, 60) if x < 500)) for i in range(150)] + [(None, "w1 w2 w1 w2")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _, m = op.counted(docs)
+    weights, seen = plain_em(rows, m)
+    assert len({k for k, *_ in seen}) > 5
     for k in range(1, op.BUCKETS):
         assert m.weights[k].tolist() == pytest.approx(weights[k], abs=1e-6)
+    for size in (3000, 1 << 30):  # how documents are dealt to blocks changes nothing
+        assert np.allclose(op.counted(docs, size)[1].weights, m.weights, atol=1e-12)
+
+
+def test_weights_are_learned_from_the_smallest_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    _, m = op.counted(docs)
+    weights, seen = plain_em([tuple(r) for r in docs.select("doc_id", "text").collect()], m)
+    used = {k for k, *_ in seen} - {0}
+    assert all(m.weights[k].tolist() == pytest.approx(weights[k], abs=1e-6) for k in used)
+    prior = [0.1 / 1.1, 0.5 / 1.1, 0.5 / 1.1]
+    assert sum(abs(m.weights[k] - prior).max() > 0.05 for k in used) >= 0.8 * len(used)
 
 
 def test_probabilities_of_a_context_sum_to_one(docs, rows):
