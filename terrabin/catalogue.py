@@ -754,4 +754,4 @@ def _(cell):
     return cell.groupBy("pref").agg(F.round(F.sum(F.col("n") * strata.area_of_cell(F.col("gy"))), 6).alias("area"))
 
 
-from terrabin import catalogue_delivery, catalogue_files, catalogue_labels, catalogue_shapes, catalogue_steps, catalogue_streams  # noqa: E402, F401  (they register their queries)
+from terrabin import catalogue_broken, catalogue_delivery, catalogue_files, catalogue_labels, catalogue_shapes, catalogue_steps, catalogue_streams  # noqa: E402, F401  (they register their queries)

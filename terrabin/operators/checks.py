@@ -30,9 +30,10 @@ def duplicates(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).agg(F.count_if(F.col("c") > 1).alias("broken"))
 
 
-def detail_equals_overview(cells: DataFrame) -> DataFrame:
+def detail_equals_overview(cells: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """Sums of cells against those of an overview, made from source where that is given."""
     detail = cells.groupBy("pref", "k").agg(F.sum("n").alias("n"))
-    overview = strata.coarse(cells, 64, "pref", "k").groupBy("pref", "k").agg(F.sum("n").alias("n"))
+    overview = strata.coarse(cells if source is None else source, 64, "pref", "k").groupBy("pref", "k").agg(F.sum("n").alias("n"))
     return parity(detail, overview)
 
 
@@ -45,18 +46,32 @@ def shared_cells(cells: DataFrame) -> DataFrame:
     return cells.groupBy("gx", "gy").agg(F.sum("n").alias("n")).agg(F.count_if(F.col("n") > MAX_PIXELS).alias("broken"))
 
 
-def monotone(cells: DataFrame, rules: DataFrame) -> DataFrame:
-    """Pixels accepted nearer but not farther, or by elevation but not by distance."""
+def accepted(cells: DataFrame, rules: DataFrame) -> dict:
+    """The strata that rules accept at 100, 250 and 500 m, and at 500 m with elevation."""
     at = {d: predicate.accepted_strata(cells, rules, QuerySettings(distance=d)) for d in (100, 250, 500)}
-    high = predicate.accepted_strata(cells, rules, QuerySettings(model="elevation", distance=500))
-    keys = at[100].columns
-    parts = [at[100].join(at[250], keys, "left_anti"), at[250].join(at[500], keys, "left_anti"), high.join(at[500], keys, "left_anti")]
+    return at | {"elevation": predicate.accepted_strata(cells, rules, QuerySettings(model="elevation", distance=500))}
+
+
+def nested(sets: dict) -> DataFrame:
+    """Strata accepted nearer but not farther, or by elevation but not by distance."""
+    keys = sets[100].columns
+    parts = [sets[100].join(sets[250], keys, "left_anti"), sets[250].join(sets[500], keys, "left_anti"), sets["elevation"].join(sets[500], keys, "left_anti")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).agg(F.count(F.lit(1)).alias("broken"))
 
 
-def compiled_equals_native(cells: DataFrame, rules: DataFrame, settings: QuerySettings) -> DataFrame:
+def monotone(cells: DataFrame, rules: DataFrame) -> DataFrame:
+    return nested(accepted(cells, rules))
+
+
+def compiled_equals_native(cells: DataFrame, rules: DataFrame, settings: QuerySettings, compiled: DataFrame | None = None) -> DataFrame:
+    """Pixels by species and prefecture of the predicate against those of signatures, compiled from the same or given rules."""
     native = predicate.matched(cells, rules, settings).groupBy("species_id", "pref").agg(F.sum("n").alias("pixels"))
-    return parity(native, compiler.compiled_areas(cells, rules, settings).select(native.columns))
+    return parity(native, compiler.compiled_areas(cells, rules if compiled is None else compiled, settings).select(native.columns))
+
+
+def coarse_sums(cells: DataFrame) -> DataFrame:
+    """(pref, x, y, n) of cells eight by eight."""
+    return strata.coarse(cells, 8, "pref").groupBy("pref", "x", "y").agg(F.sum("n").alias("n"))
 
 
 def reband(cells: DataFrame) -> DataFrame:
