@@ -8,43 +8,37 @@ from . import kernels as K
 from . import suffix
 
 
-class Bits:
-    """A bit vector: 64-bit words and the ones before each word, about 1.5 bits a bit."""
-
-    def __init__(self, bits: np.ndarray):
-        n = len(bits)
-        padded = np.zeros((n // 64 + 1) * 64, np.uint8)
-        padded[:n] = bits
-        self.words = np.packbits(padded, bitorder="little").view(K.U64)
-        ones = np.bitwise_count(self.words)
-        self.before = (np.cumsum(ones) - ones).astype(np.uint32)
-
-    def rank(self, i: np.ndarray) -> np.ndarray:
-        """Ones before position i."""
-        word = self.words[i >> 6] & ((K.U64(1) << (i & 63).astype(K.U64)) - K.U64(1))
-        return self.before[i >> 6].astype(np.int64) + np.bitwise_count(word)
+_BELOW = (K.U64(1) << np.arange(64, dtype=K.U64)) - K.U64(1)
+_FLIP = np.array([~K.U64(0), K.U64(0)])
 
 
 class WaveletMatrix:
-    """rank(symbol, i) over a sequence of integers below 2**width, in width rank queries."""
+    """Ranks over a sequence of integers below 2**width, two bits a level: a level keeps both bits packed, and for each 64
+    places where each of the four digits goes next, some 4 bits a place and level in all."""
 
     def __init__(self, values: np.ndarray, width: int):
-        self.levels = []
-        for level in reversed(range(width)):
-            bit = (values >> level) & 1
-            self.levels.append((level, Bits(bit.astype(np.uint8)), int((bit == 0).sum())))
-            values = np.concatenate([values[bit == 0], values[bit == 1]])
-
-    def ranks(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Occurrences of each symbol before lo and before hi."""
-        begin = np.zeros(len(symbol), np.int64)
-        for level, bits, zeros in self.levels:
-            one = ((symbol >> level) & 1).astype(bool)
-            b, l, h = bits.rank(begin), bits.rank(lo), bits.rank(hi)  # noqa: E741
-            begin = np.where(one, zeros + b, begin - b)
-            lo = np.where(one, zeros + l, lo - l)
-            hi = np.where(one, zeros + h, hi - h)
-        return lo - begin, hi - begin
+        self.levels, n = [], len(values)
+        for shift in reversed(range(0, width, 2)):
+            digit = (values >> shift) & 3
+            planes = []
+            for bit in (digit >> 1, digit & 1):
+                padded = np.zeros((n // 64 + 1) * 64, np.uint8)
+                padded[:n] = bit
+                planes.append(np.packbits(padded, bitorder="little").view(K.U64))
+            zone = np.concatenate([[0], np.cumsum(np.bincount(digit, minlength=4))[:3]])
+            ends = np.arange(0, n + 1, 64)
+            before = np.stack([zone[d] + np.concatenate([[0], np.cumsum(digit == d)])[ends] for d in range(4)]).astype(np.uint32)
+            self.levels.append((shift, *planes, before.reshape(-1), before.shape[1]))
+            values = values[np.argsort(digit, kind="stable")]
+
+    def descend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where each place, as a bound, comes to lie among the places of its symbol."""
+        for shift, high, low, before, blocks in self.levels:
+            digit = (symbol >> shift) & 3
+            block = at >> 6
+            match = (high[block] ^ _FLIP[digit >> 1]) & (low[block] ^ _FLIP[digit & 1]) & _BELOW[at & 63]
+            at = before[digit * blocks + block] + np.bitwise_count(match).astype(np.int64)
+        return at
 
 
 class FMIndex:
@@ -65,6 +59,8 @@ class FMIndex:
         bwt = text[order - 1]  # before a piece's first symbol stands the stop of the piece before (of the last, for the first)
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(self.alphabet) + 1))])
         self.matrix = WaveletMatrix(bwt, max(1, int(len(self.alphabet)).bit_length()))
+        symbols_ = np.arange(len(self.alphabet) + 1)
+        self.shift = self.before[symbols_] - self.matrix.descend(symbols_, np.zeros(len(symbols_), np.int64))
         self.n, self.coded = n, coded + 1
         self.piece = np.repeat(np.arange(len(ends)), size)[order]  # of each suffix
         self.weights = np.arange(n + 1)
@@ -84,18 +80,35 @@ class FMIndex:
 
     def widen(self, lo: np.ndarray, hi: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The interval of the first length (1 or more) symbols that all suffixes in [lo, hi) share."""
-        lo, hi = lo.copy(), hi.copy()
-        for k in reversed(range(len(self.common))):
+        return lo - self._reach(lo, length, -1), hi + self._reach(hi, length, 1)
+
+    def _reach(self, at: np.ndarray, length: np.ndarray, way: int) -> np.ndarray:
+        """How many places from at on, backwards or forwards, have common prefixes of length or more: in steps that double
+        while they succeed, as most reaches are short, and then halve."""
+        moved, tops = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+
+        def further(k: int, some: np.ndarray) -> np.ndarray:
             least, step = self.common[k], 1 << k
-            left = np.maximum(lo - step + 1, 0)
-            lo -= step * ((lo - step + 1 >= 0) & (least[np.minimum(left, len(least) - 1)] >= length))
-            hi += step * ((hi < len(least)) & (least[np.minimum(hi, len(least) - 1)] >= length))
-        return lo, hi
+            first = at[some] - moved[some] - step + 1 if way < 0 else at[some] + moved[some]
+            inside = (first >= 0) & (first < len(least))
+            some = some[inside & (least[np.where(inside, first, 0)] >= length[some])]
+            moved[some] += step
+            return some
+
+        some, k = np.arange(len(at)), 0
+        while len(some) and k < len(self.common):
+            some = further(k, some)
+            k += 1
+            tops[some] = k
+        for j in reversed(range(k)):
+            further(j, np.flatnonzero(tops > j))
+        return moved
 
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: the interval of symbol + pattern from that of pattern."""
-        a, b = self.matrix.ranks(symbol, lo, hi)
-        return self.before[symbol] + a, self.before[symbol] + b
+        both = self.matrix.descend(np.concatenate([symbol, symbol]), np.concatenate([lo, hi]))
+        shift = self.shift[symbol]
+        return shift + both[: len(lo)], shift + both[len(lo) :]
 
 
 def matching_statistics(index: FMIndex, sequence: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int, least: int = 2) -> np.ndarray:
