@@ -11,6 +11,7 @@ from terrabin.functions import grid, text
 from terrabin.functions import strata as K
 from terrabin.operators import catalog, checks, compiler, export, geometry, labels, mapview, policy, predicate, runs, scope, stencil, strata, summary
 from terrabin.settings import QuerySettings
+from terrabin.shipping import shared_dir
 from terrabin.sources import tables
 from terrabin.views import base, sql, view
 
@@ -721,11 +722,13 @@ def _(cell):
 
 @query("S2_dictionary_decode", "select cast(s_suppkey as varchar) as id, s_name as name from supplier")
 def _(spark, sf_dir):
-    s = base(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    """Tables of at most 64 rows, each with the words that it needs, a table a line."""
+    s = base(spark, sf_dir, "supplier").select(F.floor(F.col("s_suppkey") / 64).alias("part"), "s_suppkey", "s_name")
     words = F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name")))
-    payload = s.agg(F.transform(words, lambda w: w["s_name"]).alias("names"), F.transform(words, lambda w, i: F.array(w["s_suppkey"].cast("string"), i.cast("string"))).alias("rows"))
-    payload = payload.select(F.create_map(F.lit("name"), "names").alias("dictionaries"), "rows")
-    return tables.decoded(payload, ["id", "name"]).select("id", "name")
+    payload = s.groupBy("part").agg(F.transform(words, lambda w: w["s_name"]).alias("names"), F.transform(words, lambda w, i: F.array(w["s_suppkey"].cast("string"), i.cast("string"))).alias("rows"))
+    path = shared_dir(spark)
+    payload.select(F.array(F.lit("id"), F.lit("name")).alias("columns"), F.create_map(F.lit("name"), "names").alias("dictionaries"), "rows").write.json(path)
+    return tables.read_dictionary_json(spark, path, lines=True).select("id", "name")
 
 
 # ---- checks --------------------------------------------------------------------------------------------------

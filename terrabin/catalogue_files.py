@@ -40,11 +40,12 @@ def _(cell):
     digits = [F.floor(F.col("y") / 80), F.floor(F.col("x") / 80), F.floor(F.col("y") % 80 / 10), F.floor(F.col("x") % 80 / 10), F.col("y") % 10, F.col("x") % 10]
     code = F.format_string("%02d%02d%d%d%d%d", *(d.cast("bigint") for d in digits))
     one = F.concat(F.lit('["'), code, F.lit('",[['), F.col("pref").cast("string"), F.lit(","), listed, F.lit("]]]"))
-    rows = per.select((F.col("pref") % 3).alias("region"), one.alias("cell")).groupBy("region").agg(F.array_join(F.collect_list("cell"), ",").alias("cells"))  # a file a region, as the format asks
+    # a file a region and band of rows, so that none grows with the region
+    rows = per.select((F.col("pref") % 3).alias("region"), F.floor(F.col("y") / 8).alias("band"), one.alias("cell")).groupBy("region", "band").agg(F.array_join(F.collect_list("cell"), ",").alias("cells"))
     body = F.concat(F.lit('{"version":3,"grid":"third_order","aggregation":"all_source_pixel_centers_by_prefecture","cells":['), "cells", F.lit("]}"))
     path = shared_dir(spark)
-    rows.select("region", body.alias("value")).repartition("region").write.partitionBy("region").text(path)
-    back = tables.read_mesh(spark, f"{path}/*")
+    rows.select("region", "band", body.alias("value")).repartition("region", "band").write.partitionBy("region", "band").text(path)
+    back = tables.read_mesh(spark, f"{path}/*/*")
     return back.select("x", "y", "pref", F.posexplode("counts").alias("cover", "n")).where("n > 0").select("x", "y", "pref", _b("cover"), "n")
 
 

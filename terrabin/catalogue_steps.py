@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrabin.catalogue import _AREAS, _CODE, _FLAG_BASES, _accept, _b, _labels, query  # noqa: F401
-from terrabin.functions import grid
+from terrabin.functions import grid, text
 from terrabin.functions import strata as K
 from terrabin.operators import catalog, compiler, export, mapview, policy, predicate, runs, scope, stencil, strata
-from terrabin.settings import QuerySettings, excluded_classes
+from terrabin.settings import QuerySettings
 from terrabin.views import base
 
 # ---- projections ---------------------------------------------------------------------------------------------
@@ -93,12 +93,15 @@ def _(spark, sf_dir):
     return geometry.usable(rows, "wkt").where(F.col("l_linenumber").between(1, 4)).select("l_orderkey", "l_linenumber")
 
 
-@query("P16_included_classes", "select cast(1 as bigint) as id, '4,5' as classes union all select 2, '' union all select 3, '1,2,3'")
+_OUT = "concat_ws('.', o_custkey % 9, o_orderkey % 5, '6x')"
+
+
+@query("P16_included_classes", f"select o_orderkey, array_to_string(list_sort(list_distinct(list_filter([4, o_custkey % 16, o_orderkey % 16, 4], lambda c: not list_contains(string_split({_OUT}, '.'), cast(c as varchar))))), ',') as classes from orders where o_custkey % 16 > 0 and o_orderkey % 16 > 0")
 def _(spark, sf_dir):
-    rows = spark.createDataFrame([(1, [4, 5, 5, 6], "6.8"), (2, [6], "6"), (3, [3, 1, 2], None)], "id long, c array<int>, out string")
-    left = {r.id: excluded_classes(r.out) for r in rows.collect()}  # three literal rows
-    drop = F.create_map(*(F.lit(x) for i, cs in left.items() for x in (i, list(cs))))
-    return rows.select("id", F.array_join(F.array_sort(F.array_except("c", F.coalesce(drop[F.col("id")], F.array().cast("array<int>")))), ",").alias("classes"))
+    o = base(spark, sf_dir, "orders").where("o_custkey % 16 > 0 and o_orderkey % 16 > 0")
+    classes = F.array(F.lit(4).cast("bigint"), (F.col("o_custkey") % 16).cast("bigint"), (F.col("o_orderkey") % 16).cast("bigint"), F.lit(4).cast("bigint"))
+    out = text.excluded(F.concat_ws(".", (F.col("o_custkey") % 9).cast("string"), (F.col("o_orderkey") % 5).cast("string"), F.lit("6x")))
+    return o.select("o_orderkey", F.array_join(F.array_sort(F.array_except(classes, out)), ",").alias("classes"))
 
 
 # ---- joins ---------------------------------------------------------------------------------------------------
@@ -189,42 +192,34 @@ def _(records):
 
 # ---- policy --------------------------------------------------------------------------------------------------
 
-_EDITIONS = (("public", False, False, False, False), ("public-elevation", True, False, True, False), ("local-preview", True, True, False, True), ("public", True, False, False, False), ("public-elevation", True, False, False, False), ("local-preview", True, True, False, False))
+_FLAG = lambda k: f"(s_suppkey // {1 << k}) % 2 = 1"
 
 
-@query("G2_profiles", "select * from (values (0, true, false, false), (1, true, true, false), (2, true, true, true), (3, false, null, null), (4, false, null, null), (5, false, null, null)) as t(i, valid, elevation, preview)")
+@query("G2_profiles", f"""select s_suppkey, elevation is not null as valid, elevation, case when elevation is not null then elevation and edition = 'local-preview' end as preview from (
+  select s_suppkey, edition, case when edition = 'public' and not {_FLAG(0)} and not {_FLAG(1)} then false when edition = 'local-preview' and {_FLAG(3)} and {_FLAG(0)} and {_FLAG(1)} then true
+    when edition = 'public-elevation' and {_FLAG(0)} and not {_FLAG(1)} and {_FLAG(2)} then true end as elevation
+  from (select s_suppkey, ['public', 'public-elevation', 'local-preview'][s_suppkey % 3 + 1] as edition from supplier) a) b""")
 def _(spark, sf_dir):
-    from terrabin.settings import publication_profile
-
-    def one(x):
-        try:
-            p = publication_profile(*x)
-        except ValueError:
-            return (False, None, None)
-        return (True, p["elevation"], p["preview"])
-
-    return spark.createDataFrame([(i, *one(x)) for i, x in enumerate(_EDITIONS)], "i int, valid boolean, elevation boolean, preview boolean")
+    key = F.col("s_suppkey")
+    flags = [F.floor(key / (1 << k)) % 2 == 1 for k in range(4)]
+    edition = F.when(key % 3 == 0, "public").when(key % 3 == 1, "public-elevation").otherwise("local-preview")
+    told = base(spark, sf_dir, "supplier").select("s_suppkey", policy.profile(edition, *flags).alias("p"))
+    return told.select("s_suppkey", F.col("p").isNotNull().alias("valid"), "p.elevation", "p.preview")
 
 
-@query("G3_approvals", "select * from (values (0, true), (1, false), (2, false), (3, false)) as t(i, valid)")
+@query("G3_approvals", "select s_suppkey, s_suppkey % 4 <> 0 and s_suppkey % 5 <> 0 and s_suppkey % 7 <> 0 and s_suppkey % 11 <> 0 as valid from supplier")
 def _(spark, sf_dir):
-    from terrabin.settings import approval
-
-    good = {"status": "approved", "number": "R 8", "issued_on": "2026-01-02", "receipt_sha256": "0" * 64, "attribution": "map R 8"}
-    cases = (good, good | {"status": "open"}, good | {"receipt_sha256": "zz"}, good | {"attribution": "none"})
-
-    def valid(x) -> bool:
-        try:
-            return bool(approval(x))
-        except ValueError:
-            return False
-
-    return spark.createDataFrame([(i, valid(x)) for i, x in enumerate(cases)], "i int, valid boolean")
+    """Approvals of suppliers, of which some are open, undated, without a receipt, or not named in the attribution."""
+    key, number = F.col("s_suppkey"), F.concat(F.lit("R "), F.col("s_name"))
+    status, day = F.when(key % 4 == 0, "open").otherwise("approved"), F.when(key % 5 == 0, "soon").otherwise("2026-01-02")
+    receipt = F.when(key % 7 == 0, "zz").otherwise(F.sha2(F.col("s_name").cast("binary"), 256))
+    attribution = F.when(key % 11 == 0, "none").otherwise(F.concat(F.lit("map "), number))
+    return base(spark, sf_dir, "supplier").select("s_suppkey", policy.approved(status, number, day, receipt, attribution).alias("valid"))
 
 
-@query("W2_valid_and_broken_runs", "select * from (values (1, false), (2, true), (3, true)) as t(part, broken)")
+@query("W2_valid_and_broken_runs", "select part, min(start) <> 0 or count(*) <> count(distinct start) as broken from (select o_custkey as part, o_orderkey % 7 * (o_custkey % 3) as start from orders) q group by part")
 def _(spark, sf_dir):
-    given = spark.createDataFrame([(1, 0), (1, 5), (2, 1), (2, 4), (3, 0), (3, 2), (3, 2)], "part int, start long")
+    given = base(spark, sf_dir, "orders").select(F.col("o_custkey").alias("part"), (F.col("o_orderkey") % 7 * (F.col("o_custkey") % 3)).alias("start"))
     bad = runs.invalid(given, ["part"]).withColumn("broken", F.lit(True))
     return given.select("part").distinct().join(bad, "part", "left").select("part", F.coalesce("broken", F.lit(False)).alias("broken"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from terrabin.functions.strata import public_stratum
-from terrabin.settings import QuerySettings
+from terrabin.settings import PREVIEW, PUBLIC, PUBLIC_ELEVATION, QuerySettings
 
 from .predicate import excluded_mask
 from .strata import area_of_cell, marginalised
@@ -63,6 +63,20 @@ def describe(rules: DataFrame, low: int = 200, mountain: int = 800) -> DataFrame
     return rules.select("species_id", "rule_id", F.concat_ws(" and ", *parts, veg, band).alias("description"))
 
 
+def profile(edition: Column, dem: Column, local_only: Column, approved: Column, allow_preview: Column) -> Column:
+    """(elevation, preview) of what an edition may publish, by column; null where its description does not agree."""
+    pair = lambda e, p: F.struct(F.lit(e).alias("elevation"), F.lit(p).alias("preview"))
+    plain = (edition == PUBLIC) & ~dem & ~local_only
+    preview = (edition == PREVIEW) & allow_preview & dem & local_only
+    return F.when(plain, pair(False, False)).when(preview, pair(True, True)).when((edition == PUBLIC_ELEVATION) & dem & ~local_only & approved, pair(True, False))
+
+
+def approved(status: Column, number: Column, issued_on: Column, receipt: Column, attribution: Column) -> Column:
+    """Whether an approval is complete, by column: an attribution must hold its number."""
+    known = (status == "approved") & number.rlike(r"^[^<>\r\n]{1,100}$") & (F.trim(number) != "") & issued_on.rlike(r"^\d{4}-\d{2}-\d{2}$") & receipt.rlike("^[a-f0-9]{64}$")
+    return F.coalesce(known & attribution.contains(number), F.lit(False))
+
+
 # ---- a projected edition --------------------------------------------------------------------------------------
 
 OUTPUTS = ("tiles", "overview", "summary", "regions")

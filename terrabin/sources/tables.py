@@ -53,8 +53,9 @@ def read_shapes(spark: SparkSession, path: str, box: tuple[float, float, float,
     return edge.select("poly", "pref", F.col("ring").cast("bigint").alias("ring"), F.col("seq").cast("bigint").alias("seq"), at("a", 0).alias("x1"), at("a", 1).alias("y1"), at("b", 0).alias("x2"), at("b", 1).alias("y2"))
 
 
-def read_dictionary_json(spark: SparkSession, path: str) -> DataFrame:
-    payload = spark.read.schema("columns array<string>, dictionaries map<string, array<string>>, rows array<array<string>>").option("multiLine", True).json(path)
+def read_dictionary_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A table a file, or with lines a line, all of the same columns."""
+    payload = spark.read.schema("columns array<string>, dictionaries map<string, array<string>>, rows array<array<string>>").option("multiLine", not lines).json(path)
     return decoded(payload, payload.first()["columns"])
 
 
