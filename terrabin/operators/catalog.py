@@ -70,7 +70,7 @@ def profiles(species: DataFrame, rules: DataFrame, records: DataFrame) -> DataFr
 
 def vocabulary_ids(texts: DataFrame) -> DataFrame:
     """(label, id): H and the rank of each distinct label in code point order."""
-    places = runs.numbered(texts.select("label").distinct(), [], ["label"], F.substring("label", 1, 1), "place")
+    places = runs.numbered(texts.select("label").distinct(), [], ["label"], F.substring("label", 1, 3), "place")
     return places.select("label", F.format_string("H%03d", F.col("place") + 1).alias("id"))
 
 

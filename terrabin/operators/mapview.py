@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrabin.functions.grid import cell_box
+from terrabin.shipping import stored
 
 from .strata import area_of_cell
 
@@ -48,7 +49,8 @@ def features(evaluated: DataFrame, limit: int = MAX_FEATURES) -> DataFrame:
     ring = F.concat_ws(",", point("west", "south"), point("east", "south"), point("east", "north"), point("west", "north"), point("west", "south"))
     area = F.format_string("%.6f", F.col("matching") * area_of_cell(F.col("gy")))
     text = F.concat(F.lit('{"type":"Feature","geometry":{"type":"Polygon","coordinates":[['), ring, F.lit(']]},"properties":{"species_id":'), F.col("species_id").cast("string"), F.lit(',"prefecture":'), F.col("pref").cast("string"), F.lit(',"candidate_area_km2":'), area, F.lit(',"matching":'), F.col("matching").cast("string"), F.lit("}}"))
-    counted = evaluated.where("matching > 0").select("species_id", "gx", "gy", "pref", text.alias("feature"))
-    if counted.limit(limit + 1).count() > limit:
+    # stored, so that counting them does not make them twice; a row beyond the limit is enough to refuse
+    made = stored(evaluated.where("matching > 0").select("species_id", "gx", "gy", "pref", text.alias("feature")).limit(limit + 1), "features")
+    if made.count() > limit:
         raise ValueError(f"more than {limit} features")
-    return counted
+    return made
