@@ -10,6 +10,7 @@ from terrabin.shipping import stored
 
 from .strata import area_of_cell
 
+#: Most features of one viewport's download; a delivery to files has no limit.
 MAX_FEATURES = 50_000
 
 
@@ -41,16 +42,20 @@ def shade(ratio: Column) -> Column:
     return F.when(ratio < 0.1, 0).when(ratio < 0.3, 1).otherwise(2).cast("bigint")
 
 
-def features(evaluated: DataFrame, limit: int = MAX_FEATURES) -> DataFrame:
-    """(species_id, gx, gy, pref, feature): one GeoJSON feature a matching cell and prefecture; more than limit is an error."""
+def features(evaluated: DataFrame, limit: int | None = None) -> DataFrame:
+    """(species_id, gx, gy, pref, feature): one GeoJSON feature a matching cell and prefecture, all of them; where a limit is
+    given (MAX_FEATURES for a viewport), more are an error."""
     box = cell_box(F.col("gx"), F.col("gy"))
     deg = lambda c: F.format_string("%.6f", box[c])
     point = lambda a, b: F.concat(F.lit("["), deg(a), F.lit(","), deg(b), F.lit("]"))
     ring = F.concat_ws(",", point("west", "south"), point("east", "south"), point("east", "north"), point("west", "north"), point("west", "south"))
     area = F.format_string("%.6f", F.col("matching") * area_of_cell(F.col("gy")))
     text = F.concat(F.lit('{"type":"Feature","geometry":{"type":"Polygon","coordinates":[['), ring, F.lit(']]},"properties":{"species_id":'), F.col("species_id").cast("string"), F.lit(',"prefecture":'), F.col("pref").cast("string"), F.lit(',"candidate_area_km2":'), area, F.lit(',"matching":'), F.col("matching").cast("string"), F.lit("}}"))
+    made = evaluated.where("matching > 0").select("species_id", "gx", "gy", "pref", text.alias("feature"))
+    if limit is None:
+        return made
     # stored, so that counting them does not make them twice; a row beyond the limit is enough to refuse
-    made = stored(evaluated.where("matching > 0").select("species_id", "gx", "gy", "pref", text.alias("feature")).limit(limit + 1), "features")
+    made = stored(made.limit(limit + 1), "features")
     if made.count() > limit:
         raise ValueError(f"more than {limit} features")
     return made

@@ -300,3 +300,10 @@ def test_strata_survive_a_round_trip(spark):
     dims = K.unpack(F.col("k"))
     assert keys.where(K.pack(**{d: v for d, v in dims.items() if d != "alt"}) != F.col("k")).count() == 0
     assert compiler.bases(spark).where(K.compact_base(K.source_key(F.col("base"))) != F.col("base")).count() == 0
+
+
+def test_features_are_all_written(spark):
+    e = spark.range(mapview.MAX_FEATURES + 5).selectExpr("1L as species_id", "id % 300 as gx", "15000 + id as gy", "1L as pref", "1L as matching")
+    assert mapview.features(e).count() == mapview.MAX_FEATURES + 5
+    with pytest.raises(ValueError):
+        mapview.features(e, mapview.MAX_FEATURES)
