@@ -307,3 +307,17 @@ def test_features_are_all_written(spark):
     assert mapview.features(e).count() == mapview.MAX_FEATURES + 5
     with pytest.raises(ValueError):
         mapview.features(e, mapview.MAX_FEATURES)
+
+
+def test_species_with_the_same_conditions_share_their_sums(spark):
+    """Strata meet one species of those that are alike; names and repeats of rules do not tell species apart, conditions do."""
+    fields = "species_id long, rule_id string, class_mask long, base_mask long, water boolean, built boolean, edge boolean, rice boolean, coast boolean, river boolean, veg long, elev_mask long, elev_required boolean, supported boolean"
+    rule = lambda s, name, mask, ok=True: (s, name, mask, mask, *[False] * 6, 0, 15, False, ok)
+    rules = spark.createDataFrame([rule(s, f"R{s}", 64) for s in range(20, 60)] + [rule(7, "A", 64), rule(7, "B", 64), rule(8, "A", 64), rule(8, "B", 256), rule(9, "A", 64, False)], fields)
+    assert {r.species_id: r.first for r in predicate.alike(rules).collect()} == {7: 7, 8: 8, 9: 9} | {s: 7 for s in range(20, 60)}
+    cells = spark.createDataFrame([(12000, 15000 + i, i % 2 + 1, c, 0, 0, 0, 0, 0, 0, 0, 0, n) for i, (c, n) in enumerate([(6, 2), (8, 3), (6, 5), (9, 7)])], "gx long, gy long, pref long, cover long, h long, veg long, wb long, bb long, eb long, rb long, cb long, vb long, n long")
+    got = {(r.species_id, r.pref): r.pixels for r in summary.area_by_pref(cells, rules, QuerySettings()).collect()}
+    assert got == {(s, 1): 7 for s in (7, 8, *range(20, 60))} | {(8, 2): 3}
+    chosen = QuerySettings(habitats={8: ["B"], 7: []})
+    got = {(r.species_id, r.pref): r.pixels for r in summary.area_by_pref(cells, rules, chosen).collect()}
+    assert got == {(s, 1): 7 for s in range(20, 60)} | {(8, 2): 3}
