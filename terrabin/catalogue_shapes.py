@@ -43,9 +43,7 @@ def _squares(cell):
 
 @query("J10_exactly_one", f"with {_MEET} select gx, gy, pref, min(poly) as poly from m join own using (poly) where owner = pref group by 1, 2, 3 having count(*) = 1", "cell", "shape")
 def _(cell, shape):
-    owner = shape.select("poly", F.col("pref").alias("owner")).distinct()
-    hits = geometry.meeting(_squares(cell), shape, 5.0).join(owner, "poly").where("owner = pref")
-    return geometry.exactly_one(hits, ["gx", "gy", "pref"])
+    return geometry.exactly_one(geometry.meeting_own(_squares(cell), shape, 5.0), ["gx", "gy", "pref"])
 
 
 @query("J10_cell_components", f"""with {_MEET},

@@ -6,6 +6,7 @@ No join is on a shape alone:
 * A point meets a polygon's edges by bands: horizontal strips of the polygon, as high as its edges are on average, so that
   there are at most twice as many (edge, band) rows as edges, and a point meets the edges of one strip.  It is inside if an
   odd number of them crosses the ray to its right; a point on an edge counts by that rule, not as touching.
+* Boxes that several prefectures share are compared once, as places; prefectures meet the polygons of their places.
 * Squares, tiles and pixels meet edges in the grid buckets that an edge crosses, not in those of its box; an exact test of
   box and segment follows.  Boxes that a shape contains whole are told by a corner.
 * Filling follows scan lines: an edge gives a crossing to each line it spans, and pairs of crossings are runs of pixels.
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrabin.functions.grid import AXIS, E2, zone
+from terrabin.shipping import spread
 
 #: Widens an edge's range of buckets against rounding; the exact test follows.
 _SLACK = 1e-9
@@ -63,14 +65,15 @@ def inside(points: DataFrame, edges: DataFrame, size: float) -> DataFrame:
     Polygons whose boxes meet a bucket of the size are candidates of its points."""
     shapes = extents(edges)
     at = shapes.withColumn("bx", _buckets(F.col("w") / size, F.col("e") / size)).withColumn("by", _buckets(F.col("s") / size, F.col("n") / size))
-    p = points.select(F.struct(*points.columns).alias("_point"), "px", "py", F.monotonically_increasing_id().alias("_row"))
-    p = p.withColumns({"bx": F.floor(F.col("px") / size), "by": F.floor(F.col("py") / size)})
-    near = p.join(at, ["bx", "by"]).where(F.col("px").between(F.col("w"), F.col("e")) & F.col("py").between(F.col("s"), F.col("n")))
-    near = near.select("_point", "px", "py", "_row", "poly", _band(F.col("py")).alias("band"))
+    rows, px, py = points.count(), F.col("_point.px"), F.col("_point.py")
+    p = points.select(F.struct(*points.columns).alias("_point"), F.monotonically_increasing_id().alias("_row"))
+    p = spread(p.withColumns({"bx": F.floor(px / size), "by": F.floor(py / size)}), rows, "bx", "by")
+    near = p.join(at, ["bx", "by"]).where(px.between(F.col("w"), F.col("e")) & py.between(F.col("s"), F.col("n")))
+    near = spread(near.select("_point", "_row", "poly", _band(py).alias("band")), rows, "poly", "band")
     dealt = edges.where("y1 <> y2").select("poly", "x1", "y1", "x2", "y2").join(shapes, "poly")
     dealt = dealt.withColumn("band", F.explode(F.sequence(_band(_low("y1", "y2")), _band(_high("y1", "y2"))))).select("poly", "band", "x1", "y1", "x2", "y2")
-    spans = (F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))
-    hit = near.join(dealt, ["poly", "band"]).where(spans & (F.col("px") < crossing(F.col("py"))))
+    spans = (F.col("y1") > py) != (F.col("y2") > py)
+    hit = near.join(dealt, ["poly", "band"]).where(spans & (px < crossing(py)))
     return hit.groupBy("poly", "band", "_row", "_point").agg(F.count(F.lit(1)).alias("crossings")).where("crossings % 2 = 1").select("_point.*", "poly")
 
 
@@ -117,6 +120,19 @@ def meeting(boxes: DataFrame, edges: DataFrame, size: float) -> DataFrame:
     return touching(boxes, edges, "poly", size).union(inside(corner, edges, size).select(*boxes.columns, "poly")).distinct()
 
 
+_BOX = ["w", "s", "e", "n"]
+
+
+def owned(hits: DataFrame, edges: DataFrame) -> DataFrame:
+    """hits with the prefecture (pref) of their polygon."""
+    return hits.join(edges.select("poly", "pref").distinct(), "poly")
+
+
+def meeting_own(cells: DataFrame, edges: DataFrame, size: float) -> DataFrame:
+    """cells (own columns, pref and w, s, e, n) with each polygon of their prefecture that their square meets."""
+    return cells.join(owned(meeting(cells.select(*_BOX).distinct(), edges, size), edges), [*_BOX, "pref"])
+
+
 def near_lines(tiles: DataFrame, segments: DataFrame, size: float) -> DataFrame:
     """(tile, line) of lines that come within pad of a tile (tile, w, s, e, n, pad), by its padded box."""
     grown = tiles.select("tile", *((F.col(c) + d * F.col("pad")).alias(c) for c, d in (("w", -1), ("s", -1), ("e", 1), ("n", 1))))
@@ -126,16 +142,16 @@ def near_lines(tiles: DataFrame, segments: DataFrame, size: float) -> DataFrame:
 def components(cells: DataFrame, edges: DataFrame, size: float) -> DataFrame:
     """cells (own columns, pref and w, s, e, n) with poly and how: the polygon of the cell's prefecture that has its centre,
     else the only one that its square meets (coast); several (ambiguous) or none leave poly null."""
-    keys = [c for c in cells.columns if c not in ("w", "s", "e", "n")]
-    owner = edges.select("poly", F.col("pref").alias("_pref")).distinct()
-    own = lambda hits: hits.join(owner, "poly").where(F.col("pref") == F.col("_pref"))
-    centre = cells.select(*keys, ((F.col("w") + F.col("e")) / 2).alias("px"), ((F.col("s") + F.col("n")) / 2).alias("py"))
-    found = own(inside(centre, edges, size)).groupBy(*keys).agg(F.min("poly").alias("poly"))
-    rest = cells.join(found.select(*keys), keys, "left_anti")
-    square = own(meeting(rest, edges, size)).groupBy(*keys).agg(F.count(F.lit(1)).alias("k"), F.min("poly").alias("poly"))
-    square = square.select(*keys, F.when(F.col("k") == 1, F.col("poly")).alias("poly"), F.when(F.col("k") == 1, "coast").otherwise("ambiguous").alias("how"))
-    hits = found.withColumn("how", F.lit("centre")).unionByName(square)
-    return cells.select(*keys).join(hits, keys, "left").withColumn("how", F.coalesce("how", F.lit("none")))
+    keys = [c for c in cells.columns if c not in _BOX]
+    places = cells.select(*_BOX).distinct()
+    centre = places.withColumns({"px": (F.col("w") + F.col("e")) / 2, "py": (F.col("s") + F.col("n")) / 2})
+    told = lambda hits, how: owned(hits.select(*_BOX, "poly"), edges).select(*_BOX, "pref", "poly", F.lit(how).alias("how"))
+    hits = told(inside(centre, edges, size), "centre").unionByName(told(meeting(places, edges, size), "square"))
+    of = lambda how: F.when(F.col("how") == how, F.col("poly"))
+    best = hits.groupBy(*_BOX, "pref").agg(F.min(of("centre")).alias("_centre"), F.min(of("square")).alias("_square"), F.count(of("square")).alias("_k"))
+    k, found = F.col("_k"), F.col("_centre").isNotNull()
+    how = F.when(found, "centre").when(k == 1, "coast").when(k > 1, "ambiguous").otherwise("none")
+    return cells.join(best, [*_BOX, "pref"], "left").select(*keys, F.coalesce("_centre", F.when(k == 1, F.col("_square"))).alias("poly"), how.alias("how"))
 
 
 # ---- areas ---------------------------------------------------------------------------------------------------

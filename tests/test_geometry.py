@@ -118,3 +118,20 @@ def test_empty(spark, edges):
     assert geometry.inside(points, none, 4.0).count() == 0 and geometry.inside(points.where("i = 2"), edges, 4.0).count() == 0
     flat = spark.createDataFrame([(1, 0, 0.0, 1.0, 4.0, 1.0), (1, 0, 4.0, 1.0, 0.0, 1.0)], EDGE)  # a polygon without height
     assert geometry.inside(points, flat, 4.0).count() == 0 and geometry.ring_areas(flat).first().km2 == 0
+
+
+def test_places_of_several_prefectures_are_compared_once(spark, edges, monkeypatch):
+    """Cells of a place, whatever their prefecture, meet the polygons of their own; and so they do in many small tasks."""
+    from terrabin import shipping
+
+    owned = edges.selectExpr("*", "cast(poly / 4 as int) as pref")
+    cells = [(x, y, p, x * 4.0, y * 4.0, x * 4.0 + 4, y * 4.0 + 4) for x in range(12) for y in range(12) for p in (0, 1, 2)]
+    df = spark.createDataFrame(cells, "gx long, gy long, pref int, w double, s double, e double, n double")
+    want = sorted((gx, gy, p, s[0][0]) for gx, gy, p, *b in cells for s in SHAPES if s[0][0] // 4 == p and (any(cuts(e, *b) for e in s) or has(s, b[0], b[1])))
+    seen = []
+    whole = geometry.meeting
+    monkeypatch.setattr(geometry, "meeting", lambda boxes, *a: seen.append(boxes.count()) or whole(boxes, *a))
+    got = lambda: sorted((r.gx, r.gy, r.pref, r.poly) for r in geometry.meeting_own(df, owned, 4.0).collect())
+    assert got() == want and seen == [144]
+    monkeypatch.setattr(shipping, "TASK_ROWS", 10)
+    assert shipping.spread(df, 144, "gx").rdd.getNumPartitions() == 15 and got() == want
