@@ -7,17 +7,22 @@ from pyspark.sql import functions as F
 
 from terrabin.catalogue import _b, query
 from terrabin.operators import strata
-from terrabin.shipping import shared_dir
+from terrabin.shipping import TASK_ROWS, shared_dir
 from terrabin.streaming.records import Counts
 
 FILES, FIRST = 6, 4
+#: Files that a batch has at most, so that its size does not grow with the table.
+BATCH = 8
 
 
 def _streamed(rows: DataFrame, order: str, counts: Counts, folder: str) -> DataFrame:
-    """Deals rows to files so that each holds rows of all times, streams the first files, and the late ones after a restart."""
+    """Deals rows to files so that each holds rows of all times, streams the first files, and the late ones after a restart.
+    There are two files each time, or as many as have some TASK_ROWS / 2 rows; a batch has half of them or BATCH."""
     spark, file = rows.sparkSession, F.pmod(F.col(order), F.lit(FILES))
-    at = lambda part: rows.where(part).repartition(2, F.pmod(F.col(order), F.lit(2))).write.mode("append").parquet(folder)
-    stream = lambda: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    files = max(2, -(-rows.count() // TASK_ROWS))
+    dealt = F.pmod(F.col(order), F.lit(2)) if files == 2 else F.xxhash64(*rows.columns)
+    at = lambda part: rows.where(part).repartition(files, dealt).write.mode("append").parquet(folder)
+    stream = lambda: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", min(BATCH, files // 2)).parquet(folder)
     at(file < FIRST)
     counts.run(stream())
     counts.fold()
@@ -39,6 +44,6 @@ def _(events):
 def _(px, cell):
     """Strata of cells whose pixels come in several batches."""
     path = shared_dir(px.sparkSession)
-    counts = Counts(px.sparkSession, f"{path}/counts", ["gx", "gy", "pref", "region", "k", "alt"], ["n"], lambda rows: strata.cells_of_pixels(rows).groupBy("gx", "gy", "pref", "region", "k", "alt").agg(F.sum("n").alias("n")))
+    counts = Counts(px.sparkSession, f"{path}/counts", ["gx", "gy", "pref", "region", "k", "alt"], ["n"], strata.cells_of_pixels)  # repeats add up
     out = _streamed(px, "x", counts, f"{path}/in")
     return out.select("gx", "gy", "pref", "region", "k", "alt", _b("n"))

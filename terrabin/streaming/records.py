@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrabin.shipping import spread
+
 
 def windowed_counts(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(window, event_type, n) of events with ts, in event time; state is bounded by the watermark."""
@@ -54,7 +56,8 @@ class Counts:
         return rows, upto if last is None else last
 
     def current(self) -> DataFrame:
-        return self._parts()[0].groupBy(*self.keys).agg(*(F.sum(c).alias(c) for c in self.sums))
+        rows, _ = self._parts()
+        return spread(rows, rows.count(), *self.keys).groupBy(*self.keys).agg(*(F.sum(c).alias(c) for c in self.sums))
 
     def fold(self) -> int:
         """Sums all batches so far into one folder; readers go on with the old ones until the marker is there."""

@@ -136,3 +136,18 @@ def test_manifests_and_packs_of_a_region_beyond_the_bounds(spark):
     assert packs.pack_faults(c._packs(cells, False), "pack", PACK, "pref", "ty").count() == 0
     broken = packs.pack_faults(c._packs(cells, True), "pack", PACK, "pref", "ty")
     assert {(r.pref, r.field, r.n, r.rows) for r in broken.groupBy("pref", "field").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ty").alias("rows")).collect()} == {(3, "gx", 2, 2), (8, "gx", 22500, 38)}
+
+
+def test_batches_do_not_grow_with_the_table(spark, sf, monkeypatch):
+    from terrabin import catalogue_streams as c
+
+    px = view(spark, sf, "px")
+    want = sorted(map(tuple, view(spark, sf, "cell").groupBy("gx", "gy", "pref", "region", "k", "alt").agg(F.sum("n")).collect()))
+    monkeypatch.setattr(c, "TASK_ROWS", 150)
+    monkeypatch.setattr(c, "BATCH", 3)
+    path = shared_dir(spark)
+    counts = Counts(spark, f"{path}/counts", ["gx", "gy", "pref", "region", "k", "alt"], ["n"], c.strata.cells_of_pixels)
+    got = sorted(map(tuple, c._streamed(px, "x", counts, f"{path}/in").collect()))
+    assert got == want
+    batches = spark.read.parquet(f"{path}/counts/batches").groupBy("batch").agg(F.sum("n").alias("n")).collect()
+    assert len(batches) == 8 and max(r.n for r in batches) < 450
