@@ -3,8 +3,9 @@
 Species with the same usable rules share a group.  Cells are summed once to the dimensions that compiled predicates read,
 meet the groups' signatures of the bases that occur (a join on the base), and are expanded to three views in the same
 shuffle: map (coarse cells), summary (prefectures) and regions (land components), written by view, group and prefecture.
-The other views are sums of those that were written: national (a group), recorded (a species in its recorded scope), and
-totals (a prefecture or component, whatever the rules); partition is the map of one prefecture.
+The other views are sums of those that were written: national (a group), recorded (a species in its recorded scope, summed
+once for all species of a group that share it; members tells whose it is), and totals (a prefecture or component, whatever
+the rules); partition is the map of one prefecture.  Tasks have a bounded number of facts, and folders several files.
 
 Every written row carries the stamp of its inputs: the group's rules and the prefecture's cells.  A refresh computes the
 stamps anew, compares them with the table of stamps, and writes the partitions whose stamp has changed, alone; readers take
@@ -19,13 +20,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrabin.functions import strata as K
-from terrabin.shipping import stored
+from terrabin.shipping import TASK_ROWS, spread, stored
 
 from .compiler import FLAGS, rule_groups
 
 SIGNED = [*FLAGS, "h", "cover"]
 _NEAR = (("water", "wb"), ("built", "bb"), ("edge", "eb"), ("rice", "rb"))
 EXPANDED = ("map", "summary", "regions")
+#: Prefectures' folders that hold most rows of a view, more or less.
+FOLDERS = 25
+#: Sums that a scope has, more or less.
+ROWS_A_SCOPE = 1000
 STAMPS = "view string, grp string, pref bigint, stamp string"
 
 
@@ -102,14 +107,20 @@ class Delivery:
 
     def view(self, name: str) -> DataFrame:
         """Rows of current stamps; filters on grp and pref prune folders."""
-        kind, folder = ("pair", f"expanded/view={name}") if name in EXPANDED else (name, name)
+        if name == "recorded":
+            return self._current("recorded", "recorded").join(self._current("recorded", "members"), ["grp", "pref", "scope"]).drop("scope")
+        return self._current("pair", f"expanded/view={name}") if name in EXPANDED else self._current(name, name)
+
+    def _current(self, kind: str, folder: str) -> DataFrame:
         now = self.stamps().where(F.col("view") == kind).select("grp", "pref", "stamp")
         rows = self.spark.read.parquet(f"{self.path}/{folder}")
         return rows.withColumns({"grp": F.col("grp").cast("string"), "pref": F.col("pref").cast("bigint")}).join(now, ["grp", "pref", "stamp"], "left_semi").drop("stamp")
 
-    def _write(self, rows: DataFrame, name: str, *keys: str) -> None:
-        """Replaces the folders of keys that rows have."""
-        rows.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{self.path}/{name}")
+    def _write(self, rows: DataFrame, name: str, *keys: str, size: int = 0, by: tuple[str, ...] = ()) -> None:
+        """Replaces the folders of keys that rows have; of many rows (size), a folder's are dealt to files by further columns."""
+        files = F.pmod(F.xxhash64(*by), F.lit(1 + size // (TASK_ROWS * FOLDERS))) if by else F.lit(0)
+        dealt = spread(rows.withColumn("_file", files), size, *keys, "_file").drop("_file") if size > TASK_ROWS else rows.repartition(*keys)
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{self.path}/{name}")
 
     def refresh(self, cells: DataFrame, rules: DataFrame, scopes: DataFrame, step: int = 64) -> DataFrame:
         """Brings the views up to date; returns (view, grp, pref, stamp) of what was written.  cells as facts() takes them,
@@ -121,9 +132,11 @@ class Delivery:
             return changed
         part = lambda kind: changed.where(F.col("view") == kind).select("grp", "pref", "stamp")
         pair = part("pair")
+        size = rows.count()
         hit = rows.join(pair.select("pref").distinct(), "pref", "left_semi")
-        signed = group_signatures(rules, hit.select("base").distinct())
-        self._write(expanded(hit, signed).join(pair, ["grp", "pref"]), "expanded", "view", "grp", "pref")
+        signed = group_signatures(rules, hit.select("base").distinct()).join(pair.select("grp").distinct(), "grp", "left_semi")
+        met = expanded(spread(hit, size, "pref", "x", "y"), stored(signed, "signed"))
+        self._write(met.join(pair, ["grp", "pref"]), "expanded", "view", "grp", "pref", size=size, by=("x", "y"))
         n = F.col("n")
         sums = [F.sum(n).cast("bigint").alias("total"), F.sum(F.when(F.col("cover") == 0, n).otherwise(0)).cast("bigint").alias("missing"), F.sum(F.when(F.col("h") == 3, n).otherwise(0)).cast("bigint").alias("elevation_missing")]
         totals = rows.groupBy("pref", "rid").agg(*sums).join(part("totals"), "pref")
@@ -134,15 +147,21 @@ class Delivery:
         current.stamps = lambda: self.spark.read.schema(STAMPS).parquet(f"{self.path}/stamps_next")
         national = current.view("summary").join(part("national").drop("pref"), "grp").groupBy("grp", "stamp", *SIGNED).agg(F.sum("n").cast("bigint").alias("n"))
         self._write(national.withColumn("pref", F.lit(0).cast("bigint")), "national", "grp", "pref")
-        self._write(current._recorded(rules, scopes, part("recorded").drop("pref")).withColumn("pref", F.lit(0).cast("bigint")), "recorded", "grp", "pref")
+        sums, members, many = current._recorded(rules, scopes, part("recorded").drop("pref"))
+        self._write(sums.withColumn("pref", F.lit(0).cast("bigint")), "recorded", "grp", "pref", size=many * ROWS_A_SCOPE, by=("scope",))
+        self._write(members.withColumn("pref", F.lit(0).cast("bigint")), "members", "grp", "pref")
         now.write.mode("overwrite").parquet(f"{self.path}/stamps")
         return changed
 
-    def _recorded(self, rules: DataFrame, scopes: DataFrame, wanted: DataFrame) -> DataFrame:
-        """(grp, stamp, species_id, signed, n): sums over a species' whole prefectures and land components."""
-        asked = scopes.join(rule_groups(rules).select("species_id", "grp"), "species_id").join(wanted, "grp")
-        whole = asked.where("rid is null and label is null").select("species_id", "grp", "stamp", "pref").distinct()
-        some = asked.where("rid is not null").select("species_id", "grp", "stamp", "pref", "rid").distinct()
-        met = whole.join(self.view("summary"), ["grp", "pref"]).select("grp", "stamp", "species_id", *SIGNED, "n")
-        met = met.unionByName(some.join(self.view("regions"), ["grp", "pref", "rid"]).select("grp", "stamp", "species_id", *SIGNED, "n"))
-        return met.groupBy("grp", "stamp", "species_id", *SIGNED).agg(F.sum("n").cast("bigint").alias("n"))
+    def _recorded(self, rules: DataFrame, scopes: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+        """(grp, stamp, scope, signed, n), sums over the whole prefectures and land components of a scope; (grp, stamp, scope,
+        species_id), the species that have it; and the number of scopes.  A scope's name is its content."""
+        asked = scopes.where("rid is not null or label is null").join(rule_groups(rules).select("species_id", "grp"), "species_id").join(wanted, "grp")
+        sets = asked.groupBy("grp", "stamp", "species_id").agg(F.array_sort(F.collect_set(F.struct("pref", "rid"))).alias("at"))  # a region's components at most
+        named = stored(sets.withColumn("scope", F.sha2(F.to_json("at"), 256)), "scopes")
+        once = stored(named.groupBy("grp", "stamp", "scope").agg(F.min("at").alias("at")), "once")
+        many = once.count()
+        parts = spread(once, many * ROWS_A_SCOPE, "scope").select("grp", "stamp", "scope", F.explode("at").alias("at")).select("grp", "stamp", "scope", "at.*")
+        met = parts.where("rid is null").drop("rid").join(self.view("summary"), ["grp", "pref"]).select("grp", "stamp", "scope", *SIGNED, "n")
+        met = met.unionByName(parts.where("rid is not null").join(self.view("regions"), ["grp", "pref", "rid"]).select("grp", "stamp", "scope", *SIGNED, "n"))
+        return met.groupBy("grp", "stamp", "scope", *SIGNED).agg(F.sum("n").cast("bigint").alias("n")), named.drop("at"), many

@@ -138,6 +138,36 @@ def test_manifests_and_packs_of_a_region_beyond_the_bounds(spark):
     assert {(r.pref, r.field, r.n, r.rows) for r in broken.groupBy("pref", "field").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ty").alias("rows")).collect()} == {(3, "gx", 2, 2), (8, "gx", 22500, 38)}
 
 
+def test_a_scope_is_summed_once_for_all_who_share_it(spark, sf, monkeypatch):
+    """Species of a group and scope share stored sums; views are the same whether tasks and files are few or many."""
+    from terrabin import shipping
+
+    rules = view(spark, sf, "habitat").where("supported")
+    alike = rules.where("species_id = 1")
+    rules = alike.unionByName(alike.withColumn("species_id", F.lit(101).cast("bigint"))).unionByName(alike.withColumn("species_id", F.lit(102).cast("bigint"))).unionByName(rules.where("species_id = 2"))
+    whole = "species_id long, pref long, rid long, label string"
+    scopes = spark.createDataFrame([(1, 1, None, None), (1, 2, 21, None), (101, 2, 21, None), (101, 1, None, None), (102, 1, None, None), (2, 1, None, None), (2, 2, None, "isl9")], whole)
+    cell, region = view(spark, sf, "cell"), view(spark, sf, "cell_region")
+    joined = shipping.stored(cell.where("pref in (1, 2)").join(region, ["gx", "gy", "pref"]), "cells")
+
+    def made():
+        d = delivery.Delivery(spark, shared_dir(spark))
+        d.refresh(joined, rules, scopes, step=8)
+        rows = {n: sorted(map(str, d.view(n).collect())) for n in ("map", "summary", "regions", "national")}
+        by = {}
+        for r in d.view("recorded").collect():
+            by.setdefault(r.species_id, []).append((*(r[c] for c in delivery.SIGNED), r.n))
+        return d, rows, {k: sorted(v) for k, v in by.items()}
+
+    d, rows, by = made()
+    assert by[1] == by[101] and sum(v[-1] for v in by[102]) == sum(r.n for r in d.view("summary").where("pref = 1").join(d.view("recorded").where("species_id = 102").select("grp").distinct(), "grp").collect())
+    assert spark.read.parquet(f"{d.path}/recorded").count() == len(by[1]) + len(by[102]) + len(by.get(2, []))
+    monkeypatch.setattr(shipping, "TASK_ROWS", 20)
+    monkeypatch.setattr(delivery, "TASK_ROWS", 20)
+    monkeypatch.setattr(delivery, "FOLDERS", 2)
+    assert made()[1:] == (rows, by)
+
+
 def test_batches_do_not_grow_with_the_table(spark, sf, monkeypatch):
     from terrabin import catalogue_streams as c
 
