@@ -1,8 +1,7 @@
 """Materialised views of rule groups, by scope and partition, refreshed by input stamp.
 
 Species with the same usable rules share a group.  Cells are summed once to the dimensions that compiled predicates read,
-meet the groups' signatures of the bases that occur (a join on the base), and are expanded to three views in the same
-shuffle: map (coarse cells), summary (prefectures) and regions (land components), written by view, group and prefecture.
+meet the groups' signatures of the bases that occur (a join on the base), and are expanded to three views: map (coarse cells), summary (prefectures) and regions (land components), written by view, group and prefecture.
 The other views are sums of those that were written: national (a group), recorded (a species in its recorded scope, summed
 once for all species of a group that share it; members tells whose it is), and totals (a prefecture or component, whatever
 the rules); partition is the map of one prefecture.  Tasks have a bounded number of facts, and folders several files.
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrabin.functions import strata as K
-from terrabin.shipping import TASK_ROWS, spread, stored
+from terrabin.shipping import TASK_ROWS, dealt, spread, stored
 
 from .compiler import FLAGS, rule_groups
 
@@ -34,10 +33,12 @@ ROWS_A_SCOPE = 1000
 STAMPS = "view string, grp string, pref bigint, stamp string"
 
 
-def facts(cells: DataFrame, step: int) -> DataFrame:
-    """Cells (gx, gy, pref, rid, k, dims, n) by coarse corner, prefecture, component and compact stratum."""
+def facts(cells: DataFrame, step: int, size: int = 0) -> DataFrame:
+    """Cells (gx, gy, pref, rid, k, dims, n) by coarse corner, prefecture, component and compact stratum; many (size) are
+    summed in tasks of bounded rows."""
     corner = lambda c: (F.floor(F.col(c) / step) * step).cast("bigint")
-    return cells.groupBy("pref", "rid", corner("gx").alias("x"), corner("gy").alias("y"), K.compact_base(F.col("k")).alias("base"), "cover", "h").agg(F.sum("n").cast("bigint").alias("n"))
+    rows = cells.select("pref", "rid", corner("gx").alias("x"), corner("gy").alias("y"), K.compact_base(F.col("k")).alias("base"), "cover", "h", "n")
+    return dealt(rows, size, "pref", "rid", "x", "y").groupBy("pref", "rid", "x", "y", "base", "cover", "h").agg(F.sum("n").cast("bigint").alias("n"))
 
 
 def group_rules(rules: DataFrame) -> DataFrame:
@@ -66,13 +67,15 @@ def group_signatures(rules: DataFrame, bases: DataFrame) -> DataFrame:
 
 
 def expanded(rows: DataFrame, signatures: DataFrame) -> DataFrame:
-    """(view, grp, pref, rid, x, y, signed, n): map, summary and regions of facts, from one shuffle; what a view sums away is 0."""
+    """(view, grp, pref, rid, x, y, signed, n): map, summary and regions of facts; what a view sums away is 0.  Facts that
+    are dealt by pref, x and y become map rows where they are, and only the few sums of the other two are shuffled."""
     met = rows.join(signatures, "base")
-    sets = [["grp", "pref", "rid", "x", "y", *SIGNED], ["grp", "pref", *SIGNED], ["grp", "pref", "rid", *SIGNED]]
-    name = F.when(F.grouping("x") == 0, "map").when(F.grouping("rid") == 0, "regions").otherwise("summary")
-    out = met.groupingSets(sets, "grp", "pref", "rid", "x", "y", *SIGNED).agg(name.alias("view"), F.sum("n").cast("bigint").alias("n"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return out.select("view", "grp", "pref", zero("rid"), zero("x"), zero("y"), *SIGNED, "n").where("view <> 'regions' or rid <> 0")
+
+    def part(name: str, *keys: str) -> DataFrame:
+        out = met.groupBy("grp", "pref", *keys, *SIGNED).agg(F.sum("n").cast("bigint").alias("n"))
+        return out.select(F.lit(name).alias("view"), "grp", "pref", *(F.col(c) if c in keys else F.lit(0).cast("bigint").alias(c) for c in ("rid", "x", "y")), *SIGNED, "n")
+
+    return part("map", "rid", "x", "y").unionByName(part("summary")).unionByName(part("regions", "rid").where("rid <> 0"))
 
 
 def stamps(rows: DataFrame, rules: DataFrame, scopes: DataFrame) -> DataFrame:
@@ -119,13 +122,13 @@ class Delivery:
     def _write(self, rows: DataFrame, name: str, *keys: str, size: int = 0, by: tuple[str, ...] = ()) -> None:
         """Replaces the folders of keys that rows have; of many rows (size), a folder's are dealt to files by further columns."""
         files = F.pmod(F.xxhash64(*by), F.lit(1 + size // (TASK_ROWS * FOLDERS))) if by else F.lit(0)
-        dealt = spread(rows.withColumn("_file", files), size, *keys, "_file").drop("_file") if size > TASK_ROWS else rows.repartition(*keys)
-        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{self.path}/{name}")
+        placed = spread(rows.withColumn("_file", files), size, *keys, "_file").drop("_file") if size > TASK_ROWS else rows.repartition(*keys)
+        placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{self.path}/{name}")
 
     def refresh(self, cells: DataFrame, rules: DataFrame, scopes: DataFrame, step: int = 64) -> DataFrame:
         """Brings the views up to date; returns (view, grp, pref, stamp) of what was written.  cells as facts() takes them,
         scopes (species_id, pref, rid, label) with rid and label null for whole prefectures."""
-        rows = stored(facts(cells, step), "facts")
+        rows = stored(facts(cells, step, cells.count()), "facts")
         now = stored(stamps(rows, rules, scopes), "stamps")
         changed = stored(now.join(self.stamps(), ["view", "grp", "pref", "stamp"], "left_anti"), "changed")
         if changed.isEmpty():
@@ -135,7 +138,7 @@ class Delivery:
         size = rows.count()
         hit = rows.join(pair.select("pref").distinct(), "pref", "left_semi")
         signed = group_signatures(rules, hit.select("base").distinct()).join(pair.select("grp").distinct(), "grp", "left_semi")
-        met = expanded(spread(hit, size, "pref", "x", "y"), stored(signed, "signed"))
+        met = expanded(dealt(hit, size, "pref", "x", "y"), stored(signed, "signed"))
         self._write(met.join(pair, ["grp", "pref"]), "expanded", "view", "grp", "pref", size=size, by=("x", "y"))
         n = F.col("n")
         sums = [F.sum(n).cast("bigint").alias("total"), F.sum(F.when(F.col("cover") == 0, n).otherwise(0)).cast("bigint").alias("missing"), F.sum(F.when(F.col("h") == 3, n).otherwise(0)).cast("bigint").alias("elevation_missing")]

@@ -181,3 +181,22 @@ def test_batches_do_not_grow_with_the_table(spark, sf, monkeypatch):
     assert got == want
     batches = spark.read.parquet(f"{path}/counts/batches").groupBy("batch").agg(F.sum("n").alias("n")).collect()
     assert len(batches) == 8 and max(r.n for r in batches) < 450
+
+
+def test_cells_and_records_in_tasks_of_bounded_rows(spark, sf, monkeypatch):
+    """Large tables are dealt to tasks by their rows, not by the session's partitions; the rows stay the same."""
+    from terrabin import shipping, views
+
+    whole = {n: sorted(map(str, view(spark, sf, n).collect())) for n in ("cell", "cell_region", "records")}
+    monkeypatch.setattr(shipping, "TASK_ROWS", 200)
+    monkeypatch.setattr(views, "CELL_ROWS", 100)
+    for n, rows in whole.items():
+        parts = [len(p) for p in view(spark, sf, n).rdd.glom().collect()]
+        assert max(parts) < 600 and len(parts) == {"records": 30}.get(n, 15), (n, parts)
+        assert sorted(map(str, view(spark, sf, n).collect())) == rows
+    cells = shipping.stored(view(spark, sf, "cell").join(view(spark, sf, "cell_region"), ["gx", "gy", "pref"]), "cells")
+    few, many = delivery.facts(cells, 8), delivery.facts(cells, 8, cells.count())
+    assert many.rdd.getNumPartitions() > 4 and sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+    signed = shipping.stored(delivery.group_signatures(view(spark, sf, "habitat"), few.select("base").distinct()), "signed")
+    maps = [delivery.expanded(df, signed).where("view = 'map'") for df in (few, shipping.dealt(few, 5000, "pref", "x", "y"))]
+    assert maps[1].rdd.getNumPartitions() == 25 and sorted(map(str, maps[0].collect())) == sorted(map(str, maps[1].collect()))
