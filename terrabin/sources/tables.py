@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrabin.functions.grid import mesh_xy
-from terrabin.functions.text import visible_text
+from terrabin.functions.text import plain_visible_text, visible_text
 from terrabin.shipping import ship
 
 
@@ -83,9 +83,9 @@ def verified(spark: SparkSession, path: str, digests: dict[str, str], limit: int
     return checked.mapInArrow(run, "name string, text string")
 
 
-def html_text(pages: DataFrame) -> DataFrame:
-    """(page_id, text): visible text, one line a block."""
-    return pages.select(F.col("page_id").cast("long"), visible_text(F.col("html")).alias("text"))
+def html_text(pages: DataFrame, plain: bool = False) -> DataFrame:
+    """(page_id, text): visible text, one line a block; plain: by plain_visible_text's rules."""
+    return pages.select(F.col("page_id").cast("long"), (plain_visible_text if plain else visible_text)(F.col("html")).alias("text"))
 
 
 def read_mesh(spark: SparkSession, path: str) -> DataFrame:

@@ -40,3 +40,22 @@ def test_runs(spark, sf, name):
 def test_flagship(spark):
     r = entry.entry(spark)
     assert (r.count(), r.agg({"pixels": "sum"}).first()[0]) == (52, 451)
+
+
+ODD_PAGES = {
+    "references": ["<title>a &quot</title><p>b", "a &quo", "&copy 1 &lt;b&gt; &#10;&nbsp; &amp;amp;"],
+    "tags": ["<p title='x > y'>z", "<a it's>b</a>c", "<\u017fcript>a</script>b<style-x>c</STYLE >d"],
+    "spaces": ["a\u00a0b\u00a0<br>\u3000c", "a\rb\x0bc\u2028d", None, ""],
+    "long tag": ["<p " + "a " * 50000 + ">x"],
+}
+
+
+@pytest.mark.parametrize("pages", ODD_PAGES.values(), ids=ODD_PAGES)
+def test_text_of_odd_pages_equals_sql(spark, tmp_path, pages):
+    """References cut short, quoted >, spaces beyond ASCII and long tags: S10_html_text gives what its SQL gives."""
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = sorted(tuple(r) for r in catalogue.queries()["S10_html_text"](spark, str(tmp_path)).collect())
+    assert got == sorted(duck.execute(SQL["S10_html_text"]).fetchall())
+    assert len(got) == len(pages)
